@@ -13,13 +13,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import SMALL_GROUP
+
 BLOCK = 100_000
 
 
 def fill_both_ways(df: DataFrame, keys: Sequence[str], value: str, day: str = "date", seq: str = "seq",
-                   out: str = "filled") -> DataFrame:
-    """Last known value carried forward in (day, seq) order, then the first known one carried back."""
+                   out: str = "filled", biggest_group: int | None = None) -> DataFrame:
+    """Last known value carried forward in (day, seq) order, then the first known one carried back.
+
+    When the largest group is known to fit a task, one window does; otherwise rows are filled by runs.
+    """
     keys = list(keys)
+    if biggest_group is not None and biggest_group <= SMALL_GROUP:
+        w = Window.partitionBy(*keys).orderBy(day, seq)
+        return df.withColumn(out, F.coalesce(
+            F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
     run = [*keys, day, "_run"]
     data = df.withColumn("_run", F.floor(F.col(seq) / BLOCK).cast("long"))
     known = F.col(value).isNotNull()

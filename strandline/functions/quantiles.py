@@ -14,45 +14,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import stage
+
 CELLS = 1024
+SMALL_GROUP = 1_000_000  # up to this many rows a group's values fit one task's aggregation buffer
 
 
 def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, rounds: int = 2) -> DataFrame:
-    """Value at zero-based `rank` for each (keys, rank) row of `ranks`; nulls are not ranked.
+    """Value at zero-based `rank` for each row of `ranks` (keys, rank, _lo, _hi); nulls are not ranked.
 
-    `ranks` holds keys and rank: one row per group and wanted rank, so it is as small as the result.
+    _lo and _hi are the least and greatest value of the group. `ranks` has one row per group and wanted
+    rank, so it is as small as the result.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    span = data.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    # _rest: rank inside the cell [_lo, _hi]
-    want = ranks.select(*keys, "rank").distinct().join(span, keys).withColumn("_rest", F.col("rank"))
-    cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS), F.lit(CELLS - 1))
-    cell = F.when(F.col("_hi") > F.col("_lo"), cell).otherwise(F.lit(0)).cast("long")
+    want = ranks.select(*keys, "rank", F.col("rank").alias("_rest"), "_lo", "_hi").distinct()
+    cell = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * CELLS), F.lit(CELLS - 1))
+    cell = F.coalesce(cell, F.lit(0)).cast("long")
     inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    w_rank = Window.partitionBy(*keys, "rank")
+
+    def containing(counts: DataFrame, order: str) -> DataFrame:
+        upto = F.sum("_n").over(w_rank.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        return counts.withColumn("_upto", upto).where(
+            (F.col("_rest") >= F.col("_upto") - F.col("_n")) & (F.col("_rest") < F.col("_upto")))
+
     for _ in range(rounds):
         # each cell reports the least and greatest value it holds, so the next pass cuts real data range
         counts = (
-            data.join(want, keys).where(inside)
-            .groupBy(*keys, "rank", "_rest", cell.alias("_cell"))
+            data.join(want, keys).where(inside).groupBy(*keys, "rank", "_rest", cell.alias("_cell"))
             .agg(F.count("*").alias("_n"), F.min("_v").alias("_clo"), F.max("_v").alias("_chi"))
         )
-        w = Window.partitionBy(*keys, "rank").orderBy("_cell")
-        upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        want = (
-            counts.withColumn("_upto", upto)
-            .where((F.col("_rest") >= F.col("_upto") - F.col("_n")) & (F.col("_rest") < F.col("_upto")))
-            .select(*keys, "rank", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest"),
-                    F.col("_clo").alias("_lo"), F.col("_chi").alias("_hi"))
-        )
+        want = containing(counts, "_cell").select(
+            *keys, "rank", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest"),
+            F.col("_clo").alias("_lo"), F.col("_chi").alias("_hi"))
     left = data.join(want, keys).where(inside).groupBy(*keys, "rank", "_rest", "_v").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys, "rank").orderBy("_v")
-    upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        left.withColumn("_upto", upto)
-        .where((F.col("_rest") >= F.col("_upto") - F.col("_n")) & (F.col("_rest") < F.col("_upto")))
-        .select(*keys, "rank", F.col("_v").alias("value"))
-    )
+    return containing(left, "_v").select(*keys, "rank", F.col("_v").alias("value"))
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -63,16 +60,17 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     floor(p * (n - 1)).
     """
     keys = list(keys)
-    totals = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    totals = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min(F.col(value).cast("double")).alias("_lo"), F.max(F.col(value).cast("double")).alias("_hi"))
     plist = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probs.items()])
-    pos = totals.select(*keys, F.explode(plist).alias("_q"), "_n").select(
-        *keys, F.col("_q.name").alias("_name"), (F.col("_q.p") * (F.col("_n") - 1)).alias("_pos"), "_n")
+    pos = totals.select(*keys, F.explode(plist).alias("_q"), "_n", "_lo", "_hi").select(
+        *keys, F.col("_q.name").alias("_name"), (F.col("_q.p") * (F.col("_n") - 1)).alias("_pos"), "_n", "_lo", "_hi")
     lo = F.floor("_pos").cast("long")
     hi = F.least(lo + 1, F.col("_n") - 1) if interpolate else lo
-    spots = pos.select(*keys, "_name", (F.col("_pos") - lo).alias("_f"),
-                       F.explode(F.array_distinct(F.array(lo, hi))).alias("rank"), lo.alias("_lo_rank"))
+    spots = stage(pos.select(*keys, "_name", (F.col("_pos") - lo).alias("_f"),
+                       F.explode(F.array_distinct(F.array(lo, hi))).alias("rank"), lo.alias("_lo_rank"), "_lo", "_hi"))
     found = rank_values(df, keys, value, spots)
-    both = spots.join(found, [*keys, "rank"])
+    both = spots.drop("_lo", "_hi").join(found, [*keys, "rank"])
     is_lo = F.col("rank") == F.col("_lo_rank")
     v_lo, v_hi = F.max(F.when(is_lo, F.col("value"))), F.max(F.when(~is_lo, F.col("value")))
     per = both.groupBy(*keys, "_name").agg(v_lo.alias("_a"), v_hi.alias("_b"), F.first("_f").alias("_f"))
@@ -81,3 +79,11 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     per = per.withColumn("_val", val)
     aggs = [F.max(F.when(F.col("_name") == k, F.col("_val"))).alias(k) for k in probs]
     return per.groupBy(*keys).agg(*aggs)
+
+
+def sized_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], biggest_group: int) -> DataFrame:
+    """`percentile` when the largest group is known to be small, the counting passes otherwise."""
+    if biggest_group > SMALL_GROUP:
+        return group_quantiles(df, keys, value, probs)
+    both = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
+    return df.groupBy(*keys).agg(both.alias("_q")).select(*keys, *[F.col("_q")[i].alias(k) for i, k in enumerate(probs)])

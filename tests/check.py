@@ -1,6 +1,7 @@
 """python tests/check.py [prefix ...]  - compare registered queries with their SQL, with timings."""
 
 import os
+import signal
 import sys
 import time
 
@@ -18,8 +19,18 @@ con = duck(sf)
 queries, oracles = E.queries(), E.oracle_sql()
 names = [n for n in queries if not sys.argv[1:] or any(n.startswith(p) for p in sys.argv[1:])]
 fails = 0
+
+
+def stop(*_):
+    spark.sparkContext.cancelAllJobs()
+    raise TimeoutError('query too slow')
+
+
+signal.signal(signal.SIGALRM, stop)
+limit = int(os.environ.get('LIMIT', '45'))
 for n in names:
     t = time.time()
+    signal.alarm(limit)
     try:
         df = queries[n](spark, sf)
         if n in oracles:
@@ -31,6 +42,7 @@ for n in names:
                 print("   ", rows[:3])
     except Exception as e:
         msg = f"{type(e).__name__}: {str(e)[:600]}"
+    signal.alarm(0)
     fails += msg is not None
     tag = "R" if n not in oracles else "O"
     print(f"{'ok  ' if msg is None else 'FAIL'} {tag} {n} {time.time() - t:.1f}s" + (f"  {msg}" if msg else ""), flush=True)
