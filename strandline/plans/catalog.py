@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import q_sources, q_silver  # noqa: F401
+from . import q_sources, q_silver, q_gold  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
