@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import q_sources, q_silver, q_gold, q_relate  # noqa: F401
+from . import q_sources, q_silver, q_gold, q_relate, q_backtest  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
