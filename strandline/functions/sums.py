@@ -129,10 +129,17 @@ DBL, LNG, STR, FLAG = T.DoubleType(), T.LongType(), T.StringType(), T.BooleanTyp
 
 
 # --- Arrow-batched wrappers: one input row per group -------------------------------------------------
-@F.pandas_udf(fields(intercept=DBL, coef=T.ArrayType(DBL)))
+@F.pandas_udf(fields(intercept=DBL, coef=T.ArrayType(DBL), pred_mean=DBL, pred_sd=DBL))
 def ridge_udf(train: pd.Series, alpha: pd.Series) -> pd.DataFrame:
-    out = [ridge(matrix(s), a) for s, a in zip(train, alpha)]
-    return pd.DataFrame({"intercept": [o[0] for o in out], "coef": [o[1].tolist() for o in out]})
+    """Model, and mean and sample std of its predictions on the rows it was trained on."""
+    rows = []
+    for s, a in zip(train, alpha):
+        m = matrix(s)
+        b0, b = ridge(m, a)
+        n, mean, c = centred(m)
+        sd = math.sqrt(max(float(b @ c[:-1, :-1] @ b), 0.0) / max(n - 1, 1))
+        rows.append((b0, b.tolist(), float(b0 + mean[:-1] @ b), sd))
+    return pd.DataFrame(rows, columns=["intercept", "coef", "pred_mean", "pred_sd"])
 
 
 @F.pandas_udf(fields(r2=DBL, rmse=DBL, n_train=LNG, n_test=LNG))
@@ -208,9 +215,10 @@ def ar_forecast_udf(sums: pd.Series, last: pd.Series, steps: pd.Series) -> pd.Se
 
 
 def predict(df: DataFrame, models: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
-    """Adds `predicted` from (keys, intercept, coef); arithmetic stays in the JVM."""
-    j = df.join(models.select(*keys, "intercept", "coef"), list(keys))
+    """Adds `predicted`, and z against the model's own train predictions; arithmetic stays in the JVM."""
+    j = df.join(models.select(*keys, "intercept", "coef", "pred_mean", "pred_sd"), list(keys))
     p = F.col("intercept")
     for i, c in enumerate(xs):
         p = p + F.col("coef")[i] * F.col(c)
-    return j.withColumn("predicted", p).drop("intercept", "coef")
+    z = (F.col("predicted") - F.col("pred_mean")) / F.when(F.col("pred_sd") > 1e-8, F.col("pred_sd")).otherwise(1.0)
+    return j.withColumn("predicted", p).withColumn("z", z).drop("intercept", "coef", "pred_mean", "pred_sd")
