@@ -131,16 +131,53 @@ def with_target(df: DataFrame, name: str, h: int, out: str, keys="ticker") -> Da
 
 def with_panel_columns(df: DataFrame, columns: Sequence[str], keys="ticker", macro_lag: int = 0, as_is: Sequence[str] = (),
                        prefix: str = "t_") -> DataFrame:
+    """Adds the stationary, point-in-time form of every column.
+
+    Columns move through the same few window layers together, so the number of window steps does not grow
+    with the number of columns and all share the one placement and sort by (keys, date).
+    """
     lag_rows = max(X.PUBLICATION_LAG_ROWS, macro_lag)
-    for name in columns:
-        if source_of(name) == "yfinance":
-            df = with_interpolated(df, name, "_x", keys)
-            df = with_stationary(df, name, prefix + name, keys, as_is=name in as_is, src="_x").drop("_x", f"{prefix}{name}_method")
-        else:
-            w = series(keys)
-            df = df.withColumn("_l", F.lag(name, lag_rows).over(w)).withColumn("_x", ffill("_l", w))
-            df = with_release_transform(df, name, "_x", prefix + name, keys).drop("_x", "_l")
-    return df
+    w, every = series(keys), whole(keys)
+    market = [c for c in columns if source_of(c) == "yfinance"]
+    slow = [c for c in columns if source_of(c) != "yfinance"]
+    upto = lambda n: w.rowsBetween(Window.unboundedPreceding, -n)
+    # layer 1: what is known after the publication lag now and a row ago; neighbours for interpolation
+    layer = {}
+    for c in slow:
+        layer[f"_x_{c}"] = F.last(c, ignorenulls=True).over(upto(lag_rows))
+        layer[f"_b_{c}"] = F.last(c, ignorenulls=True).over(upto(lag_rows + 1))
+    if market:
+        df = df.withColumn("_i", F.row_number().over(w))
+    for c in market:
+        point = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v")))
+        layer[f"_p_{c}"] = F.last(point, ignorenulls=True).over(running(w))
+        layer[f"_n_{c}"] = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    df = df.withColumns(layer)
+    # plain expressions: release values and interpolated prices
+    flat = {}
+    for c in slow:
+        x, b = F.col(f"_x_{c}"), F.col(f"_b_{c}")
+        same = F.abs(x - b) <= 1e-8 + 1e-5 * F.abs(b)
+        flat[f"_r_{c}"] = F.when(x.isNotNull() & (b.isNull() | ~same), x)
+    for c in market:
+        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
+        mid = p["v"] + (n["v"] - p["v"]) * div(F.col("_i") - p["i"], n["i"] - p["i"])
+        flat[f"_x_{c}"] = F.when(F.col(c).isNotNull(), F.col(c)).when(p.isNull(), None).when(n.isNull(), p["v"]).otherwise(mid)
+    df = df.withColumns(flat)
+    # layer 2: the value before, and whether every value is positive
+    layer = {}
+    for c in slow:
+        layer[f"_q_{c}"] = F.last(f"_r_{c}", ignorenulls=True).over(upto(1))
+    for c in market:
+        layer[f"_q_{c}"] = F.lag(f"_x_{c}").over(w)
+    df = df.withColumns(layer)
+    df = df.withColumns({f"_m_{c}": F.coalesce(F.min(f"_r_{c}" if c in slow else f"_x_{c}").over(every) > 0, F.lit(False)) for c in columns})
+    flat = {f"_t_{c}": F.when(F.col(f"_r_{c}").isNotNull(), stationary(c, F.col(f"_r_{c}"), F.col(f"_q_{c}"), F.col(f"_m_{c}"))) for c in slow}
+    flat |= {prefix + c: stationary(c, F.col(f"_x_{c}"), F.col(f"_q_{c}"), F.col(f"_m_{c}"), c in as_is) for c in market}
+    df = df.withColumns(flat)
+    # layer 3: a release holds until the next
+    df = df.withColumns({prefix + c: ffill(f"_t_{c}", w) for c in slow}) if slow else df
+    return df.drop("_i", *[f"_{k}_{c}" for c in columns for k in "xbpnrqmt"])
 
 
 def stationary_panel(df: DataFrame, columns: Sequence[str], macro_lag: int = 0, as_is: Sequence[str] = ()) -> DataFrame:
