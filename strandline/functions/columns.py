@@ -107,9 +107,22 @@ def messages(*pairs: tuple[Column, str | Column]) -> Column:
     return F.array_compact(F.array(*items))
 
 
+def nudge(digits: int) -> float:
+    """Offset added before rounding for comparison.
+
+    Quotients of cents often lie exactly on a rounding edge, where the last bit of a sum decides. The
+    offset moves the edge to where such values do not lie; both sides of a comparison add it.
+    """
+    return float(f"0.137e-{digits}")
+
+
+def nudged(c, digits: int) -> Column:
+    return F.round(col(c) + nudge(digits), digits)
+
+
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Round double columns for stable comparison; `special` sets digits per column."""
     out = []
     for name, typ in df.dtypes:
-        out.append(F.round(finite(name), special.get(name, digits)).alias(name) if typ == "double" else F.col(name))
+        out.append(nudged(finite(name), special.get(name, digits)).alias(name) if typ == "double" else F.col(name))
     return df.select(*out)

@@ -49,7 +49,8 @@ def asof_calendar(slow: DataFrame, tolerance_days: int | None, horizon_days: int
     """(series, date, value, source_date): the row of each series that is latest on each day."""
     reach = F.date_add("date", tolerance_days if tolerance_days is not None else horizon_days)
     upto = F.least(F.date_sub(F.lead("date").over(series("series")), 1), reach)
-    return slow.withColumn("_to", upto).select(
+    # a repeated date ends before it starts: its last row stands
+    return slow.withColumn("_to", upto).where(F.col("_to") >= F.col("date")).select(
         "series", F.col("date").alias("source_date"), "value", F.explode(F.sequence("date", "_to")).alias("date"))
 
 

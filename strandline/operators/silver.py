@@ -72,7 +72,7 @@ def cell_stats(raw: DataFrame) -> DataFrame:
     """Per (source, entity, measure): rows, days, nulls, mean, std. The day count groups by day first."""
     return raw.groupBy(*CELL).agg(
         F.count("*").alias("n_rows"), F.countDistinct("date").alias("n_days"), F.count_if(F.col("value").isNull()).alias("nulls"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.max("value").alias("top"))
 
 
 def entity_stats(stats: DataFrame) -> DataFrame:
@@ -241,23 +241,34 @@ def verdicts(stats: DataFrame, catalog: DataFrame, history: DataFrame | None = N
 
 
 def clean(raw: DataFrame, catalog: DataFrame, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, entity report). Rejected entities appear in the report with error_type set."""
-    raw = stage(scale_percentages(raw))
-    stats = stage(cell_stats(raw))
+    """(clean rows, entity report). Rejected entities appear in the report with error_type set.
+
+    Three passes over the raw table: statistics, quantiles, and one that scales, counts outliers, clips and
+    fills. Statistics and filled rows are written out, as several results read them.
+    """
+    hit = is_percentage() & (F.col("measure") == "value") & F.coalesce(F.col("top") > 1.0, F.lit(False))
+    stats = cell_stats(raw).withColumn("unit", F.when(hit, 100.0).otherwise(1.0))
+    stats = stage(stats.withColumn("mean", F.col("mean") / F.col("unit")).withColumn("std", F.col("std") / F.col("unit")))
     v = verdicts(stats, catalog, history)
     biggest = biggest_cell(stats)
     passed = v.where(F.col("pre_error").isNull()).select(*ENTITY)
-    good = raw.join(passed, list(ENTITY), "left_semi")
-    good_stats = stats.join(passed, list(ENTITY), "left_semi")
-    filled = stage(impute(winsorise(good, good_stats, biggest=biggest), biggest).drop("value").withColumnRenamed("filled", "value"))
+    kept = stats.join(passed, list(ENTITY), "left_semi").withColumnRenamed("unit", "_unit")
+    cells = with_contract(kept).select(*CELL, "mean", "std", "_unit", "z_limit", "winsorise")
+    wins = cells.where((F.col("std") > 0) & F.col("winsorise")).select(*CELL)
+    lim = sized_quantiles(raw.join(wins, list(CELL), "left_semi"), CELL, "value", {"_lo": 0.01, "_hi": 0.99}, biggest)
+    d = raw.join(cells.join(lim, list(CELL), "left"), list(CELL)).withColumn("value", F.col("value") / F.col("_unit"))
+    d = d.withColumn("outlier", F.coalesce((F.col("std") > 0) & (F.abs((F.col("value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))) > F.col("z_limit")), F.lit(False)))
+    d = d.withColumn("value", F.when(F.col("_lo").isNull(), F.col("value")).otherwise(clip("value", F.col("_lo") / F.col("_unit"), F.col("_hi") / F.col("_unit"))))
+    d = d.withColumn("unit_normalized", F.col("_unit") > 1).drop("mean", "std", "_unit", "z_limit", "winsorise", "_lo", "_hi")
+    filled = stage(impute(d, biggest).drop("value").withColumnRenamed("filled", "value"))
     price = (F.col("source") == "yfinance") & (F.col("measure") != "volume")
     after = filled.groupBy(*ENTITY).agg(
+        F.count_if("outlier").alias("outliers"),
         F.count_if(F.col("value").isNull()).alias("final_nulls"),
         F.count_if(price & (F.col("value") <= 0) | (F.col("measure") == "volume") & (F.col("value") < 0)).alias("bad_range"),
         F.count_if((F.col("source") == "worldbank") & ~F.coalesce(F.col("economy").rlike("^[A-Z]{3}$"), F.lit(False))).alias("bad_code"))
     moves = max_daily_move(filled).drop("max_move").withColumnRenamed("ok", "move_ok")
-    out = outlier_counts(good, good_stats)
-    rep = v.join(after, list(ENTITY), "left").join(out, list(ENTITY), "left").join(moves, list(ENTITY), "left")
+    rep = v.join(after, list(ENTITY), "left").join(moves, list(ENTITY), "left")
     err = (
         F.when(F.col("pre_error").isNotNull(), F.col("pre_error")).when(F.col("bad_range") > 0, "value_out_of_range")
         .when(~F.coalesce("move_ok", F.lit(True)), "daily_move_too_large").when(F.col("bad_code") > 0, "economy_code")
@@ -278,7 +289,7 @@ def clean(raw: DataFrame, catalog: DataFrame, history: DataFrame | None = None)
     audit = rep.where(F.col("status") == "success").select(
         *ENTITY, "imputed_count", F.col("outliers").alias("outliers_clipped"), F.col("n_rows").alias("initial_rows"),
         "initial_nulls", "quality_score")
-    return filled.join(audit, list(ENTITY)), rep
+    return filled.drop("outlier").join(audit, list(ENTITY)), rep
 
 
 def dead_letters(report: DataFrame) -> DataFrame:

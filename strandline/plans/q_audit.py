@@ -32,7 +32,7 @@ WT = "OVER (PARTITION BY ticker ORDER BY date"
 SRC3 = {k: GROUPS[k] for k in ("yfinance", "fred", "worldbank")}
 
 
-@query("aud1_source_breadth", sql(f"""SELECT e.source, e.expected, coalesce(o, 0) AS observed, coalesce(c, 0) AS economies, round(coalesce(o, 0) / e.expected, 4) AS ratio FROM ({values_sql(("source", "expected"), EXPECTED)}) e
+@query("aud1_source_breadth", sql(f"""SELECT e.source, e.expected, coalesce(o, 0) AS observed, coalesce(c, 0) AS economies, ROUND(coalesce(o, 0) / e.expected, 4) AS ratio FROM ({values_sql(("source", "expected"), EXPECTED)}) e
     LEFT JOIN (SELECT source, count(DISTINCT entity) AS o, count(DISTINCT CASE WHEN contains(entity, '__') THEN upper(split_part(entity, '__', 2)) END) AS c FROM raw GROUP BY 1) s ON s.source = e.source""", "raw"))
 def _(spark, d):
     return A.breadth(I.catalog(B.raw_entities(spark, d)), EXPECTED)
@@ -137,7 +137,7 @@ def _(spark, d):
     return r.withColumn("failed", F.array_join("failed", ",")).withColumn("warned", F.array_join("warned", ","))
 
 
-@query("aud13_ticker_density", sql("""SELECT t.ticker, coalesce(n, 0) AS rows, round(coalesce(np, 100.0), 2) AS null_pct, round(coalesce(y, 0.0), 1) AS years, CASE WHEN n IS NULL THEN 'MISSING' WHEN np > 15 OR y < 5 THEN 'FAIL' WHEN np < 5 AND y >= 6 THEN 'OK' ELSE 'WARN' END AS status FROM (
+@query("aud13_ticker_density", sql("""SELECT t.ticker, coalesce(n, 0) AS rows, ROUND(coalesce(np, 100.0), 2) AS null_pct, ROUND(coalesce(y, 0.0), 1) AS years, CASE WHEN n IS NULL THEN 'MISSING' WHEN np > 15 OR y < 5 THEN 'FAIL' WHEN np < 5 AND y >= 6 THEN 'OK' ELSE 'WARN' END AS status FROM (
     SELECT DISTINCT ticker FROM px UNION ALL SELECT 'ABSENT') t LEFT JOIN (SELECT ticker, count(*) AS n, 100.0 * count(*) FILTER (adj_close IS NULL) / count(*) AS np, (max(date) - min(date)) / 365.25 AS y FROM px_dirty GROUP BY 1) USING (ticker)""", "px", "px_dirty"))
 def _(spark, d):
     raw = B.raw_entities(spark, d).where((F.col("source") == "yfinance") & (F.col("measure") == "adj_close"))
@@ -165,7 +165,7 @@ def _(spark, d):
     return A.sector_coverage(*universe(spark, d))
 
 
-@query("aud14_diversification", sql("SELECT count(*) AS sectors, count(*) FILTER (present > 0) AS covered, round(100.0 * count(*) FILTER (present > 0) / count(*), 1) AS score FROM seccov", "seccov"))
+@query("aud14_diversification", sql("SELECT count(*) AS sectors, count(*) FILTER (present > 0) AS covered, ROUND(100.0 * count(*) FILTER (present > 0) / count(*), 1) AS score FROM seccov", "seccov"))
 def _(spark, d):
     return A.diversification(A.sector_coverage(*universe(spark, d)))
 
@@ -220,7 +220,7 @@ def rolling(spark, d):
     return R.rolling_elasticity(supervised(spark, d, ["inflation"]), "log_return", "inflation", 90)
 
 
-@query("dia4_regime_stability", sql("""SELECT ticker, n, round(robust_cv, 4) AS robust_cv, round(greatest(2.5, 4.0 * greatest(0.5, 1.0 - (n - 8) * 0.02)), 2)::DOUBLE AS "limit", robust_cv < greatest(2.5, 4.0 * greatest(0.5, 1.0 - (n - 8) * 0.02)) AS stable FROM (
+@query("dia4_regime_stability", sql("""SELECT ticker, n, round(robust_cv, 4) AS robust_cv, ROUND(greatest(2.5, 4.0 * greatest(0.5, 1.0 - (n - 8) * 0.02)), 2)::DOUBLE AS "limit", robust_cv < greatest(2.5, 4.0 * greatest(0.5, 1.0 - (n - 8) * 0.02)) AS stable FROM (
     SELECT ticker, count(*) AS n, (quantile_cont(elasticity, 0.75) - quantile_cont(elasticity, 0.25)) / abs(quantile_cont(elasticity, 0.5)) AS robust_cv FROM roll_e GROUP BY 1)""", "roll_e"))
 def _(spark, d):
     return rounded(D.regime_stability(rolling(spark, d)).drop("cv"), 4)

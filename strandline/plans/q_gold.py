@@ -142,6 +142,15 @@ def _(spark, d):
     return rounded(master(spark, d).select(*cols), 4, log_return=6)
 
 
+@query("macro_beta", sql("""SELECT ticker, count(log_return) FILTER (inflation IS NOT NULL) AS n, round(regr_slope(log_return, inflation) * 1e6, 4) AS beta_ppm, round(corr(log_return, inflation), 6) AS corr
+    FROM master GROUP BY 1""", "master"))
+def _(spark, d):
+    """Flagship: prices to clipped returns, macro as of each day, one-factor beta per ticker."""
+    m = G.master_table(B.bars(spark, d), B.macro(spark, d), MAC)
+    a = m.groupBy("ticker").agg(F.count(F.when(F.col("inflation").isNotNull(), F.col("log_return"))).alias("n"), (F.regr_slope("log_return", "inflation") * 1e6).alias("beta_ppm"), F.corr("log_return", "inflation").alias("corr"))
+    return rounded(a, 6, beta_ppm=4)
+
+
 GROUPS = {"yfinance": ["close"], "fred": MAC, "worldbank": IND, "other": ["age_days_trade_openness"]}
 
 
@@ -172,7 +181,7 @@ DENS = ["close", "log_return", *MAC, *IND]
 
 
 @query("gld16_null_density", sql("SELECT *, null_pct > 20 AS alert FROM (" + " UNION ALL ".join(
-    f'SELECT \'{c}\' AS "column", round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct FROM master' for c in DENS) + ")", "master"))
+    f'SELECT \'{c}\' AS "column", ROUND(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct FROM master' for c in DENS) + ")", "master"))
 def _(spark, d):
     return G.null_density(master(spark, d), DENS)
 

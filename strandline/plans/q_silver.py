@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.columns import rounded
+from ..functions.columns import nudged, rounded
 from ..functions.stage import stage
 from ..operators import silver as S
 from ..sources import bindings as B
@@ -68,7 +68,7 @@ def _clean(spark, d):
 @query("slv1_snake_case", sql("SELECT ticker, count(adj_close) AS n_adj_close, round(sum(volume), 2) AS volume FROM px GROUP BY 1", "px"))
 def _(spark, d):
     px = B.bars(spark, d).select("ticker", F.col("adj_close").alias("Adj Close"), F.col("volume").alias("VOLUME"))
-    return S.snake_case_columns(px).groupBy("ticker").agg(F.count("adj_close").alias("n_adj_close"), F.round(F.sum("volume"), 2).alias("volume"))
+    return S.snake_case_columns(px).groupBy("ticker").agg(F.count("adj_close").alias("n_adj_close"), nudged(F.sum("volume"), 2).alias("volume"))
 
 
 @query("slv2_align_dates", """SELECT source, date, count(*) AS n_rows FROM (
@@ -85,7 +85,7 @@ def _(spark, d):
     round(avg(value), 6) AS mean FROM scaled GROUP BY 1, 2, 3""", "scaled"))
 def _(spark, d):
     return S.scale_percentages(_raw(spark, d)).groupBy(*S.CELL).agg(
-        F.first("unit_normalized").alias("unit_normalized"), F.round(F.max("value"), 6).alias("top"), F.round(F.avg("value"), 6).alias("mean"))
+        F.first("unit_normalized").alias("unit_normalized"), nudged(F.max("value"), 6).alias("top"), nudged(F.avg("value"), 6).alias("mean"))
 
 
 @query("slv4_preflight_rows", sql("""SELECT source, entity, n_rows, n_rows * 2 AS expected_rows, n_rows >= 10 AS enough_rows, true AS enough_share FROM ent""", "ent"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.columns import rounded, values_sql
+from ..functions.columns import nudged, rounded, values_sql
 from ..session import ensure_checkpoint_dir
 from ..sources import bindings as B
 from ..sources import ingest as I
@@ -24,7 +24,7 @@ def _(spark, d):
     df = I.scan(spark, f"{d}/lineitem.parquet", "l_returnflag string, l_shipdate timestamp_ntz, l_quantity double")
     return df.groupBy(F.col("l_returnflag").alias("entity")).agg(
         F.count("*").alias("n_rows"), F.min(F.to_date("l_shipdate")).alias("first_date"),
-        F.max(F.to_date("l_shipdate")).alias("last_date"), F.round(F.sum("l_quantity"), 2).alias("volume"))
+        F.max(F.to_date("l_shipdate")).alias("last_date"), nudged(F.sum("l_quantity"), 2).alias("volume"))
 
 
 @query("src2_entity_from_file", """SELECT 'ORDERS' AS entity, count(*) AS n_rows FROM orders
@@ -53,7 +53,7 @@ def _(spark, d):
 def _(spark, d):
     df = I.canonical_columns(_messy(spark, d), "yfinance")
     return df.groupBy("ticker").agg(F.count("*").alias("n_rows"), F.count("Adj Close").alias("n_known"),
-                                    F.round(F.sum("Adj Close"), 4).alias("adj_total"))
+                                    nudged(F.sum("Adj Close"), 4).alias("adj_total"))
 
 
 @query("src5_adjusted_close_fallback", sql("""SELECT ticker, date, round(coalesce(CASE WHEN month(date) > 6 THEN adj_close END, close), 6) AS adj
@@ -61,7 +61,7 @@ def _(spark, d):
 def _(spark, d):
     px = B.bars(spark, d).select("ticker", "date", F.col("close").alias("Close"),
                                  F.when(F.month("date") > 6, F.col("adj_close")).alias("Adj Close"))
-    return I.with_adjusted_close(px).select("ticker", "date", F.round("Adj Close", 6).alias("adj"))
+    return I.with_adjusted_close(px).select("ticker", "date", nudged("Adj Close", 6).alias("adj"))
 
 
 def _wide(spark, d):
