@@ -94,11 +94,13 @@ def price_paths(inputs: DataFrame, days: int = 252, paths: int = 1000, seed: int
     """(ticker, path, day, price) for all tickers.
 
     Rows are placed by (ticker, path) before days are generated, so the cumulative window runs on the
-    placement it finds, a ticker's paths spread over tasks, and only one row per path is shuffled.
+    placement it finds, a ticker's paths spread over tasks, and only one row per path is shuffled. The
+    number of partitions is stated, as adaptive execution would merge them by their size before days.
     """
+    parts = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = inputs.select("ticker", "last_price", "drift", "volatility",
                       (F.col("jump_shock") if "jump_shock" in inputs.columns else F.lit(0.0)).alias("jump"),
-                      F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path")).repartition("ticker", "path")
+                      F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path")).repartition(parts, "ticker", "path")
     d = d.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
     z = hashed_normal(F.col("ticker"), F.col("path"), F.col("day"), seed=seed)
     step = F.col("drift") - 0.5 * F.col("volatility") * F.col("volatility") + F.col("volatility") * z

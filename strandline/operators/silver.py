@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from ..functions import quantiles as Q
 from ..functions.columns import clip, messages, series, values_table
 from ..functions.fills import fill_both_ways
 from ..functions.quantiles import sized_quantiles
@@ -68,11 +69,15 @@ def with_contract(df: DataFrame) -> DataFrame:
     return out.select(*keep, *[F.coalesce(f"_own_{n}", f"_src_{n}", F.lit(d)).alias(n) for n, d in zip(names, X.CONTRACT_DEFAULT)])
 
 
-def cell_stats(raw: DataFrame) -> DataFrame:
-    """Per (source, entity, measure): rows, days, nulls, mean, std. The day count groups by day first."""
+def cell_stats(raw: DataFrame, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """Per (source, entity, measure): rows, days, nulls, mean, std. The day count groups by day first.
+
+    Quantiles are added on request, for tables whose size was checked.
+    """
+    q = [F.percentile("value", F.lit(p)).alias(k) for k, p in (quantiles or {}).items()]
     return raw.groupBy(*CELL).agg(
         F.count("*").alias("n_rows"), F.countDistinct("date").alias("n_days"), F.count_if(F.col("value").isNull()).alias("nulls"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.max("value").alias("top"))
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.max("value").alias("top"), *q)
 
 
 def entity_stats(stats: DataFrame) -> DataFrame:
@@ -247,16 +252,21 @@ def clean(raw: DataFrame, catalog: DataFrame, history: DataFrame | None = None)
     fills. Statistics and filled rows are written out, as several results read them.
     """
     hit = is_percentage() & (F.col("measure") == "value") & F.coalesce(F.col("top") > 1.0, F.lit(False))
-    stats = cell_stats(raw).withColumn("unit", F.when(hit, 100.0).otherwise(1.0))
+    small = raw.count() <= Q.SMALL_GROUP  # then no group can exceed a task and quantiles come with the statistics
+    stats = cell_stats(raw, {"_lo": 0.01, "_hi": 0.99} if small else None).withColumn("unit", F.when(hit, 100.0).otherwise(1.0))
     stats = stage(stats.withColumn("mean", F.col("mean") / F.col("unit")).withColumn("std", F.col("std") / F.col("unit")))
     v = verdicts(stats, catalog, history)
     biggest = biggest_cell(stats)
     passed = v.where(F.col("pre_error").isNull()).select(*ENTITY)
     kept = stats.join(passed, list(ENTITY), "left_semi").withColumnRenamed("unit", "_unit")
     cells = with_contract(kept).select(*CELL, "mean", "std", "_unit", "z_limit", "winsorise")
-    wins = cells.where((F.col("std") > 0) & F.col("winsorise")).select(*CELL)
-    lim = sized_quantiles(raw.join(wins, list(CELL), "left_semi"), CELL, "value", {"_lo": 0.01, "_hi": 0.99}, biggest)
-    d = raw.join(cells.join(lim, list(CELL), "left"), list(CELL)).withColumn("value", F.col("value") / F.col("_unit"))
+    clips = (F.col("std") > 0) & F.col("winsorise")
+    if small:
+        cells = cells.join(kept.select(*CELL, "_lo", "_hi"), list(CELL)).withColumn("_lo", F.when(clips, F.col("_lo"))).withColumn("_hi", F.when(clips, F.col("_hi")))
+    else:
+        lim = sized_quantiles(raw.join(cells.where(clips).select(*CELL), list(CELL), "left_semi"), CELL, "value", {"_lo": 0.01, "_hi": 0.99}, biggest)
+        cells = cells.join(lim, list(CELL), "left")
+    d = raw.join(cells, list(CELL)).withColumn("value", F.col("value") / F.col("_unit"))
     d = d.withColumn("outlier", F.coalesce((F.col("std") > 0) & (F.abs((F.col("value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))) > F.col("z_limit")), F.lit(False)))
     d = d.withColumn("value", F.when(F.col("_lo").isNull(), F.col("value")).otherwise(clip("value", F.col("_lo") / F.col("_unit"), F.col("_hi") / F.col("_unit"))))
     d = d.withColumn("unit_normalized", F.col("_unit") > 1).drop("mean", "std", "_unit", "z_limit", "winsorise", "_lo", "_hi")

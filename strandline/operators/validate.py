@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sums as S
-from ..functions.columns import div, finite, messages, rolling, running, series, values_table, whole
+from ..functions.columns import div, finite, messages, rolling, running, series, whole
 from .regress import choose_lag, winsorise_columns
 from .relate import long_features
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import rounded, series, values_sql
+from ..functions.columns import rounded, values_sql
 from ..functions.stage import stage
 from ..operators import audit as A
 from ..operators import backtest as K
@@ -22,8 +22,7 @@ from ..streaming import cleaning, levels
 from .ctes import cte, sql
 from .q_backtest import ONE, naive_predictions
 from .q_gold import GROUPS, IND, MAC, anyof, master, supervised
-from .q_regress import EVENTS  # noqa: F401
-from .q_silver import _clean, _raw
+from .q_silver import _clean
 from .q_sources import EXPECTED, _sink_path
 from .q_validate import decisions
 from .registry import query
@@ -143,7 +142,7 @@ def _(spark, d):
     raw = B.raw_entities(spark, d).where((F.col("source") == "yfinance") & (F.col("measure") == "adj_close"))
     px = raw.select(F.col("entity").alias("ticker"), "date", F.col("value").alias("adj_close"))
     exp = B.bars(spark, d).select("ticker").distinct()
-    exp = exp.unionByName(exp.limit(1).select(F.lit("ABSENT").alias("ticker")))
+    exp = exp.unionByName(exp.agg(F.max(F.lit("ABSENT")).alias("ticker")))
     return A.ticker_density(px, exp, min_years=6.0)
 
 

@@ -167,6 +167,29 @@ def _(spark, d):
     return K.ar_forecast(K.forecast_input(master(spark, d), "close"), 2, 10)
 
 
+cte("ar1", f"SELECT ticker, date, v, lag(v) {WL} AS l FROM (SELECT ticker, date, ln(close / lag(close) {WL}) AS v FROM master) WHERE v IS NOT NULL", "master")
+
+
+@query("reg18_ar_one_step", sql("""SELECT ticker, round(c + b * last, 6) AS forecast, round(c + b * last - 1.6448536269514722 * s, 6) AS lower, round(c + b * last + 1.6448536269514722 * s, 6) AS upper FROM (
+    SELECT ticker, b, c, last, sqrt(avg((v - c - b * l) ** 2)) AS s FROM ar1 JOIN (SELECT ticker, regr_slope(v, l) AS b, regr_intercept(v, l) AS c, max_by(v, date) AS last FROM ar1 GROUP BY 1) USING (ticker) WHERE l IS NOT NULL GROUP BY 1, 2, 3, 4)""", "ar1"))
+def _(spark, d):
+    f = K.ar_forecast(K.forecast_input(master(spark, d), "close"), 1, 1)
+    return rounded(f.select("ticker", "forecast", "lower", "upper"))
+
+
+cte("cv1", "SELECT *, energy_index AS x, log_return AS y FROM folds", "folds")
+cte("cv2", """SELECT t.ticker, t.fold, 0.5 AS alpha, covar_pop(y, x) * count(*) AS sxy, var_pop(x) * count(*) AS sxx, avg(x) AS mx, avg(y) AS my, count(*) AS n_train FROM (SELECT DISTINCT ticker, fold FROM cv1 WHERE fold > 0) t
+    JOIN cv1 a ON a.ticker = t.ticker AND a.fold < t.fold GROUP BY 1, 2""", "cv1")
+
+
+@query("reg10_ridge_cv_one_factor", sql("""SELECT ticker, CAST(fold AS BIGINT) AS fold, any_value(n_train) AS n_train, count(*) AS n_test, round(1 - sum((y - my - b * (x - mx)) ** 2) / (var_pop(y) * count(*)), 5) AS r2 FROM cv1
+    JOIN (SELECT *, sxy / (sxx + alpha * sxx / n_train) AS b FROM cv2) USING (ticker, fold) GROUP BY 1, 2""", "cv1", "cv2"))
+def _(spark, d):
+    # folds are cut on the frame of all factors, as everywhere
+    s = supervised(spark, d)
+    return rounded(K.ridge_cv(s, "log_return", ["energy_index"], (0.5,)).select("ticker", "fold", "n_train", "n_test", "r2"), 5)
+
+
 @query("reg19_forecast_input", sql(f"SELECT ticker, date, 'close' AS col, round(ln(close / lag(close) {WL}), 6) AS v FROM master QUALIFY v IS NOT NULL UNION ALL SELECT ticker, date, 'inflation', round(inflation - lag(inflation) {WL}, 4) AS v FROM master QUALIFY v IS NOT NULL", "master"))
 def _(spark, d):
     m = master(spark, d)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded, series, values_sql, values_table
 from ..functions.stage import stage
 from ..operators import backtest as K
-from ..operators import gold as G
 from ..operators import transforms as T
 from ..operators import validate as V
 from ..sources import bindings as B
@@ -87,6 +86,19 @@ def _(spark, d):
     return V.walk_forward_summary(V.walk_forward(supervised(spark, d), "log_return", MAC))
 
 
+cte("wf1", """SELECT ticker, date, log_return AS y, energy_index AS x, CASE WHEN i < 60 THEN 0 ELSE 1 + (i - 60) // greatest(20, (n - 60) // 4) END AS win FROM (
+    SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, date, y AS log_return, energy_index FROM panel WHERE y IS NOT NULL AND energy_index IS NOT NULL))""", "panel")
+cte("wf2", """SELECT t.ticker, t.win, regr_slope(a.y, a.x) AS b, regr_intercept(a.y, a.x) AS c, count(*) AS n_train FROM (SELECT DISTINCT ticker, win FROM wf1 WHERE win BETWEEN 1 AND 4) t
+    JOIN wf1 a ON a.ticker = t.ticker AND a.win < t.win GROUP BY 1, 2""", "wf1")
+
+
+@query("val7_walk_forward_one_factor", sql("""SELECT ticker, win AS "window", any_value(n_train) AS n_train, count(*) AS n_test, round(1 - sum((y - c - b * x) ** 2) / (var_pop(y) * count(*)), 5) AS r2, round(sqrt(avg((y - c - b * x) ** 2)), 6) AS rmse
+    FROM wf1 JOIN wf2 USING (ticker, win) GROUP BY 1, 2 HAVING count(*) >= 20""", "wf1", "wf2"))
+def _(spark, d):
+    w = V.walk_forward(supervised(spark, d, ["energy_index"]), "log_return", ["energy_index"])
+    return rounded(w, 6, r2=5)
+
+
 @query("val8_bootstrap_band")
 def _(spark, d):
     p, _ = V.walk_forward_predictions(supervised(spark, d), "log_return", MAC)

@@ -30,7 +30,7 @@ def build_session(app: str = "strandline", master: str | None = None, shuffle_pa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a local one only when none is set (tests)."""
+    """Use the shared folder the cluster names; fall back to a temporary one only in local mode (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         spark.sparkContext.setCheckpointDir(shared)
@@ -38,6 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     local = tempfile.mkdtemp(prefix="strandline-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
