@@ -305,3 +305,15 @@ def test_solver_matrix_round_trip():
     g = z.T @ z
     np.testing.assert_allclose(S.matrix(g[np.triu_indices(4)]), g)
     assert S.normal_tail(1.959964) == pytest.approx(0.05, abs=1e-6)
+
+
+def test_worker_functions_travel_without_the_package(tmp_path):
+    """Executors hold no copy of the package: a pickled worker function must load without it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    blob = tmp_path / "f.pkl"
+    blob.write_bytes(cloudpickle.dumps([relate._pair_block, backtest._managed_positions, S.ridge, S.ols]))
+    code = f"import pickle, sys; fs = pickle.load(open({str(blob)!r}, 'rb')); assert len(fs) == 4 and 'strandline' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60, env={"PATH": "/usr/bin:/bin"})
