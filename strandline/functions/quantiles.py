@@ -14,17 +14,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import stage
+from .stage import broadcast_counted, stage
 
 CELLS = 1024
 SMALL_GROUP = 1_000_000  # up to this many rows a group's values fit one task's aggregation buffer
 
 
-def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, rounds: int = 2) -> DataFrame:
+def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, n_ranks: int, rounds: int = 2) -> DataFrame:
     """Value at zero-based `rank` for each row of `ranks` (keys, rank, _lo, _hi); nulls are not ranked.
 
     _lo and _hi are the least and greatest value of the group. `ranks` has one row per group and wanted
-    rank, so it is as small as the result.
+    rank; every pass keeps that number of rows, so its measured count decides on broadcasting.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -42,13 +42,13 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame
     for _ in range(rounds):
         # each cell reports the least and greatest value it holds, so the next pass cuts real data range
         counts = (
-            data.join(want, keys).where(inside).groupBy(*keys, "rank", "_rest", cell.alias("_cell"))
+            data.join(broadcast_counted(want, n_ranks), keys).where(inside).groupBy(*keys, "rank", "_rest", cell.alias("_cell"))
             .agg(F.count("*").alias("_n"), F.min("_v").alias("_clo"), F.max("_v").alias("_chi"))
         )
         want = containing(counts, "_cell").select(
             *keys, "rank", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest"),
             F.col("_clo").alias("_lo"), F.col("_chi").alias("_hi"))
-    left = data.join(want, keys).where(inside).groupBy(*keys, "rank", "_rest", "_v").agg(F.count("*").alias("_n"))
+    left = data.join(broadcast_counted(want, n_ranks), keys).where(inside).groupBy(*keys, "rank", "_rest", "_v").agg(F.count("*").alias("_n"))
     return containing(left, "_v").select(*keys, "rank", F.col("_v").alias("value"))
 
 
@@ -69,7 +69,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     hi = F.least(lo + 1, F.col("_n") - 1) if interpolate else lo
     spots = stage(pos.select(*keys, "_name", (F.col("_pos") - lo).alias("_f"),
                        F.explode(F.array_distinct(F.array(lo, hi))).alias("rank"), lo.alias("_lo_rank"), "_lo", "_hi"))
-    found = rank_values(df, keys, value, spots)
+    found = rank_values(df, keys, value, spots, spots.count())
     both = spots.drop("_lo", "_hi").join(found, [*keys, "rank"])
     is_lo = F.col("rank") == F.col("_lo_rank")
     v_lo, v_hi = F.max(F.when(is_lo, F.col("value"))), F.max(F.when(~is_lo, F.col("value")))

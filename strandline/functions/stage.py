@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -19,3 +20,20 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/strandline-stage-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 500_000  # narrow per-group rows; about 50 MB at the most
+
+
+def broadcast_counted(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a narrow table whose row count was measured; beyond the limit the planner shuffles it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A per-group aggregate made ready to meet its own raw rows: written once, counted, broadcast if small.
+
+    Without this the planner cannot know that the aggregate is small and would shuffle the raw rows.
+    """
+    written = stage(df)
+    return broadcast_counted(written, written.count())

@@ -19,7 +19,7 @@ from ..functions import quantiles as Q
 from ..functions.columns import clip, messages, series, values_table
 from ..functions.fills import fill_both_ways
 from ..functions.quantiles import sized_quantiles
-from ..functions.stage import stage
+from ..functions.stage import broadcast_counted, small_side, stage
 
 CELL = ("source", "entity", "measure")
 ENTITY = ("source", "entity")
@@ -52,7 +52,7 @@ def scale_percentages(raw: DataFrame) -> DataFrame:
     """Divide percentage entities by 100 when their maximum exceeds 1; adds unit_normalized."""
     tops = raw.where(is_percentage() & (F.col("measure") == "value")).groupBy(*ENTITY).agg(F.max("value").alias("_top"))
     hit = F.coalesce(F.col("_top") > 1.0, F.lit(False))
-    return raw.join(tops, list(ENTITY), "left").withColumn("unit_normalized", hit).withColumn(
+    return raw.join(small_side(tops), list(ENTITY), "left").withColumn("unit_normalized", hit).withColumn(
         "value", F.when(hit, F.col("value") / 100.0).otherwise(F.col("value"))).drop("_top")
 
 
@@ -123,7 +123,7 @@ def outlier_counts(raw: DataFrame, stats: DataFrame) -> DataFrame:
     """Cells beyond the contract's z limit, per entity."""
     lim = with_contract(stats.where(F.col("std") > 0)).select(*CELL, "mean", "std", "z_limit")
     far = F.abs((F.col("value") - F.col("mean")) / F.col("std")) > F.col("z_limit")
-    return raw.join(lim, list(CELL)).groupBy(*ENTITY).agg(F.count_if(far).alias("outliers"))
+    return raw.join(small_side(lim), list(CELL)).groupBy(*ENTITY).agg(F.count_if(far).alias("outliers"))
 
 
 def biggest_cell(stats: DataFrame) -> int:
@@ -135,8 +135,8 @@ def winsorise(raw: DataFrame, stats: DataFrame, lo: float = 0.01, hi: float = 0.
     """Clip cells at the group's exact P1/P99 where the contract says so and the group varies."""
     todo = with_contract(stats.where(F.col("std") > 0)).where("winsorise").select(*CELL)
     biggest = biggest_cell(stats) if biggest is None else biggest
-    lim = sized_quantiles(raw.join(todo, list(CELL), "left_semi"), CELL, "value", {"_lo": lo, "_hi": hi}, biggest)
-    out = raw.join(lim, list(CELL), "left")
+    lim = sized_quantiles(raw.join(small_side(todo), list(CELL), "left_semi"), CELL, "value", {"_lo": lo, "_hi": hi}, biggest)
+    out = raw.join(small_side(lim), list(CELL), "left")
     return out.withColumn("value", F.when(F.col("_lo").isNull(), F.col("value")).otherwise(
         clip("value", F.col("_lo"), F.col("_hi")))).drop("_lo", "_hi")
 
@@ -264,9 +264,9 @@ def clean(raw: DataFrame, catalog: DataFrame, history: DataFrame | None = None)
     if small:
         cells = cells.join(kept.select(*CELL, "_lo", "_hi"), list(CELL)).withColumn("_lo", F.when(clips, F.col("_lo"))).withColumn("_hi", F.when(clips, F.col("_hi")))
     else:
-        lim = sized_quantiles(raw.join(cells.where(clips).select(*CELL), list(CELL), "left_semi"), CELL, "value", {"_lo": 0.01, "_hi": 0.99}, biggest)
+        lim = sized_quantiles(raw.join(broadcast_counted(cells.where(clips).select(*CELL), stats.count()), list(CELL), "left_semi"), CELL, "value", {"_lo": 0.01, "_hi": 0.99}, biggest)
         cells = cells.join(lim, list(CELL), "left")
-    d = raw.join(cells, list(CELL)).withColumn("value", F.col("value") / F.col("_unit"))
+    d = raw.join(broadcast_counted(cells, stats.count()), list(CELL)).withColumn("value", F.col("value") / F.col("_unit"))
     d = d.withColumn("outlier", F.coalesce((F.col("std") > 0) & (F.abs((F.col("value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))) > F.col("z_limit")), F.lit(False)))
     d = d.withColumn("value", F.when(F.col("_lo").isNull(), F.col("value")).otherwise(clip("value", F.col("_lo") / F.col("_unit"), F.col("_hi") / F.col("_unit"))))
     d = d.withColumn("unit_normalized", F.col("_unit") > 1).drop("mean", "std", "_unit", "z_limit", "winsorise", "_lo", "_hi")
@@ -299,7 +299,7 @@ def clean(raw: DataFrame, catalog: DataFrame, history: DataFrame | None = None)
     audit = rep.where(F.col("status") == "success").select(
         *ENTITY, "imputed_count", F.col("outliers").alias("outliers_clipped"), F.col("n_rows").alias("initial_rows"),
         "initial_nulls", "quality_score")
-    return filled.drop("outlier").join(audit, list(ENTITY)), rep
+    return filled.drop("outlier").join(broadcast_counted(audit, stats.count()), list(ENTITY)), rep
 
 
 def dead_letters(report: DataFrame) -> DataFrame:
