@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import language_id, pieces, toxicity, url_filter
 from .exact_dedup import exact_duplicates
 from .packing import pack
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
+from .toxicity import held_out
 
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -12,11 +16,37 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM n WINDOW w AS (PARTITION BY text_sha256)"""
 
 
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.learnable(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
+
+
 @query("op3_exact_dedup", EXACT_SQL)
 def op3(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("bucket", "chain")
 
 
+@query("op4_url_filter")
+def op4(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out("doc_id", 3, 1)))
+    return language_id.predict(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_sentencepiece")
+def op7(spark, sf_dir):
+    """Per document: number and crc32 of its ids, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents")
+    return pieces.round_trip(docs)
+
+
 @query("op9_packing")
 def op9(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
