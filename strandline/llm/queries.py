@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, pieces, toxicity, url_filter
+from . import language_id, lm_score, pieces, toxicity, url_filter
 from .exact_dedup import exact_duplicates
 from .packing import pack
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -33,6 +33,12 @@ def op4(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+@query("op5_lm_score")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, ~held_out("doc_id", 7, 2)).withColumn("held_out", held_out("doc_id", 7, 2))
+
+
 @query("op6_language_id")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
