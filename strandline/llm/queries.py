@@ -9,6 +9,7 @@ from .exact_dedup import exact_duplicates
 from .packing import pack
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 from .toxicity import held_out
+from .vectors import near_vectors
 
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -16,6 +17,11 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM n WINDOW w AS (PARTITION BY text_sha256)"""
 
 
+@query("op1_near_vectors")
+def op1(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_toxicity")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
