@@ -8,6 +8,7 @@ from . import language_id, lm_score, pieces, toxicity, url_filter
 from .exact_dedup import exact_duplicates
 from .packing import pack
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
+from .substrings import remove_repeats
 from .toxicity import held_out
 from .vectors import near_vectors
 
@@ -62,3 +63,8 @@ def op7(spark, sf_dir):
 @query("op9_packing")
 def op9(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
