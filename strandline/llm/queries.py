@@ -26,7 +26,7 @@ def op1(spark, sf_dir):
 @query("op2_toxicity")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.learnable(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
 
 

@@ -12,7 +12,7 @@ them is a power of a 2 x 2 matrix in closed form: the result is that of the full
 evidence. Marginals above one half give the offending offsets; the largest marginal, their sum and their density go
 into a logistic function fit on labelled texts that the field has not seen.
 
-Fitting uses a bounded sample: about `sample` different texts of each label by a hash of the text. Scoring is a map
+Fitting uses a bounded sample: about `sample` documents of each label by a hash of the id, equal texts once. Scoring is a map
 without shuffle; the broadcast model holds evidence features of that sample only.
 
 Defined cases: null and empty texts have no tokens and get the score of a text without evidence; without labels of
@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stage import stage
 from .words import Words, buffers, plain_spaces, slices, words
 
 SAMPLE, MIN_DOCS, LIFT, THRESHOLD = 4000, 3, 6.0, 0.3
@@ -189,18 +190,19 @@ def train(model: Field, segments: list[tuple[int, np.ndarray, list[list[int]], n
     model.weights, model.bias, model.start, model.step = w[:k], float(w[k]), w[k + 1:k + 3], w[k + 3:].reshape(2, 2)
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Field:
-    """labelled: rows to learn from, with their text and 0/1 label."""
-    rows = labelled.where(F.col(toxic).isNotNull()).select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic")).where("text is not null")
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, marks: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Field:
+    """marks: doc_id and 0/1 toxic of the documents to learn from."""
+    counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Field()
     if not counts.get(0) or not counts.get(1):
         return model
-    draw = F.pmod(F.xxhash64("text", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, sample / counts[1]).otherwise(sample / counts[0])
     part = F.pmod(F.xxhash64("text", F.lit("part")), F.lit(4))
-    # copies of a text have one draw and meet here; the sample is bounded, so are these rows
-    chosen = rows.where(draw < share).groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("part", part)
+    # the sampled ids are about 2 * sample rows whatever the corpus, so they are broadcast and no text is shuffled for them;
+    # copies of a text meet in the grouping, over the sample alone
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks.where(draw < share)), "doc_id")
+    chosen = stage(rows.where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("part", part))
 
     def count(batches):
         for batch in slices(batches):
@@ -309,10 +311,24 @@ def score(docs: DataFrame, model: Field, text: str = "text", doc_id: str = "doc_
     return rows.mapInArrow(tag, "doc_id long, score double, predicted int, spans array<struct<begin:long,end:long,probability:double>>")
 
 
-def learnable(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Texts and labels of documents that may be learned from."""
-    marks = labels.groupBy(F.col("doc_id")).agg(F.max("toxic").alias("toxic")).where(held_out("doc_id") == F.lit(False))
-    return docs.select(F.col(doc_id).alias("doc_id"), "text").join(marks, "doc_id").select("text", "toxic")
+def without_toxic(docs: DataFrame, model: Field, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold; no row is moved for it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches):
+        m = shared.value
+        for batch in slices(batches, text):
+            w = words(batch.column(text))
+            z = summaries(np.diff(w.starts), tagged(m, w)[1]) @ m.scale[:3] + m.scale[3]
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """Labels of documents that may be learned from, one row per document."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    return known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2):
