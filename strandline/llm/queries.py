@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, lm_score, pieces, toxicity, url_filter
 from .exact_dedup import exact_duplicates
+from .near_dedup import near_duplicates
 from .packing import pack
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 from .substrings import remove_repeats
@@ -60,6 +61,11 @@ def op7(spark, sf_dir):
     return pieces.round_trip(docs)
 
 
+@query("op8_near_dedup")
+def op8(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op9_packing")
 def op9(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))

@@ -20,7 +20,8 @@ coordinates, of its source; a path whose digests differ is taken out again.
 
 Defined cases: null and empty texts have no words and the digest of the empty string; texts shorter than a window lose
 nothing; rows that repeat an id are taken to repeat its text and don't
-repeat each other; an empty table gives an empty result; extra columns are ignored.
+repeat each other; rows without an id are left
+out; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def repeated_windows(docs: DataFrame, base: DataFrame, window: int, kmer: int) -
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, paths (begin, words, source, source_begin; the source of a
     whole copy is the text it copies) and kept_text (the kept words joined by one space; null where nothing is removed)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
 
     def survey(batches):
         for batch in slices(batches):
