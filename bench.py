@@ -24,10 +24,6 @@ HEADLINES = [
 ]
 
 
-def paths_252_x_1000(spark, d):
-    return risk.terminal_risk(risk.price_paths(risk.risk_inputs(returns(spark, d), "inflation"), 252, 1000), 252)
-
-
 LANDED = {}
 
 
@@ -53,7 +49,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", int(cpus), "12g")
     spark.sparkContext.setLogLevel("ERROR")
-    runs = {n: QUERIES[n] for n in HEADLINES} | {"bronze_landing": bronze_landing, "silver_stage": silver_stage, "paths_252_x_1000": paths_252_x_1000, "max_drawdown": drawdown}
+    runs = {n: QUERIES[n] for n in HEADLINES} | {"bronze_landing": bronze_landing, "silver_stage": silver_stage, "max_drawdown": drawdown}
     master(spark, sf_dir).write.format("noop").mode("overwrite").save()  # start-up cost of the JVM is not a query
     took = {}
     for name, fn in runs.items():

@@ -75,7 +75,6 @@ RETURN_CLIP = math.log(1.25)
 MACRO_TOLERANCE_DAYS = 120
 INDICATOR_TOLERANCE_DAYS = 730
 NULL_ALERT_PCT = 20.0
-PROXY_ENTITIES = 30
 PROXY_CLIP = 0.08
 
 # --- fixed values: stress scenarios ---------------------------------------------------------------

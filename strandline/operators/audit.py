@@ -172,11 +172,11 @@ def diversification(cov: DataFrame) -> DataFrame:
     return cov.agg(F.count("*").alias("sectors"), F.count_if("covered").alias("covered"), F.round(F.avg(F.col("covered").cast("double")) * 100, 1).alias("score"))
 
 
-def expansion_candidates(universe: DataFrame, present: DataFrame, limit: int = 8) -> DataFrame:
-    """First missing ticker of each sector with at most one ticker at hand; a report of at most `limit` rows."""
+def expansion_candidates(universe: DataFrame, present: DataFrame) -> DataFrame:
+    """First missing ticker of each sector with at most one ticker at hand."""
     thin = sector_coverage(universe, present).where(F.col("present") <= 1).select("sector", "present")
     absent = universe.join(present.select("ticker").distinct(), "ticker", "left_anti").groupBy("sector").agg(F.min_by("ticker", "place").alias("ticker"))
-    return thin.join(absent, "sector").select("sector", "ticker", (F.col("present") == 0).alias("new_sector")).orderBy("sector").limit(limit)
+    return thin.join(absent, "sector").select("sector", "ticker", (F.col("present") == 0).alias("new_sector"))
 
 
 def issue_list(*rules: tuple[str, str, DataFrame]) -> DataFrame:

@@ -206,12 +206,13 @@ def worst_outlier_share(report: DataFrame) -> DataFrame:
     return report.where(F.col("status") == "success").agg(F.max(div("outliers", "n_rows")).alias("outlier_ratio"))
 
 
-def diagnose(findings: DataFrame, key: str = "ticker") -> DataFrame:
-    """(key, score, findings, limits): 100 minus the penalty of each finding; few findings per key."""
+def diagnose(findings: DataFrame, keys: DataFrame, key: str = "ticker") -> DataFrame:
+    """(key, score, findings, limits) for every row of `keys`: 100 minus the penalty of each finding, 100 without any."""
     p = values_table(findings.sparkSession, ("finding", "penalty", "limit_text"), PENALTIES)
     j = findings.join(F.broadcast(p), "finding")
     a = j.groupBy(key).agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.sum("penalty"))).alias("score"), F.array_sort(F.collect_set("finding")).alias("findings"), F.array_sort(F.collect_set("limit_text")).alias("limits"))
-    return a
+    none = F.array().cast("array<string>")
+    return keys.join(a, key, "left").select(key, F.coalesce("score", F.lit(100.0)).alias("score"), F.coalesce("findings", none).alias("findings"), F.coalesce("limits", none).alias("limits"))
 
 
 def finding(table: DataFrame, flag: Column | str, name: str, key: str = "ticker") -> DataFrame:

@@ -45,11 +45,17 @@ def clipped_returns(df: DataFrame, limit: float = X.RETURN_CLIP) -> DataFrame:
     return df.groupBy("ticker").agg(F.count("raw_return").alias("n_returns"), F.count_if(F.abs("raw_return") > limit).alias("n_clipped"))
 
 
-def asof_calendar(slow: DataFrame, tolerance_days: int | None, horizon_days: int = 3660) -> DataFrame:
-    """(series, date, value, source_date): the row of each series that is latest on each day."""
-    reach = F.date_add("date", tolerance_days if tolerance_days is not None else horizon_days)
-    upto = F.least(F.date_sub(F.lead("date").over(series("series")), 1), reach)
-    # a repeated date ends before it starts: its last row stands
+def asof_calendar(slow: DataFrame, tolerance_days: int | None, until: Column | None = None, order: str | None = None) -> DataFrame:
+    """(series, date, value, source_date): the row of each series that is latest on each day.
+
+    A value holds for the tolerance, or without one up to `until`, the last day that will be asked for. Of rows on
+    one date the last by `order` stands (the ingest order), or the greatest value where none is named.
+    """
+    slow = keep_last(slow, ["series", "date"], order or "value").select("series", "date", "value")
+    if tolerance_days is None and until is None:
+        raise ValueError("without a tolerance the last day must be given")
+    reach = F.date_add("date", tolerance_days) if tolerance_days is not None else F.greatest(F.to_date(until), F.col("date"))
+    upto = F.coalesce(F.least(F.date_sub(F.lead("date").over(series("series")), 1), reach), reach)
     return slow.withColumn("_to", upto).where(F.col("_to") >= F.col("date")).select(
         "series", F.col("date").alias("source_date"), "value", F.explode(F.sequence("date", "_to")).alias("date"))
 
@@ -200,6 +206,7 @@ def bounded_fill(slow: DataFrame, limit: int = 5) -> DataFrame:
 
 def merged_frame(prices: DataFrame, slow: DataFrame, names: Sequence[str], limit: int = 5) -> DataFrame:
     """Prices with bounded-filled series as of each day, no tolerance; rows with nothing are dropped."""
-    wide = widen(asof_calendar(bounded_fill(slow, limit), None), names, ages=False)
+    last_day = prices.agg(F.max("date").alias("last")).scalar()
+    wide = widen(asof_calendar(bounded_fill(slow, limit), None, last_day), names, ages=False)
     out = prices.join(F.broadcast(wide), "date", "left")
     return out.where(any_value_of([c for c in out.columns if c not in ("date", "ticker")]))

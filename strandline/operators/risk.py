@@ -82,44 +82,3 @@ def scenario_bias(inputs: DataFrame) -> DataFrame:
     d = inputs.select("*", each_scenario()).select(*inputs.columns, "_s.*")
     return d.withColumn("drift", F.col("drift") + F.col("drift_shift")).withColumn(
         "volatility", F.col("volatility") * F.greatest(F.lit(0.1), F.col("vol_multiplier")))
-
-
-def hashed_normal(*parts: Column, seed: int = 42) -> Column:
-    """Standard normal deviate from a hash of its coordinates: the same on any partitioning and any retry."""
-    u = lambda salt: (F.shiftrightunsigned(F.xxhash64(*parts, F.lit(seed), F.lit(salt)), 11) + F.lit(0.5)) / F.lit(float(2**53))
-    return F.sqrt(-2.0 * F.log(u(1))) * F.cos(2.0 * F.pi() * u(2))
-
-
-def price_paths(inputs: DataFrame, days: int = 252, paths: int = 1000, seed: int = 42) -> DataFrame:
-    """(ticker, path, day, price) for all tickers.
-
-    Rows are placed by (ticker, path) before days are generated, so the cumulative window runs on the
-    placement it finds, a ticker's paths spread over tasks, and only one row per path is shuffled. The
-    number of partitions is stated, as adaptive execution would merge them by their size before days.
-    """
-    parts = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = inputs.select("ticker", "last_price", "drift", "volatility",
-                      (F.col("jump_shock") if "jump_shock" in inputs.columns else F.lit(0.0)).alias("jump"),
-                      F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path")).repartition(parts, "ticker", "path")
-    d = d.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
-    z = hashed_normal(F.col("ticker"), F.col("path"), F.col("day"), seed=seed)
-    step = F.col("drift") - 0.5 * F.col("volatility") * F.col("volatility") + F.col("volatility") * z
-    step = step + F.when(F.col("day") == 1, F.log1p("jump")).otherwise(F.lit(0.0))
-    cum = F.sum("_s").over(Window.partitionBy("ticker", "path").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("_s", step).select("ticker", "path", "day", (F.col("last_price") * F.exp(cum)).alias("price"), "last_price")
-
-
-def terminal_risk(paths: DataFrame, days: int) -> DataFrame:
-    """VaR 95/99, CVaR 95 and ES 99 of the terminal return over paths (a bounded number per ticker)."""
-    t = paths.where(F.col("day") == days).withColumn("_r", F.col("price") / F.col("last_price") - 1)
-    q = F.percentile("_r", F.array(F.lit(0.05), F.lit(0.01))).over(whole("ticker"))
-    t = t.withColumn("_q", q)
-    tail = lambda i: F.abs(F.avg(F.when(F.col("_r") <= F.col("_q")[i], F.col("_r"))))
-    return t.groupBy("ticker").agg(F.count("*").alias("paths"), F.abs(F.first(F.col("_q")[0])).alias("var_95"), F.abs(F.first(F.col("_q")[1])).alias("var_99"),
-                                   tail(0).alias("cvar_95"), tail(1).alias("es_99"))
-
-
-def fan_chart(paths: DataFrame) -> DataFrame:
-    p = F.percentile("price", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    return paths.groupBy("ticker", "day").agg(p.alias("_p")).select(
-        "ticker", "day", *[F.col("_p")[i].alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))])

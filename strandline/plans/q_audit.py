@@ -169,7 +169,7 @@ def _(spark, d):
     return A.diversification(A.sector_coverage(*universe(spark, d)))
 
 
-@query("aud15_expansion", sql("SELECT sector, arg_min(ticker, place) AS ticker, any_value(present) = 0 AS new_sector FROM univ JOIN seccov USING (sector) WHERE present <= 1 AND ticker NOT IN (SELECT ticker FROM present) GROUP BY 1 ORDER BY 1 LIMIT 8", "univ", "seccov", "present"))
+@query("aud15_expansion", sql("SELECT sector, arg_min(ticker, place) AS ticker, any_value(present) = 0 AS new_sector FROM univ JOIN seccov USING (sector) WHERE present <= 1 AND ticker NOT IN (SELECT ticker FROM present) GROUP BY 1", "univ", "seccov", "present"))
 def _(spark, d):
     return A.expansion_candidates(*universe(spark, d))
 
@@ -376,12 +376,12 @@ cte("find", f"""SELECT ticker, 'RESIDUAL_AUTOCORR' AS f FROM (SELECT ticker, abs
     UNION ALL SELECT ticker, 'POOR_RISK_ADJ' FROM res GROUP BY 1 HAVING avg(e) / stddev_pop(e) * sqrt(252) < -0.5""", "res")
 
 
-@query("dia23_diagnose", sql(f"""SELECT ticker, greatest(0.0, least(100.0, 100.0 - sum(CASE f {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PEN.items())} END)))::DOUBLE AS score, string_agg(f, ',' ORDER BY f) AS findings FROM find GROUP BY 1""", "find"))
+@query("dia23_diagnose", sql(f"""SELECT ticker, greatest(0.0, coalesce(least(100.0, 100.0 - sum(CASE f {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PEN.items())} END)), 100.0))::DOUBLE AS score, coalesce(string_agg(f, ',' ORDER BY f), '') AS findings FROM (SELECT DISTINCT ticker FROM res) LEFT JOIN find USING (ticker) GROUP BY 1""", "find", "res"))
 def _(spark, d):
     r = stage(res(spark, d))
     f = D.finding(D.lag_one(r), "problem", "RESIDUAL_AUTOCORR").unionByName(D.finding(D.heteroskedasticity(r), "flagged", "RESIDUAL_HETERO")).unionByName(
         D.finding(D.band_coverage(r), "problem", "COVERAGE_CALIBRATION")).unionByName(D.finding(D.residual_ratios(r), F.col("sharpe") < -0.5, "POOR_RISK_ADJ"))
-    return D.diagnose(f).select("ticker", "score", F.array_join("findings", ",").alias("findings"))
+    return D.diagnose(f, r.select("ticker").distinct()).select("ticker", "score", F.array_join("findings", ",").alias("findings"))
 
 
 # --- run health --------------------------------------------------------------------------------------------

@@ -174,25 +174,3 @@ def _(spark, d):
 def _(spark, d):
     b = K.scenario_bias(K.risk_inputs(returns(spark, d), "inflation"))
     return rounded(b.select("ticker", "stress", "drift", "volatility", "jump_shock"))
-
-
-DAYS, PATHS = 63, 400
-
-
-def paths(spark, d):
-    return K.price_paths(K.risk_inputs(returns(spark, d), "inflation"), DAYS, PATHS)
-
-
-@query("rsk6_price_paths")
-def _(spark, d):
-    return paths(spark, d).groupBy("ticker", "day").agg(F.count("*").alias("paths"), F.min("price").alias("low"), F.max("price").alias("high"))
-
-
-@query("rsk7_terminal_risk")
-def _(spark, d):
-    return K.terminal_risk(paths(spark, d), DAYS)
-
-
-@query("rsk8_fan_chart")
-def _(spark, d):
-    return K.fan_chart(paths(spark, d))

@@ -66,8 +66,9 @@ def _(spark, d):
 
 def _wide(spark, d):
     ind = B.indicators(spark, d).where(F.col("series") == "gdp_growth")
-    return ind.groupBy("economy").pivot("date", [f"{y}-12-31" for y in range(1995, 2002)]).agg(F.first("value")).toDF(
-        "economy", *[f"YR{y}" for y in range(1995, 2002)])
+    # one column per year that the data has; their number is that of calendar years
+    years = [r["y"] for r in ind.select(F.year("date").alias("y")).distinct().orderBy("y").collect()]
+    return ind.groupBy("economy").pivot("date", [f"{y}-12-31" for y in years]).agg(F.first("value")).toDF("economy", *[f"YR{y}" for y in years])
 
 
 @query("src6_unpivot_years", sql("""SELECT economy, CAST(year(date) AS VARCHAR) AS "Date", round(value, 4) AS value FROM ind WHERE series = 'gdp_growth'""", "ind"))
@@ -114,20 +115,19 @@ def _(spark, d):
     return I.catalog(B.raw_entities(spark, d))
 
 
-cte("proxy_ret", """SELECT ticker, date, ln(adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date)) AS ret FROM px
-    WHERE ticker IN (SELECT DISTINCT ticker FROM px ORDER BY ticker LIMIT 30)""", "px")
+cte("proxy_ret", """SELECT ticker, date, ln(adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date)) AS ret FROM px_day""", "px_day")
 cte("proxy", f"""SELECT date, 100 * exp(sum(ret) OVER (ORDER BY date)) AS value FROM (
     SELECT date, greatest(-{X.PROXY_CLIP}, least({X.PROXY_CLIP}, avg(ret))) AS ret FROM proxy_ret WHERE ret IS NOT NULL GROUP BY date)""", "proxy_ret")
 
 
 @query("src12_market_proxy", sql("SELECT date, round(value, 6) AS value FROM proxy", "proxy"))
 def _(spark, d):
-    return rounded(I.market_proxy(B.bars(spark, d)))
+    return rounded(I.market_proxy(B.bars(spark, d, "p_brand", "day")))
 
 
 @query("src13_year_end_resample", sql("""SELECT make_date(CAST(year(date) AS INT), 12, 31) AS date, round(max_by(value, date), 6) AS value FROM proxy GROUP BY 1""", "proxy"))
 def _(spark, d):
-    return rounded(I.year_last(I.market_proxy(B.bars(spark, d))))
+    return rounded(I.year_last(I.market_proxy(B.bars(spark, d, "p_brand", "day"))))
 
 
 FACTORS = [(n, 0.92 + (sum(map(ord, n + i)) % 17) / 100.0) for i, n in X.MACRO_SERIES.items()]
@@ -135,7 +135,7 @@ FACTORS = [(n, 0.92 + (sum(map(ord, n + i)) % 17) / 100.0) for i, n in X.MACRO_S
 
 @query("src14_proxy_fan_out", sql(f"""SELECT series, date, round(value * factor, 5) AS value FROM proxy, ({values_sql(("series", "factor"), FACTORS)})""", "proxy"))
 def _(spark, d):
-    return rounded(I.fan_out_proxy(I.market_proxy(B.bars(spark, d)), list(X.MACRO_SERIES.items())), 5)
+    return rounded(I.fan_out_proxy(I.market_proxy(B.bars(spark, d, "p_brand", "day")), list(X.MACRO_SERIES.items())), 5)
 
 
 EXPECTED = [("yfinance", 6), ("fred", 8), ("worldbank", 25), ("news", 2)]

@@ -340,47 +340,6 @@ def _(spark, d):
     return V.regression_metrics(holdout(spark, d), ("ticker", "is_train"))
 
 
-@query("bt14_managed_positions")
-def _(spark, d):
-    return K.managed_returns(holdout(spark, d).where(~F.col("is_train")).withColumn("threshold", F.lit(0.35)), ["ticker"])
-
-
-@query("bt16_best_threshold")
-def _(spark, d):
-    return K.best_threshold(K.managed_returns(K.with_thresholds(holdout(spark, d).where("is_train")), ["ticker"]), ["ticker"])
-
-
-def tuned(spark, d):
-    """Test-side run at the threshold tuned on the train side, retried at zero where too few days are active."""
-    h = stage(holdout(spark, d).drop("predicted"))
-    best = K.best_threshold(K.managed_returns(K.with_thresholds(h.where("is_train")), ["ticker"]), ["ticker"]).select("ticker", "threshold")
-    test = h.where(~F.col("is_train"))
-    first = stage(K.managed_returns(test.join(best, "ticker"), ["ticker"]))
-    again = K.managed_returns(test.withColumn("threshold", F.lit(0.0)), ["ticker"], vol_target=0.20)
-    return K.retry_when_idle(first, again, ["ticker"])
-
-
-@query("bt17_retry_when_idle")
-def _(spark, d):
-    return K.short_stats(tuned(spark, d).withColumnRenamed("actual", "bench"), ["ticker"])
-
-
-def forward_folds(spark, d):
-    s = stage(scored(spark, d))
-    m = stage(K.managed_returns(K.with_thresholds(s.drop("predicted")), ["ticker", "window"]))
-    # the threshold of a fold is the one that scored best on the fold before it
-    best = K.best_threshold(m, ["ticker", "window"]).select("ticker", (F.col("window") + 1).alias("window"), "threshold")
-    run = m.join(best, ["ticker", "window", "threshold"], "left_semi")
-    st = K.short_stats(run.withColumnRenamed("actual", "bench"), ["ticker", "window", "threshold"])
-    t = K.prediction_test(s, ("ticker", "window")).select("ticker", "window", "r", V.two_sided_p(F.col("r"), F.col("n").cast("double")).alias("p_value"))
-    return st.join(t, ["ticker", "window"])
-
-
-@query("bt18_walk_forward_backtest")
-def _(spark, d):
-    return forward_folds(spark, d)
-
-
 cte("folds_r", "SELECT ticker, year(date) AS y, count(*) AS n, corr(predicted, actual) AS r FROM pred_ok GROUP BY 1, 2", "pred_ok")
 XP = "(abs(atanh(r)) * sqrt(n - 3) / sqrt(2.0))"
 cte("rob", f"""SELECT ticker, r, positive_ratio, least(1.0, {POLY} * exp(-x * x)) AS p_value FROM (SELECT *, 1.0 / (1.0 + {V.ERF_P} * x) AS t FROM (SELECT *, {XP} AS x FROM (

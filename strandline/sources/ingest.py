@@ -104,13 +104,12 @@ def catalog(raw: DataFrame, stamp: str = "date") -> DataFrame:
     return raw.groupBy("source", "entity").agg(F.count("*").alias("rows"), F.max(stamp).alias("last_update"))
 
 
-def market_proxy(prices: DataFrame, max_entities: int = X.PROXY_ENTITIES) -> DataFrame:
-    """Index from the mean log return per date of the first `max_entities` tickers.
+def market_proxy(prices: DataFrame) -> DataFrame:
+    """Index from the mean log return per date of all tickers.
 
     Dates are calendar-bound after the mean, so the closing cumulative window is one short series.
     """
-    chosen = prices.select("ticker").distinct().orderBy("ticker").limit(max_entities)
-    px = prices.join(chosen, "ticker", "left_semi").where(F.col("date").isNotNull() & F.col("adj_close").isNotNull())
+    px = prices.where(F.col("date").isNotNull() & F.col("adj_close").isNotNull())
     w = series("ticker")
     ret = px.withColumn("ret", log_ratio("adj_close", F.lag("adj_close").over(w))).where(F.col("ret").isNotNull())
     daily = ret.groupBy("date").agg(clip(F.avg("ret"), -X.PROXY_CLIP, X.PROXY_CLIP).alias("ret"))

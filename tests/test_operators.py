@@ -67,20 +67,18 @@ def test_ewm_volatility(prices):
         assert got[t] == pytest.approx(r.ewm(span=30, min_periods=15).std().iloc[-1], rel=1e-9)
 
 
-def test_paths_do_not_depend_on_placement(spark, prices):
-    inp = risk.risk_inputs(risk.close_returns(prices[0]), None)
-    a = risk.price_paths(inp, 5, 40).toPandas().sort_values(["ticker", "path", "day"]).reset_index(drop=True)
-    b = risk.price_paths(inp.repartition(3), 5, 40).toPandas().sort_values(["ticker", "path", "day"]).reset_index(drop=True)
-    pd.testing.assert_frame_equal(a, b)
-    assert (a["price"] > 0).all() and len(a) == 2 * 40 * 5
-    z = spark.range(20000).select(risk.hashed_normal(F.col("id")).alias("z")).agg(F.avg("z"), F.stddev("z"), F.max("z")).first()
-    assert abs(z[0]) < 0.03 and abs(z[1] - 1) < 0.03 and z[2] < 6
+def test_value_without_tolerance_reaches_the_last_price(spark):
+    px = spark.sql("SELECT 'A' AS ticker, explode(array(date'2000-01-03', date'2010-06-01', date'2015-01-01')) AS date, 1.0 AS close")
+    slow = spark.sql("SELECT 's' AS series, date'2000-01-01' AS date, 7.0D AS value")
+    assert [r["s"] for r in gold.merged_frame(px, slow, ["s"]).orderBy("date").collect()] == [7.0, 7.0, 7.0]
 
 
-def test_terminal_risk_ordering(prices):
-    inp = risk.risk_inputs(risk.close_returns(prices[0]), None)
-    for r in risk.terminal_risk(risk.price_paths(inp, 20, 300), 20).collect():
-        assert r["var_99"] >= r["var_95"] and r["cvar_95"] >= r["var_95"] and r["es_99"] >= r["var_99"]
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_later_ingested_row_of_a_date_stands(spark, parts):
+    rows = [("s", "2020-01-02", 5.0, 2), ("s", "2020-01-02", 9.0, 1), ("s", "2020-01-04", 1.0, 3)]
+    slow = spark.createDataFrame(rows, "series string, date string, value double, seq long").withColumn("date", F.to_date("date")).repartition(parts)
+    got = {str(r["date"]): r["value"] for r in gold.asof_calendar(slow, 1, order="seq").collect()}
+    assert got == {"2020-01-02": 5.0, "2020-01-03": 5.0, "2020-01-04": 1.0, "2020-01-05": 1.0}
 
 
 def test_forward_target_counts_rows(prices):
@@ -257,15 +255,6 @@ def test_strategy_equals_row_loop(spark):
     np.testing.assert_allclose(got["ret"], want["ret"], atol=1e-12)
 
 
-def test_managed_positions_respect_exits(spark):
-    rng = np.random.default_rng(12)
-    n = 300
-    pdf = pd.DataFrame({"ticker": "A", "date": dates(n), "z": rng.normal(1.0, 0.1, n), "actual": rng.normal(0, 0.01, n), "uptrend": True, "threshold": 0.5})
-    got = backtest.managed_returns(spark.createDataFrame(pdf), ["ticker"], max_hold=10).orderBy("date").toPandas()
-    runs = (np.abs(got["position"]) > 0).astype(int).groupby((got["position"] == 0).cumsum()).sum()
-    assert runs.max() <= 10 and (got["position"] >= 0).all() and (got["position"] <= 1).all() and got["position"].iloc[0] == 0
-
-
 def test_drawdown_starts_at_first_value(spark):
     df = spark.createDataFrame(pd.DataFrame({"ticker": "A", "date": dates(3), "ret": [-0.5, 0.1, -0.2]}))
     dd = backtest.with_curve(df, ["ticker"]).orderBy("date").toPandas()["dd"]
@@ -314,6 +303,6 @@ def test_worker_functions_travel_without_the_package(tmp_path):
 
     from pyspark import cloudpickle
     blob = tmp_path / "f.pkl"
-    blob.write_bytes(cloudpickle.dumps([relate._pair_block, backtest._managed_positions, S.ridge, S.ols]))
-    code = f"import pickle, sys; fs = pickle.load(open({str(blob)!r}, 'rb')); assert len(fs) == 4 and 'strandline' not in sys.modules"
+    blob.write_bytes(cloudpickle.dumps([relate._pair_block, S.ridge, S.ols]))
+    code = f"import pickle, sys; fs = pickle.load(open({str(blob)!r}, 'rb')); assert len(fs) == 3 and 'strandline' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60, env={"PATH": "/usr/bin:/bin"})
