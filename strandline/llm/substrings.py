@@ -60,17 +60,6 @@ def joined(text: str) -> str:
     return F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
 
 
-def islands(rows: list) -> list[tuple[int, int, int, int]]:
-    """Paths of later windows: (begin, windows, source id, source begin) from rows (pos, source id, source pos), sorted."""
-    out: list[list[int]] = []
-    for pos, doc, at in rows:
-        if out and out[-1][0] + out[-1][1] == pos and out[-1][2] == doc and out[-1][3] + out[-1][1] == at:
-            out[-1][1] += 1
-        else:
-            out.append([pos, 1, doc, at])
-    return [tuple(x) for x in out]
-
-
 def repeated_windows(docs: DataFrame, base: DataFrame, window: int, kmer: int) -> DataFrame:
     """doc_id, windows: array of (pos, source, at) of a text's windows that start earlier elsewhere.
 
@@ -153,12 +142,23 @@ PATH_ARROW = pa.struct([(c, pa.int64()) for c in ("begin", "words", "source", "s
 
 
 def compacted(window: int):
-    """From windows to paths, row by row."""
+    """From windows to paths, row by row: windows that follow one another in the text and in one source are one path."""
     def run(batches):
         for batch in batches:
-            lists = [[{"begin": b, "words": n - 1 + window, "source": s, "source_begin": a}
-                      for b, n, s, a in islands(sorted((r["pos"], r["source"], r["at"]) for r in found))] for found in batch.column("windows").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.list_(PATH_ARROW))], ["doc_id", "paths"])
+            if not batch.num_rows:
+                continue
+            lists = batch.column("windows")
+            text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            rows = lists.flatten()
+            pos, source, at = (rows.field(c).to_numpy().astype(np.int64) for c in ("pos", "source", "at"))
+            order = np.lexsort((pos, text))
+            text, pos, source, at = text[order], pos[order], source[order], at[order]
+            same = (text[1:] == text[:-1]) & (source[1:] == source[:-1]) & (pos[1:] == pos[:-1] + 1) & (at[1:] == at[:-1] + 1)
+            first = np.flatnonzero(np.concatenate(([True], ~same)))
+            count = np.diff(np.append(first, len(pos)))
+            paths = pa.StructArray.from_arrays([pa.array(c) for c in (pos[first], count - 1 + window, source[first], at[first])], ["begin", "words", "source", "source_begin"])
+            begin = np.searchsorted(text[first], np.arange(len(lists) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), paths)], ["doc_id", "paths"])
     return run
 
 
