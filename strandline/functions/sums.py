@@ -18,12 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_FACTORS = 12
-
-
 def products(xs: Sequence[str], y: str) -> list[Column]:
-    if len(xs) > MAX_FACTORS:
-        raise ValueError(f"at most {MAX_FACTORS} factors")
     z = [F.lit(1.0), *[F.col(c) for c in xs], F.col(y)]
     return [z[i] * z[j] for i in range(len(z)) for j in range(i, len(z))]
 
@@ -151,17 +146,15 @@ def ridge_score_udf(train: pd.Series, test: pd.Series, alpha: pd.Series) -> pd.D
     return pd.DataFrame(rows, columns=["r2", "rmse", "n_train", "n_test"])
 
 
-@F.pandas_udf(T.ArrayType(fields(members=STR, size=LNG, r2=DBL)))
-def subset_scores_udf(folds: pd.Series, names: pd.Series) -> pd.Series:
+@F.pandas_udf(fields(members=STR, size=LNG, r2=DBL))
+def subset_score_udf(folds: pd.Series, names: pd.Series, mask: pd.Series) -> pd.DataFrame:
+    """Mean fold R² of the factors whose bits the mask holds."""
     out = []
-    for fs, ns in zip(folds, names):
-        pairs = [(matrix(f["train"]), matrix(f["test"])) for f in fs]
-        res = []
-        for idx in subsets(len(ns)):
-            r2 = [score(subset(t, idx), *ridge(subset(m, idx), 0.5))[0] for m, t in pairs]
-            res.append({"members": "+".join(ns[i] for i in idx), "size": len(idx), "r2": float(np.mean(r2))})
-        out.append(res)
-    return pd.Series(out)
+    for fs, ns, m in zip(folds, names, mask):
+        idx = tuple(i for i in range(len(ns)) if m >> i & 1)
+        r2 = [score(subset(matrix(f["test"]), idx), *ridge(subset(matrix(f["train"]), idx), 0.5))[0] for f in fs]
+        out.append(("+".join(ns[i] for i in idx), len(idx), float(np.mean(r2))))
+    return pd.DataFrame(out, columns=["members", "size", "r2"])
 
 
 @F.pandas_udf(T.ArrayType(fields(factor=STR, coef=DBL, se=DBL, p_value=DBL, r2=DBL, adj_r2=DBL, intercept=DBL, n=LNG)))

@@ -106,8 +106,11 @@ def traffic_lights(t: DataFrame) -> DataFrame:
     return t
 
 
-def quick_diagnostics(report: DataFrame, dead: DataFrame, order: str = "entity") -> DataFrame:
-    """(failed, failed_entities_first, last_dead_letter): counts and the latest dead letter by a bounded aggregate."""
-    a = report.agg(F.count_if(F.col("status") == "failed").alias("failed"), F.min(F.when(F.col("status") == "failed", F.col("entity"))).alias("first_failed"))
-    b = dead.agg(F.max_by(F.struct("entity", "error_type"), order).alias("_d"))
-    return a.select("failed", "first_failed", b.select(F.concat_ws(": ", "_d.entity", "_d.error_type")).scalar().alias("last_dead_letter"))
+def quick_diagnostics(report: DataFrame, dead: DataFrame, sources: DataFrame, at: str = "at") -> DataFrame:
+    """(failed, failed_entities, missing_sources, last_dead_letter): sources(source, missing); the latest dead letter by its
+    time, by entity where times are equal. The lists name failures only."""
+    failed = F.col("status") == "failed"
+    a = report.agg(F.count_if(failed).alias("failed"), F.array_join(F.array_sort(F.collect_set(F.when(failed, F.col("entity")))), ",").alias("failed_entities"))
+    b = dead.agg(F.max_by(F.struct("entity", "error_type"), F.struct(at, "entity")).alias("_d"))
+    c = sources.agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("missing"), F.col("source")))), ",").alias("m"))
+    return a.select("failed", "failed_entities", c.scalar().alias("missing_sources"), b.select(F.concat_ws(": ", "_d.entity", "_d.error_type")).scalar().alias("last_dead_letter"))

@@ -141,14 +141,19 @@ def choose_lag(frames: dict[int, DataFrame], y: str, xs: Sequence[str], cv=None)
     return m.withColumn("chosen", F.row_number().over(w) == 1)
 
 
-def choose_subset(frame: DataFrame, y: str, xs: Sequence[str], top: int = 15) -> DataFrame:
-    """(ticker, members, size, r2, place): every feature subset scored on every fold from the same sums."""
+def choose_subset(frame: DataFrame, y: str, xs: Sequence[str], top: int | None = None) -> DataFrame:
+    """(ticker, members, size, r2, place): every feature subset scored on every fold from the same sums.
+
+    One row per (ticker, subset), so the 2^p subsets spread over tasks; top keeps the best of each ticker by request.
+    """
     e = S.expanding_sums(with_folds(frame), ["ticker"], "fold", xs, y)
     per = e.groupBy("ticker").agg(F.collect_list(F.struct("train", "test")).alias("folds"))
     names = F.array(*[F.lit(x) for x in xs])
-    d = per.select("ticker", F.inline(S.subset_scores_udf("folds", names)))
+    masks = per.withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2 ** len(xs) - 1).cast("long"))))
+    d = masks.select("ticker", S.subset_score_udf("folds", names, "mask").alias("s")).select("ticker", "s.*")
     w = Window.partitionBy("ticker").orderBy(F.desc("r2"), "size", "members")
-    return d.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= top)
+    d = d.withColumn("place", F.row_number().over(w).cast("long"))
+    return d if top is None else d.where(F.col("place") <= top)
 
 
 def ols_report(frame: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ("ticker",)) -> DataFrame:

@@ -101,12 +101,12 @@ def ridge_baseline(split: DataFrame, y: str, xs: Sequence[str], alpha: float = 0
 
 
 def with_windows(frame: DataFrame, windows: int = 4, min_train: int = 60, min_test: int = 20) -> DataFrame:
-    """window 0 is the first training block; windows 1..k follow in steps of max(min_test, (n - min_train) / k)."""
+    """window 0 is the first training block; windows 1..k follow in steps of max(min_test, (n - min_train) / k), the last to the end."""
     w = Window.partitionBy("ticker")
     d = frame.withColumn("_i", F.row_number().over(w.orderBy("date")) - 1).withColumn("_n", F.count("*").over(w))
     d = d.withColumn("_step", F.greatest(F.lit(min_test), F.floor((F.col("_n") - min_train) / windows)))
-    win = F.when(F.col("_i") < min_train, 0).otherwise(1 + F.floor((F.col("_i") - min_train) / F.col("_step"))).cast("long")
-    d = d.withColumn("window", win).where(F.col("window") <= windows)
+    win = F.when(F.col("_i") < min_train, 0).otherwise(F.least(F.lit(windows), 1 + F.floor((F.col("_i") - min_train) / F.col("_step")))).cast("long")
+    d = d.withColumn("window", win)
     d = d.withColumn("_rows", F.count("*").over(Window.partitionBy("ticker", "window")))
     return d.where((F.col("window") == 0) | (F.col("_rows") >= min_test)).drop("_i", "_n", "_step", "_rows")
 

@@ -445,10 +445,14 @@ def _(spark, d):
     return t.select("run_id", "ticker", "risk_light", "r2_light", "gate_light")
 
 
-@query("ops13_quick_diagnostics", sql("SELECT count(*) FILTER (status = 'failed') AS failed, min(entity) FILTER (status = 'failed') AS first_failed, max_by(entity || ': ' || error_type, entity) FILTER (status = 'failed') AS last_dead_letter FROM report", "report"))
+@query("ops13_quick_diagnostics", sql("""SELECT count(*) FILTER (status = 'failed') AS failed, coalesce(string_agg(DISTINCT entity, ',' ORDER BY entity) FILTER (status = 'failed'), '') AS failed_entities,
+    (SELECT coalesce(string_agg(s, ',' ORDER BY s), '') FROM (VALUES ('yfinance'), ('fred'), ('worldbank')) v(s) WHERE s NOT IN (SELECT source FROM report WHERE status = 'success')) AS missing_sources,
+    max_by(entity || ': ' || error_type, row(coalesce(seen_at, DATE '1900-01-01'), entity)) FILTER (status = 'failed') AS last_dead_letter
+    FROM report LEFT JOIN (SELECT source, entity, max(date) AS seen_at FROM raw GROUP BY 1, 2) USING (source, entity)""", "report", "raw"))
 def _(spark, d):
     rep = stage(_clean(spark, d)[1])
-    return H.quick_diagnostics(rep, S.dead_letters(rep))
+    seen = I.catalog(B.raw_entities(spark, d)).select("source", "entity", F.col("last_update").alias("at"))
+    return H.quick_diagnostics(rep, S.dead_letters(rep).join(seen, ["source", "entity"], "left"), S.source_report(spark, rep))
 
 
 # --- streams -------------------------------------------------------------------------------------------------

@@ -86,7 +86,7 @@ def _(spark, d):
     return V.walk_forward_summary(V.walk_forward(supervised(spark, d), "log_return", MAC))
 
 
-cte("wf1", """SELECT ticker, date, log_return AS y, energy_index AS x, CASE WHEN i < 60 THEN 0 ELSE 1 + (i - 60) // greatest(20, (n - 60) // 4) END AS win FROM (
+cte("wf1", """SELECT ticker, date, log_return AS y, energy_index AS x, CASE WHEN i < 60 THEN 0 ELSE least(4, 1 + (i - 60) // greatest(20, (n - 60) // 4)) END AS win FROM (
     SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, date, y AS log_return, energy_index FROM panel WHERE y IS NOT NULL AND energy_index IS NOT NULL))""", "panel")
 cte("wf2", """SELECT t.ticker, t.win, regr_slope(a.y, a.x) AS b, regr_intercept(a.y, a.x) AS c, count(*) AS n_train FROM (SELECT DISTINCT ticker, win FROM wf1 WHERE win BETWEEN 1 AND 4) t
     JOIN wf1 a ON a.ticker = t.ticker AND a.win < t.win GROUP BY 1, 2""", "wf1")
