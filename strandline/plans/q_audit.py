@@ -456,18 +456,25 @@ def _(spark, d):
 
 
 # --- streams -------------------------------------------------------------------------------------------------
-@query("str1_rolling_levels_stream")
+LEVELS = """SELECT from_ts, from_ts + INTERVAL 1 HOUR AS to_ts, operation, count(*) AS events, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 6) AS success_rate,
+    round(quantile_disc(duration_seconds, 0.95), 6) AS p95_seconds FROM (
+    SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS from_ts FROM ops, (SELECT unnest(generate_series(0, 11)) AS k)) GROUP BY 1, 2, 3"""
+
+
+def shown(r):
+    return rounded(r.select(F.col("from_ts").cast("timestamp_ntz").alias("from_ts"), F.col("to_ts").cast("timestamp_ntz").alias("to_ts"), "operation", "events", "success_rate", "p95_seconds"))
+
+
+@query("str1_rolling_levels_stream", sql(LEVELS, "ops"))
 def _(spark, d):
     path = _sink_path(spark)
     levels.run_to_table(levels.rolling_levels(levels.event_stream(spark, f"{d}/events*.parquet")), f"{path}/out", f"{path}/ckpt")
-    return spark.read.parquet(f"{path}/out")
+    return shown(levels.current_levels(spark, f"{path}/out"))
 
 
-@query("str1_rolling_levels_batch", sql("""SELECT from_ts, from_ts + INTERVAL 1 HOUR AS to_ts, operation, count(*) AS events, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM (
-    SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS from_ts FROM ops, (SELECT unnest(generate_series(0, 11)) AS k)) GROUP BY 1, 2, 3""", "ops"))
+@query("str1_rolling_levels_batch", sql(LEVELS, "ops"))
 def _(spark, d):
-    r = levels.rolling_levels(B.operations(spark, d)).select(F.col("from_ts").cast("timestamp_ntz").alias("from_ts"), F.col("to_ts").cast("timestamp_ntz").alias("to_ts"), "operation", "events", "success_rate")
-    return rounded(r)
+    return shown(levels.rolling_levels(B.operations(spark, d)))
 
 
 @query("str2_incremental_validation", sql("SELECT operation, count(*) FILTER (success AND duration_seconds > 0) AS good, count(*) FILTER (NOT (success AND duration_seconds > 0)) AS dead FROM ops GROUP BY 1", "ops"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.columns import nudged, rounded, values_sql
-from ..session import ensure_checkpoint_dir
+from ..functions.stage import staged_folder
 from ..sources import bindings as B
 from ..sources import ingest as I
 from .ctes import cte, sql
@@ -100,7 +100,7 @@ def _(spark, d):
 
 
 def _sink_path(spark):
-    return f"{ensure_checkpoint_dir(spark)}/strandline-{uuid.uuid4().hex}"
+    return f"{staged_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("src10_parquet_sink", sql(f"SELECT ticker, date, {R6} FROM px", "px"))

@@ -34,6 +34,18 @@ def rolling_levels(ops: DataFrame, span: str = "1 hour", slide: str = "5 minutes
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is available into a Parquet table; the file sink and checkpoint make it exactly-once."""
-    q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process what is available. Every batch writes the windows it changed to its own folder, which a retry overwrites,
+    so windows still open at the watermark are there as well; `current_levels` reads the latest state of each."""
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def current_levels(spark: SparkSession, path: str) -> DataFrame:
+    """One row per (window, operation): the one of the last batch that changed it."""
+    rows = spark.read.parquet(path)
+    keys = ["from_ts", "to_ts", "operation"]
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")

@@ -274,10 +274,10 @@ def test_stream_windows_agree_with_batch(spark, sf, tmp_path):
     from strandline.sources import bindings
     from strandline.streaming import levels
     levels.run_to_table(levels.rolling_levels(levels.event_stream(spark, f"{sf}/events*.parquet")), f"{tmp_path}/o", f"{tmp_path}/c")
-    got = spark.read.parquet(f"{tmp_path}/o")
+    got = levels.current_levels(spark, f"{tmp_path}/o")
     batch = levels.rolling_levels(bindings.operations(spark, sf))
     key = ["from_ts", "to_ts", "operation", "events"]
-    assert got.count() > 0 and got.select(key).exceptAll(batch.select(key)).count() == 0
+    assert got.count() == batch.count() and got.select(key).exceptAll(batch.select(key)).count() == 0
 
 
 def test_fingerprint_ignores_row_order(spark, prices):

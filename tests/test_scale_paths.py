@@ -86,3 +86,23 @@ def test_order_violations_across_blocks(spark):
     got = silver.order_violations(spark.createDataFrame(pdf), "k", "i", "t", block=7).toPandas().set_index("k")["violations"]
     want = pdf.groupby("k")["t"].apply(lambda s: int((s.diff() < 0).sum()))
     assert got.to_dict() == want.to_dict()
+
+
+def test_staged_tables_share_a_folder_and_can_be_dropped(tmp_path):
+    """In a process of its own: dropping takes away the tables of a whole application."""
+    import subprocess
+    import sys
+
+    code = f"""
+import glob
+from strandline.session import build_session
+from strandline.functions.stage import drop_staged, stage, staged_folder
+s = build_session("drop", "local[1]", 1)
+s.conf.set("spark.checkpoint.dir", {str(tmp_path)!r})
+assert stage(s.range(5)).count() == 5 and len(glob.glob({str(tmp_path)!r} + "/*/*")) == 1
+drop_staged(s)
+assert not glob.glob({str(tmp_path)!r} + "/strandline-*")
+"""
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
