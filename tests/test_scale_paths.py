@@ -95,10 +95,9 @@ def test_staged_tables_share_a_folder_and_can_be_dropped(tmp_path):
 
     code = f"""
 import glob
-from strandline.session import build_session
-from strandline.functions.stage import drop_staged, stage, staged_folder
-s = build_session("drop", "local[1]", 1)
-s.conf.set("spark.checkpoint.dir", {str(tmp_path)!r})
+from pyspark.sql import SparkSession
+from strandline.functions.stage import drop_staged, stage
+s = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
 assert stage(s.range(5)).count() == 5 and len(glob.glob({str(tmp_path)!r} + "/*/*")) == 1
 drop_staged(s)
 assert not glob.glob({str(tmp_path)!r} + "/strandline-*")
