@@ -233,8 +233,12 @@ def _(spark, d):
     return rounded(V.stationary_ratio(link.withColumn("is_stationary", F.abs("corr") < 0.1)))
 
 
-cte("rep", """SELECT r.ticker, r2 AS oos_r2, r2 + 0.2 AS r2_band_high, direction, volatility_r2, volatility_ratio, normalized_shift, leakage_flags, stationary_ratio, considered, r2 - 0.1 AS wf_avg_r2, r2 + 0.1 AS wf_band_high,
-    top_share, 45 AS max_lag, risk_score FROM risk r JOIN pm USING (ticker) JOIN tv USING (ticker) JOIN conc USING (ticker)""", "risk", "pm", "tv", "conc")
+# what the gate reads: walk-forward windows of the one-factor model, and the spread of yearly fits
+cte("wf_r2", """SELECT ticker, win, 1 - sum((y - c - b * x) ** 2) / (var_pop(y) * count(*)) AS r2 FROM wf1 JOIN wf2 USING (ticker, win) GROUP BY 1, 2 HAVING count(*) >= 20""", "wf1", "wf2")
+cte("wfs", "SELECT ticker, avg(r2) AS wf_avg_r2, CASE WHEN count(*) >= 4 THEN quantile_cont(r2, 0.9) ELSE max(r2) END AS wf_band_high FROM wf_r2 GROUP BY 1", "wf_r2")
+cte("yearly", """SELECT ticker, quantile_cont(r2, 0.9) AS r2_band_high FROM (SELECT ticker, year(date) AS y, 1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) AS r2 FROM pred_ok GROUP BY 1, 2) GROUP BY 1""", "pred_ok")
+cte("rep", """SELECT r.ticker, r2 AS oos_r2, r2_band_high, direction, volatility_r2, volatility_ratio, normalized_shift, leakage_flags, stationary_ratio, considered, wf_avg_r2, wf_band_high,
+    top_share, 45 AS max_lag, risk_score FROM risk r JOIN pm USING (ticker) JOIN tv USING (ticker) JOIN conc USING (ticker) JOIN wfs USING (ticker) JOIN yearly USING (ticker)""", "risk", "pm", "tv", "conc", "wfs", "yearly")
 cte("gate", """SELECT ticker, concat_ws(',', CASE WHEN oos_r2 < -0.25 THEN CASE WHEN r2_band_high >= -0.25 THEN 'oos_r2_low_but_band_clears' WHEN direction >= 0.55 AND (volatility_r2 >= 0 OR volatility_ratio BETWEEN 0.5 AND 1.8) THEN 'oos_r2_low_but_trend_volatility_ok'
       WHEN oos_r2 >= -0.1 THEN 'oos_r2_mildly_negative' ELSE 'oos_r2_low' END END,
       CASE WHEN wf_avg_r2 < -0.25 THEN CASE WHEN wf_band_high >= -0.25 THEN 'walk_forward_low_but_band_clears' WHEN wf_avg_r2 < -5 AND oos_r2 >= -0.25 THEN 'walk_forward_unstable_but_oos_ok' ELSE 'walk_forward_low' END END,
@@ -247,8 +251,10 @@ def report(spark, d):
     p = stage(naive_predictions(spark, d))
     m = V.regression_metrics(p).select("ticker", F.col("r2").alias("oos_r2"))
     j = risk.join(m, "ticker").join(V.trend_volatility(p), "ticker").join(V.concentration(scaled_betas(s)), "ticker")
-    return j.withColumn("r2_band_high", F.col("oos_r2") + 0.2).withColumn("wf_avg_r2", F.col("oos_r2") - 0.1).withColumn("wf_band_high", F.col("oos_r2") + 0.1).withColumn(
-        "windows_requested", F.lit(4)).withColumn("windows_completed", F.lit(4)).withColumn("max_lag", F.lit(45))
+    wf = V.walk_forward_summary(V.walk_forward(supervised(spark, d, ["energy_index"]), "log_return", ["energy_index"])).select(
+        "ticker", F.col("avg_r2").alias("wf_avg_r2"), F.col("band_high").alias("wf_band_high"), F.col("windows").alias("windows_completed"))
+    years = V.regression_metrics(p.withColumn("year", F.year("date")), ("ticker", "year")).groupBy("ticker").agg(F.percentile("r2", F.lit(0.9)).alias("r2_band_high"))
+    return j.join(wf, "ticker").join(years, "ticker").withColumn("windows_requested", F.lit(4)).withColumn("max_lag", F.lit(45))
 
 
 @query("val19_gate", sql("""SELECT ticker, advisory, blocking, CASE WHEN risk_score >= 0.6 THEN 'fail' WHEN risk_score >= 0.4 THEN 'warn' WHEN advisory <> '' THEN 'warn' WHEN blocking <> '' THEN 'fail' ELSE 'pass' END AS severity, blocking = '' AS passed, round(risk_score, 5) AS risk_score FROM gate""", "gate"))
