@@ -58,13 +58,24 @@ def high_vif(vif: DataFrame, limit: float = 5.0) -> DataFrame:
     return vif.groupBy("ticker").agg(F.max("vif").alias("max_vif"), F.array_sort(F.collect_list(F.when(F.col("vif") > limit, F.col("factor")))).alias("offenders"))
 
 
-def regime_stability(rolling: DataFrame, value: str = "elasticity") -> DataFrame:
-    """(ticker, n, cv, robust_cv, limit, stable) of rolling elasticities; the limit tightens with the sample."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = rolling.groupBy("ticker").agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), q.alias("q"))
-    rcv = F.when(F.abs(F.col("q")[1]) > 1e-10, (F.col("q")[2] - F.col("q")[0]) / F.abs(F.col("q")[1]))
+def regime_stability(rolling: DataFrame, value: str = "elasticity", resamples: int = 100, level: float = 0.95) -> DataFrame:
+    """(ticker, n, cv, robust_cv, band_high, limit, stable) of rolling elasticities; the limit tightens with the sample.
+
+    The verdict uses the upper bound of a bootstrap band of the robust ratio. A resample's picks are hashes of (ticker,
+    resample, draw), so they are the same on any partitioning; a series is calendar-bound, and draws meet rows by equality.
+    """
+    ratio = lambda q: F.when(F.abs(q[1]) > 1e-10, (q[2] - q[0]) / F.abs(q[1]))
+    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    a = rolling.groupBy("ticker").agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), quartiles.alias("q"))
     lim = F.round(F.greatest(F.lit(2.5), 4.0 * F.greatest(F.lit(0.5), 1.0 - (F.col("n") - 8) * 0.02)), 2)
-    return a.select("ticker", "n", F.when(F.abs("m") > 1e-10, F.col("s") / F.abs("m")).alias("cv"), rcv.alias("robust_cv"), lim.alias("limit")).withColumn("stable", F.col("robust_cv") < F.col("limit"))
+    d = rolling.where(F.col(value).isNotNull()).select("ticker", value, F.row_number().over(series("ticker")).cast("long").alias("_i"), F.count("*").over(whole("ticker")).alias("_n"))
+    d = d.repartition("ticker")
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", "ticker", "_b", "_i")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    picks = d.select("ticker", "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b")).select("ticker", "_b", (F.floor(u * F.col("_n")) + 1).alias("_i"))
+    each = picks.join(d.select("ticker", "_i", value), ["ticker", "_i"]).groupBy("ticker", "_b").agg(quartiles.alias("q"))
+    band = each.select("ticker", ratio(F.col("q")).alias("r")).groupBy("ticker").agg(F.percentile("r", F.lit(level)).alias("band_high"))
+    out = a.select("ticker", "n", F.when(F.abs("m") > 1e-10, F.col("s") / F.abs("m")).alias("cv"), ratio(F.col("q")).alias("robust_cv"), lim.alias("limit"))
+    return out.join(band, "ticker", "left").withColumn("stable", F.coalesce("band_high", "robust_cv") < F.col("limit"))
 
 
 def staleness(pred: DataFrame, as_of: str) -> DataFrame:

@@ -219,8 +219,15 @@ def rolling(spark, d):
     return R.rolling_elasticity(supervised(spark, d, ["inflation"]), "log_return", "inflation", 90)
 
 
-@query("dia4_regime_stability", sql("""SELECT ticker, n, round(robust_cv, 4) AS robust_cv, ROUND(greatest(2.5, 4.0 * greatest(0.5, 1.0 - (n - 8) * 0.02)), 2)::DOUBLE AS "limit", robust_cv < greatest(2.5, 4.0 * greatest(0.5, 1.0 - (n - 8) * 0.02)) AS stable FROM (
-    SELECT ticker, count(*) AS n, (quantile_cont(elasticity, 0.75) - quantile_cont(elasticity, 0.25)) / abs(quantile_cont(elasticity, 0.5)) AS robust_cv FROM roll_e GROUP BY 1)""", "roll_e"))
+cte("roll_n", "SELECT ticker, elasticity, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM roll_e WHERE elasticity IS NOT NULL", "roll_e")
+cte("resample", """SELECT ticker, quantile_cont(r, 0.95) AS band_high FROM (SELECT p.ticker, p.b, (quantile_cont(v.elasticity, 0.75) - quantile_cont(v.elasticity, 0.25)) / abs(quantile_cont(v.elasticity, 0.5)) AS r FROM (
+    SELECT ticker, b, floor(('0x' || substr(md5(ticker || '|' || b || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n) + 1 AS i FROM roll_n, (SELECT unnest(generate_series(1, 100)) AS b)) p
+    JOIN roll_n v ON v.ticker = p.ticker AND v.i = p.i GROUP BY 1, 2) GROUP BY 1""", "roll_n")
+
+
+@query("dia4_regime_stability", sql("""SELECT ticker, n, round(robust_cv, 4) AS robust_cv, round(band_high, 4) AS band_high, lim AS "limit", band_high < lim AS stable FROM (
+    SELECT ticker, count(*) AS n, (quantile_cont(elasticity, 0.75) - quantile_cont(elasticity, 0.25)) / abs(quantile_cont(elasticity, 0.5)) AS robust_cv,
+    ROUND(greatest(2.5, 4.0 * greatest(0.5, 1.0 - (count(*) - 8) * 0.02)), 2)::DOUBLE AS lim FROM roll_e GROUP BY 1) JOIN resample USING (ticker)""", "roll_e", "resample"))
 def _(spark, d):
     return rounded(D.regime_stability(rolling(spark, d)).drop("cv"), 4)
 
