@@ -38,28 +38,45 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def whole_runs(batches, keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted batches as tables that hold whole runs of equal keys, and where the runs begin (one more entry)."""
+    """Sorted batches as tables that hold whole runs of equal keys, and where the runs begin (one more entry).
+
+    Only a run that crosses batches is copied.
+    """
     held: list[pa.RecordBatch] = []
+
+    def key(batch):
+        return [batch.column(k)[0].as_py() for k in keys]
+
+    def joined():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table, np.array([0, table.num_rows])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        begin = run_starts(table, keys)
-        if len(begin) > 1:
-            cut = int(begin[-1])
-            yield table.slice(0, cut).combine_chunks(), begin
-            held = table.slice(cut).combine_chunks().to_batches()
+        begin = run_starts(batch, keys)
+        first = 0
+        if held and key(batch) == key(held[0]):
+            first = 1 if len(begin) > 1 else len(begin)
+            held.append(batch.slice(0, int(begin[1]) if len(begin) > 1 else batch.num_rows))
+            if len(begin) == 1:
+                continue
+        if held:
+            yield joined()
+        a, b = int(begin[first]), int(begin[-1])
+        if b > a:
+            yield pa.Table.from_batches([batch.slice(a, b - a)]), begin[first:] - a
+        held = [batch.slice(b)]
     if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        yield table, np.append(run_starts(table, keys), table.num_rows)
+        yield joined()
 
 
-def run_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+def run_starts(table: pa.Table | pa.RecordBatch, keys: list[str]) -> np.ndarray:
     change = np.zeros(table.num_rows, bool)
     change[0] = True
     for k in keys:
-        v = table.column(k).to_numpy()
+        v = table.column(k)
+        v = v.to_numpy() if isinstance(table, pa.Table) else v.to_numpy(zero_copy_only=False)
         change[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(change)
 

@@ -10,12 +10,13 @@ index. A text stops drawing at the time by which all its registers are filled: f
 all texts, doubled for the rest, so the result is exact and most runs draw once or twice.
 
 Candidates share a band of `ROWS` registers. Pairs within a bucket are not listed. First every member meets the
-bucket's hub, the member whose buckets hold the most texts. Where members are left outside the largest component of
-their bucket, each meets the member that its signature finds most similar in every other component; then, if
-it is still outside, every member of other components whose estimate is not `SLACK` standard deviations below the
-threshold. A link between members of one component changes nothing, so no link that matters is lost. All proposed pairs
-are verified exactly on their weighted runs: partners are sent to parts of at most `PART` beside one copy of their
-hub, so neither a hub nor a bucket has to fit a task.
+bucket's hub, the member whose buckets hold the most texts; partners are sent to parts of at most `PART` beside one copy of
+their hub. Where members are left outside the largest component of their bucket, they meet the bucket's other members
+block by block (at most `BLOCK` against `BLOCK`): pairs that lie in different components, and whose estimate
+from `LONG` further registers is not `SLACK` standard deviations below the threshold, are compared from the most similar
+down. A task sends only links that join components, so it never sends more rows than it has members; a pair is
+compared only in the first band that it shares. A link between members of one component changes nothing, so no link that
+matters is lost. Every link is verified exactly on the weighted runs.
 
 Defined cases: rows without an id are not compared by themselves; null texts and texts without words are alone, each its own class and component; repeated rows and equal
 texts share a class and the smallest id stays; an empty table gives an empty result; extra columns are ignored; very
@@ -36,7 +37,8 @@ from .words import Words, hashed, mix, runs, slices, words
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
-SLACK, PART, BLOCK = 3.5, 128, 1024
+LONG, SLACK, PART, BLOCK = 256, 3.5, 128, 512
+SLICE = 2 << 20  # bytes of text at a time; signatures take many arrays of its size
 
 
 def weighted(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,30 +65,30 @@ def weight(times: np.ndarray) -> np.ndarray:
     return 1 + np.log2(times)
 
 
-def draws(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def draws(h: np.ndarray, k: int, registers: int) -> tuple[np.ndarray, np.ndarray]:
     """The k-th waiting time (rate 1) and register of each run; they depend on the run alone."""
     x = mix(h + np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (2 ** 64 - 1)))
     u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0 ** 53
-    return -np.log(u), (mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(REGISTERS)).astype(np.int64)
+    return -np.log(u), (mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(registers)).astype(np.int64)
 
 
-def signatures(owner: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    """Registers of n texts (n, REGISTERS); a text without runs has zeros."""
-    out = np.zeros((n, REGISTERS), np.uint64)
+def signatures(owner: np.ndarray, h: np.ndarray, w: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
+    """Registers of n texts (n, registers); a text without runs has zeros."""
+    out = np.zeros((n, registers), np.uint64)
     total = np.bincount(owner, w, n)
     open_ = total > 0
-    limit = np.where(open_, REGISTERS * (np.log(REGISTERS) + 4) / np.where(open_, total, 1), 0)
+    limit = np.where(open_, registers * (np.log(registers) + 4) / np.where(open_, total, 1), 0)
     while open_.any():
-        best, who = np.full(n * REGISTERS, np.inf), np.zeros(n * REGISTERS, np.uint64)
+        best, who = np.full(n * registers, np.inf), np.zeros(n * registers, np.uint64)
         rows = np.flatnonzero(open_[owner])
         at, k = np.zeros(len(rows)), 0
         places, times, ids = [], [], []
         while len(rows):
-            wait, register = draws(h[rows], k)
+            wait, register = draws(h[rows], k, registers)
             at = at + wait / w[rows]
             on = at <= limit[owner[rows]]
             rows, at = rows[on], at[on]
-            places.append(owner[rows] * REGISTERS + register[on])
+            places.append(owner[rows] * registers + register[on])
             times.append(at)
             ids.append(h[rows])
             k += 1
@@ -94,8 +96,8 @@ def signatures(owner: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.nd
         order = np.argsort(-time, kind="stable")  # the earliest arrival is written last
         best[place[order]] = time[order]
         who[place[order]] = run[order]
-        full = open_ & np.isfinite(best.reshape(n, REGISTERS)).all(axis=1)
-        out[full] = who.reshape(n, REGISTERS)[full]
+        full = open_ & np.isfinite(best.reshape(n, registers)).all(axis=1)
+        out[full] = who.reshape(n, registers)[full]
         open_ &= ~full
         limit *= 2
     return out
@@ -117,11 +119,19 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
     return float((1 / (above[both] / a[both] + below[both] / b[both])).sum())
 
 
+def bands_of(sig: np.ndarray) -> np.ndarray:
+    """Bucket keys of each band (n, BANDS)."""
+    bands = np.zeros((len(sig), BANDS), np.uint64)
+    for r in range(ROWS):
+        bands = mix(bands + sig[:, r::ROWS] * np.uint64(2 * r + 3))
+    return bands.view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, f1, f2 (fingerprints of the weighted runs), runs, registers, bands; nulls where a text has no words."""
+    """docs: doc_id, text. doc_id, f1, f2 (fingerprints of the weighted runs), runs, bands; nulls where a text has no words."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             w = words(batch.column("text"))
             n = len(w)
             owner, h, times = weighted(w)
@@ -133,33 +143,38 @@ def sketches(docs: DataFrame) -> DataFrame:
                 t = times.astype(np.uint64)
                 f1[owner[begin]] = np.add.reduceat(mix(h) * t, begin)
                 f2[owner[begin]] = np.add.reduceat(mix(h ^ np.uint64(0x1234567)) * mix(t), begin)
-            sig = signatures(owner, h, weight(times), n)
-            short = (mix(sig) >> np.uint64(32)).astype(np.uint32)
-            bands = np.zeros((n, BANDS), np.uint64)
-            for r in range(ROWS):
-                bands = mix(bands + sig[:, r::ROWS] * np.uint64(2 * r + 3))
-            mask = pa.array(none)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(f1.view(np.int64), mask=none), pa.array(f2.view(np.int64), mask=none), pa.array(count),
-                 pa.array([None if z else s.tobytes() for z, s in zip(none, short)], pa.binary()), pa.ListArray.from_arrays(lists.offsets, lists.values, mask=mask)],
-                ["doc_id", "f1", "f2", "runs", "registers", "bands"])
+            bands = bands_of(signatures(owner, h, weight(times), n))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel()), mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(f1.view(np.int64), mask=none), pa.array(f2.view(np.int64), mask=none), pa.array(count), lists],
+                                             ["doc_id", "f1", "f2", "runs", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, f1 long, f2 long, runs long, registers binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, f1 long, f2 long, runs long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """docs: rep, text. rep, hashes (sorted), times."""
+    """docs: rep, text. rep, hashes (sorted), times, long (registers of a longer signature), bands."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             w = words(batch.column("text"))
+            n = len(w)
             owner, h, times = weighted(w)
-            offsets = pa.array(np.searchsorted(owner, np.arange(len(w) + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))),
-                                              pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], ["rep", "hashes", "times"])
+            offsets = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
+            long = (mix(signatures(owner, h, weight(times), n, LONG)) >> np.uint64(48)).astype(np.uint16)
+            bands = bands_of(signatures(owner, h, weight(times), n))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+                 pa.array([x.tobytes() for x in long], pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())], ["rep", "hashes", "times", "long", "bands"])
+
+    return docs.mapInArrow(run, "rep long, hashes array<long>, times array<int>, long binary, bands binary")
 
-    return docs.mapInArrow(run, "rep long, hashes array<long>, times array<int>")
+
+def sets_of(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's runs begin, their hashes and weights."""
+    columns = [table.column(c) for c in ("hashes", "times")]
+    hashes, times = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
+    at = hashes.offsets.to_numpy()
+    return at - at[0], hashes.flatten().to_numpy().view(np.uint64), weight(times.flatten().to_numpy())
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -167,64 +182,70 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     dealt = stage(pairs.join(parts, "hub").select("hub", "other", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part")))
     heads = dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("rep"), F.lit(0).alias("role"))
-    rows = heads.unionByName(dealt.select("hub", "part", F.col("other").alias("rep"), F.lit(1).alias("role"))).join(sets, "rep")
+    rows = heads.unionByName(dealt.select("hub", "part", F.col("other").alias("rep"), F.lit(1).alias("role"))).join(sets.select("rep", "hashes", "times"), "rep")
 
     def run(batches):
-        for table, begin in whole_runs(batches, ["hub", "part"]):
-            hub, rep = table.column("hub").to_numpy(), table.column("rep").to_numpy()
-            hashes, times = table.column("hashes").combine_chunks(), table.column("times").combine_chunks()
-            at = hashes.offsets.to_numpy()
-            h, t = hashes.values.to_numpy().view(np.uint64), weight(times.values.to_numpy())
+        hub, mine = None, None  # the hub comes before its partners, in this batch or one before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, h, t = sets_of(batch)
             a, b = [], []
-            for lo, hi in zip(begin[:-1], begin[1:]):  # the hub comes first
-                x = slice(at[lo], at[lo + 1])
-                for i in range(lo + 1, hi):
-                    y = slice(at[i], at[i + 1])
-                    if probability_jaccard(h[x], t[x], h[y], t[y]) >= threshold - 1e-12:
-                        a.append(hub[lo])
-                        b.append(rep[i])
+            for i, (rep, role) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("role").to_pylist())):
+                x = slice(at[i], at[i + 1])
+                if role == 0:
+                    hub, mine = rep, (h[x].copy(), t[x].copy())
+                elif probability_jaccard(*mine, h[x], t[x]) >= threshold - 1e-12:
+                    a.append(hub)
+                    b.append(rep)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     keys = ["hub", "part", "role", "rep"]
     return rows.select(*keys, "hashes", "times").repartition("hub", "part").sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def outsiders(members: DataFrame, info: DataFrame, closest: bool, threshold: float) -> DataFrame:
-    """Proposed pairs (hub, other) of members of a bucket that lie in different components.
-
-    members: band, key, rep. info: rep, registers, component.
-    """
-    rows = members.join(info.select("rep", "component"), "rep")
+def outsiders(members: DataFrame, info: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join components within a bucket. members: band, key, rep. info: rep, component."""
+    rows = members.join(info, "rep")
     inside = rows.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = inside.groupBy("band", "key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
     rows = rows.join(main.select("band", "key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("p"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("q")), ["band", "key"])
     deal = lambda parts: F.pmod(F.xxhash64("rep"), parts).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    them = rows.select("band", "key", "rep", "component", F.lit(1).alias("role"), deal(F.col("p")).alias("i"), every("q").alias("j"))
-    out = rows.where("component <> main").select("band", "key", "rep", "component", F.lit(0).alias("role"), every("p").alias("i"), deal(F.col("q")).alias("j"))
+    out = F.col("component") != F.col("main")
+    them = rows.select("band", "key", "rep", "component", out.alias("out"), F.lit(1).alias("role"), deal(F.col("p")).alias("i"), every("q").alias("j"))
+    ours = rows.where(out).select("band", "key", "rep", "component", out.alias("out"), F.lit(0).alias("role"), every("p").alias("i"), deal(F.col("q")).alias("j"))
     cells = ["band", "key", "i", "j"]
-    least = threshold - SLACK * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    least = threshold - SLACK * (threshold * (1 - threshold) / LONG) ** 0.5
 
     def run(batches):
         for table, begin in whole_runs(batches, cells):
-            rep, comp, role = (table.column(c).to_numpy() for c in ("rep", "component", "role"))
-            sig = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint32).reshape(-1, REGISTERS)
+            rep, comp, role, band, open_ = (table.column(c).to_numpy() for c in ("rep", "component", "role", "band", "out"))
+            keys = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+            long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint16).reshape(-1, LONG)
+            at, h, t = sets_of(table)
             a, b = [], []
             for lo, hi in zip(begin[:-1], begin[1:]):
-                one, two = lo + np.flatnonzero(role[lo:hi] == 0), lo + np.flatnonzero(role[lo:hi] == 1)
+                label = comp[lo:hi].copy()  # components as they are joined here
+                one, two = np.flatnonzero(role[lo:hi] == 0), np.flatnonzero(role[lo:hi] == 1)
                 for i in one:
-                    estimate = (sig[two] == sig[i]).mean(axis=1)
-                    good = np.flatnonzero((estimate >= least) & (comp[two] != comp[i]))
-                    if closest:
-                        good = good[np.argsort(-estimate[good], kind="stable")]
-                        good = good[np.unique(comp[two[good]], return_index=True)[1]]
-                    a += [rep[i]] * len(good)
-                    b += rep[two[good]].tolist()
+                    x = lo + i
+                    y = two[label[two] != label[i]]
+                    y = y[~open_[lo + y] | (rep[lo + y] < rep[x])]  # of two outsiders the greater asks
+                    y = y[(keys[lo + y] == keys[x]).argmax(axis=1) == band[lo]]
+                    if not len(y):
+                        continue
+                    estimate = (long[lo + y] == long[x]).mean(axis=1)
+                    for k in y[np.argsort(-estimate, kind="stable")][:np.count_nonzero(estimate >= least)]:
+                        z = lo + k
+                        if label[k] != label[i] and probability_jaccard(h[at[x]:at[x + 1]], t[at[x]:at[x + 1]], h[at[z]:at[z + 1]], t[at[z]:at[z + 1]]) >= threshold - 1e-12:
+                            a.append(rep[x])
+                            b.append(rep[z])
+                            label[label == label[k]] = label[i]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    full = them.unionByName(out).join(info.select("rep", "registers"), "rep")
-    found = full.repartition(*cells).sortWithinPartitions(*cells, "role", "rep").mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("other")).distinct()
+    full = them.unionByName(ours).join(sets, "rep")
+    return full.repartition(*cells).sortWithinPartitions(*cells, "role", "rep").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -235,7 +256,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     made = ["f1", "f2", "runs"]
     with_runs = sketch.where("runs > 0")
     classes = stage(with_runs.groupBy(*made).agg(F.min("doc_id").alias("rep")))
-    own = stage(with_runs.join(classes, made).where("doc_id = rep").select("rep", "registers", "bands").dropDuplicates(["rep"]))
+    own = stage(with_runs.join(classes, made).where("doc_id = rep").select("rep", "bands").dropDuplicates(["rep"]))
     places = own.select("rep", F.posexplode("bands").alias("band", "key"))
     sizes = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stage(places.join(sizes, ["band", "key"]).select("band", "key", "rep", "n"))
@@ -245,20 +266,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     involved = degree.select("rep")
     sets = stage(shingle_sets(rows.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "text")))
     links = stage(verified(pairs, sets, threshold))
-    tested = pairs.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other"))
     found = stage(components(links))
-    for closest in (True, False):
-        info = own.join(involved, "rep", "left_semi").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
-            "rep", "registers", F.coalesce("component", "rep").alias("component"))
-        more = stage(outsiders(members.select("band", "key", "rep"), stage(info), closest, threshold).join(tested, ["hub", "other"], "left_anti"))
-        if more.isEmpty():
-            break
-        tested = tested.unionByName(more)
-        new = stage(verified(more, sets, threshold))
-        if new.isEmpty():
-            continue
-        links = links.unionByName(new)
-        found = stage(components(links))
+    info = involved.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    more = stage(outsiders(members.select("band", "key", "rep"), stage(info), sets, threshold))
+    if not more.isEmpty():
+        found = stage(components(links.unionByName(more)))
     groups = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*made, "rep", F.coalesce("component", "rep").alias("component"))
     return sketch.select("doc_id", *made).join(groups, made, "left").select(
         "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"),
