@@ -88,8 +88,9 @@ def repeated_windows(docs: DataFrame, base: DataFrame, window: int, kmer: int) -
                                               pa.array(ids[text]), pa.array((keep - w.starts[text]).astype(np.int32))], ["w", "c", "doc_id", "pos"])
 
     found = stage(docs.join(hits, "doc_id").mapInArrow(edges, "w long, c int, doc_id long, pos int"))
-    sources = found.groupBy("w", "c").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = found.join(sources.select("w", "c", "source"), ["w", "c"]).where(
+    # written, so that the join below has two shuffles of its own and a frequent window's rows can be split
+    sources = stage(found.groupBy("w", "c").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "c", "source"))
+    later = found.join(sources, ["w", "c"]).where(
         (F.col("doc_id") > F.col("source.doc_id")) | (F.col("pos") > F.col("source.pos")))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", F.col("source.doc_id").alias("source"), F.col("source.pos").alias("at"))).alias("windows"))
 
