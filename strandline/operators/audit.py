@@ -134,12 +134,12 @@ def impossible_results(df: DataFrame, ret: str = "log_return") -> DataFrame:
     return a.withColumn("issues", iss).withColumn("edge_score", F.when(F.size("issues") > 0, 0.0).otherwise(100.0))
 
 
-def governance_review(decisions: DataFrame, meta: DataFrame) -> DataFrame:
-    """(ticker, lag_findings, over_strict, status): publication lag of at least 45 rows and whether a block looks too strict."""
+def governance_review(decisions: DataFrame, meta: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """(keys, lag_findings, over_strict, status): publication lag of at least 45 rows and whether a block looks too strict."""
     findings = meta.where(F.col("source").isin("fred", "worldbank") & (F.col("lag_rows") < 45)).select(F.count("*")).scalar()
     strict = ~F.col("passed") & F.coalesce(F.col("risk_score") < 0.6, F.lit(False))
     hard = ~F.col("passed") & ~strict & ~F.coalesce(F.col("oos_r2") >= -0.50, F.lit(True)) & ~F.coalesce(F.col("risk_score") <= 0.70, F.lit(True))
-    return decisions.select("ticker", "passed", findings.alias("lag_findings"), strict.alias("over_strict"), F.when(F.col("passed"), "pass").when(hard, "fail").otherwise("warn").alias("status"))
+    return decisions.select(*keys, "passed", findings.alias("lag_findings"), strict.alias("over_strict"), F.when(F.col("passed"), "pass").when(hard, "fail").otherwise("warn").alias("status"))
 
 
 def roll_up(checks: DataFrame, key: str = "ticker") -> DataFrame:

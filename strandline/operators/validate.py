@@ -374,7 +374,7 @@ def decision_trend(decisions: DataFrame, last_n: int = 20, key: str = "ticker",
     return a.withColumn("direction", way).drop("_k", "_late", "_early")
 
 
-def split_blocked(results: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(allowed, blocked) rows of a result table by failed tickers."""
-    failed = decisions.where((F.col("severity") == "fail") | ~F.col("passed")).select("ticker").distinct()
-    return results.join(failed, "ticker", "left_anti"), results.join(failed, "ticker", "left_semi")
+def split_blocked(results: DataFrame, decisions: DataFrame, keys: Sequence[str] = ("ticker",)) -> tuple[DataFrame, DataFrame]:
+    """(allowed, blocked) rows of a result table by failed keys."""
+    failed = decisions.where((F.col("severity") == "fail") | ~F.col("passed")).select(*keys).distinct()
+    return results.join(failed, list(keys), "left_anti"), results.join(failed, list(keys), "left_semi")

@@ -114,11 +114,11 @@ def _(spark, d):
     return rounded(A.impossible_results(G.with_returns(B.bars(spark, d))).withColumn("issues", F.array_join("issues", ",")), 5)
 
 
-@query("aud11_governance_review", sql("""SELECT ticker, passed, 0::BIGINT AS lag_findings, NOT passed AND risk_score < 0.6 AS over_strict, CASE WHEN passed THEN 'pass' WHEN NOT (risk_score < 0.6) AND NOT (wf_avg_r2 >= -0.5) AND NOT (risk_score <= 0.7) THEN 'fail' ELSE 'warn' END AS status
-    FROM dec2 WHERE run_id = 2000""", "dec2"))
+@query("aud11_governance_review", sql("""SELECT run_id, ticker, passed, 0::BIGINT AS lag_findings, NOT passed AND risk_score < 0.6 AS over_strict, CASE WHEN passed THEN 'pass' WHEN NOT (risk_score < 0.6) AND NOT (wf_avg_r2 >= -0.5) AND NOT (risk_score <= 0.7) THEN 'fail' ELSE 'warn' END AS status
+    FROM dec2""", "dec2"))
 def _(spark, d):
-    dec = decisions(spark, d).where(F.col("run_id") == 2000).withColumn("oos_r2", F.col("wf_avg_r2"))
-    return A.governance_review(dec, T.panel_meta(B.bars(spark, d), MAC))
+    dec = decisions(spark, d).withColumn("oos_r2", F.col("wf_avg_r2"))
+    return A.governance_review(dec, T.panel_meta(B.bars(spark, d), MAC), ("run_id", "ticker"))
 
 
 def checks(spark, d):

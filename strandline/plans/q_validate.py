@@ -310,11 +310,12 @@ def _(spark, d):
     return rounded(V.decision_trend(decisions(spark, d), 5), 5)
 
 
-@query("val24_blocked_results", sql("""SELECT ticker, CASE WHEN ticker IN (SELECT ticker FROM dec2 WHERE run_id = 2000 AND severity = 'fail') THEN 'blocked' ELSE 'allowed' END AS state, count(*) AS n FROM px GROUP BY 1, 2""", "px", "dec2"))
+@query("val24_blocked_results", sql("""SELECT year(date) AS run_id, ticker, CASE WHEN (year(date), ticker) IN (SELECT (run_id, ticker) FROM dec2 WHERE severity = 'fail') THEN 'blocked' ELSE 'allowed' END AS state, count(*) AS n FROM px GROUP BY 1, 2, 3""", "px", "dec2"))
 def _(spark, d):
-    ok, no = V.split_blocked(B.bars(spark, d), decisions(spark, d).where(F.col("run_id") == 2000))
+    px = B.bars(spark, d).withColumn("run_id", F.year("date").cast("long"))
+    ok, no = V.split_blocked(px, decisions(spark, d), ("run_id", "ticker"))
     both = ok.withColumn("state", F.lit("allowed")).unionByName(no.withColumn("state", F.lit("blocked")))
-    return both.groupBy("ticker", "state").agg(F.count("*").alias("n"))
+    return both.groupBy("run_id", "ticker", "state").agg(F.count("*").alias("n"))
 
 
 # --- model-driven backtests -------------------------------------------------------------------------------
