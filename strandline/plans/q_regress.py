@@ -199,4 +199,4 @@ def _(spark, d):
 
 @query("reg20_lagged_grid")
 def _(spark, d):
-    return K.lagged_grid(master(spark, d), ["inflation", "energy_index"], (1, 5, 10))
+    return K.lagged_grid(master(spark, d), MAC, (1, 5, 10))

@@ -94,10 +94,17 @@ def _(spark, d):
     return rounded(R.lag_scan(G.with_returns(B.bars(spark, d)), "log_return", "log_return", 20, min_lag=1))
 
 
-DECAY = ["inflation", "energy_index", "consumer_sentiment"]
+DECAY = MAC
 WL = "OVER (PARTITION BY ticker ORDER BY date)"
-cte("decay_in", "SELECT ticker, date, 'inflation' AS feature, log_return AS y, inflation - lag(inflation) " + WL + " AS x FROM master UNION ALL SELECT ticker, date, 'energy_index', log_return, ln(energy_index / lag(energy_index) "
-    + WL + ") FROM master UNION ALL SELECT ticker, date, 'consumer_sentiment', log_return, consumer_sentiment - lag(consumer_sentiment) " + WL + " FROM master", "master")
+def decay_step(f):
+    """The stationary form of a feature, as SQL."""
+    prev = f"lag({f}) {WL}"
+    if T.is_rate_like(f):
+        return f"{f} - {prev}"
+    return f"CASE WHEN min({f}) OVER (PARTITION BY ticker) > 0 THEN ln({f} / nullif({prev}, 0)) ELSE {f} / nullif({prev}, 0) - 1 END"
+
+
+cte("decay_in", " UNION ALL ".join(f"SELECT ticker, date, '{f}' AS feature, log_return AS y, {decay_step(f)} AS x FROM master" for f in DECAY), "master")
 cte("scan9", scan_sql("decay_in", "y", "x", 0, 60, 25, "ticker, feature"), "decay_in")
 
 
