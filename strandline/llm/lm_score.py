@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from ..functions.stage import stage
 from .words import Words, buffers, hashed, mix, slices, words
 
-CLASSES, OWN, ROW_BITS = 64, 24, 15
+CLASSES, OWN, ROW_BITS = 32, 12, 15
 ROWS = 1 << ROW_BITS
 HEAD = 65_536
-ROUNDS, BATCH, RATE, FAN, BLOCKS = 2, 4096, 0.4, 64, 16
+ROUNDS, BATCH, RATE, FAN, BLOCKS = 2, 16384, 0.4, 64, 16
+SLICE = 2 << 20  # bytes of text at a time
 END = ""  # words are never empty
 
 
@@ -83,7 +84,7 @@ def tokens(w: Words, own: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.nd
     one[1:], two[2:], last[1:] = h[:-1], h[:-2], kind[:-1].astype(np.uint64)
     one[place < 1], two[place < 2], last[place < 1] = 1, 2, CLASSES
     shift = np.uint64(64 - ROW_BITS)
-    rows = np.empty((total, 5), np.int64)
+    rows = np.empty((total, 5), np.uint16)  # numbers below ROWS
     rows[:, 0] = 0
     rows[:, 1] = mix(one * np.uint64(3) + np.uint64(0x51)) >> shift
     rows[:, 2] = mix(two * np.uint64(5) + np.uint64(0x52)) >> shift
@@ -107,7 +108,10 @@ def descend(weights: np.ndarray, squares: np.ndarray, kind: np.ndarray, rows: np
         k, r = kind[a:a + BATCH], rows[a:a + BATCH]
         g = -np.exp(softmax(weights, r))
         g[np.arange(len(k)), k] += 1
-        for j in range(r.shape[1]):
+        step = g.sum(axis=0)  # the bias is one row
+        squares[0] += step * step
+        weights[0] += rate * step / np.sqrt(squares[0] + 1.0)
+        for j in range(1, r.shape[1]):
             order = np.argsort(r[:, j], kind="stable")
             at = r[order, j]
             first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
@@ -136,12 +140,13 @@ def train(texts: DataFrame, own: dict[str, int], rounds: int = ROUNDS) -> np.nda
 
         def step(batches):
             w, squares, n = shared.value.copy(), np.zeros((ROWS, CLASSES), np.float32), 0
-            for batch in slices(batches):
+            for batch in slices(batches, limit=SLICE):
                 kind, rows, _ = tokens(words(batch.column("text"), lower=True), own)
                 descend(w, squares, kind, rows)
                 n += len(kind)
             if n:
-                blocks = np.split(w * np.float32(n), BLOCKS)
+                w *= np.float32(n)
+                blocks = np.split(w, BLOCKS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int64()),
                                                   pa.array([float(n)] * BLOCKS), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "task", "n", "weights"])
 
@@ -205,7 +210,7 @@ def score(docs: DataFrame, learn, text: str = "text", doc_id: str = "doc_id", he
     def walk(batches):
         """Per document: sums over classes and frequent words, and its rarer words with how often it has them."""
         table = pa.array(known.value.words, pa.large_string())
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             w = words(batch.column("text"), lower=True)
             kind, feats, begin = tokens(w, own)
             logp = np.empty(len(kind))
