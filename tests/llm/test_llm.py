@@ -253,6 +253,19 @@ def test_language_model(spark):
     assert lm_score.score(odd(spark), ~toxicity.held_out("doc_id", 7, 2), rounds=1).count() == len(ODD)
 
 
+def test_model_is_not_coarser_than_stated(monkeypatch):
+    """24 own words, 39 classes by ending, and a gradient step for every 4,096 tokens."""
+    head = lm_score.Head([lm_score.END, *[f"w{i}" for i in range(40)]], np.arange(41, 0, -1))
+    assert len(head.own()) == 24
+    endings = pa.array([f"{a}{b}" for a, b in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=2)], pa.large_string())
+    assert len(set(lm_score.classes(endings, {}).tolist())) == 39
+    steps, real = [], lm_score.softmax
+    monkeypatch.setattr(lm_score, "softmax", lambda w, r: steps.append(len(r)) or real(w, r))
+    w = np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32)
+    lm_score.descend(w, w.copy(), np.zeros(16_384, np.int64), np.zeros((16_384, 5), np.uint16))
+    assert steps == [4096] * 4
+
+
 def test_class_softmax_and_gradient():
     r = np.random.default_rng(0)
     w = r.standard_normal((lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
