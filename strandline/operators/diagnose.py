@@ -35,6 +35,11 @@ PENALTIES = (
     ("MULTICOLLINEARITY", 4.0, "Factors are collinear."),
     ("OUTLIERS", 12.0, "Too many outliers were clipped."),
 )
+# penalties that grow with what is found: these are the greatest
+SCALED_PENALTIES = (
+    ("DATA_GAPS", 35.0, "Sources are missing or entities failed."),
+    ("LOOKAHEAD_BIAS", 20.0, "Factors know future returns."),
+)
 ANN = 252.0 ** 0.5
 
 
@@ -218,13 +223,57 @@ def worst_outlier_share(report: DataFrame) -> DataFrame:
 
 
 def diagnose(findings: DataFrame, keys: DataFrame, key: str = "ticker") -> DataFrame:
-    """(key, score, findings, limits) for every row of `keys`: 100 minus the penalty of each finding, 100 without any."""
-    p = values_table(findings.sparkSession, ("finding", "penalty", "limit_text"), PENALTIES)
-    j = findings.join(F.broadcast(p), "finding")
+    """(key, score, findings, limits) for every row of `keys`: 100 minus the penalty of each finding, 100 without any.
+
+    A finding counts once per key, also if several checks raise it; its own `penalty`, if not NULL, replaces the fixed one.
+    """
+    p = values_table(findings.sparkSession, ("finding", "fixed", "limit_text"), (*PENALTIES, *SCALED_PENALTIES))
+    own = F.max("penalty") if "penalty" in findings.columns else F.lit(None).cast("double")
+    j = findings.groupBy(key, "finding").agg(own.alias("own")).join(F.broadcast(p), "finding").withColumn("penalty", F.coalesce("own", "fixed"))
     a = j.groupBy(key).agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.sum("penalty"))).alias("score"), F.array_sort(F.collect_set("finding")).alias("findings"), F.array_sort(F.collect_set("limit_text")).alias("limits"))
     none = F.array().cast("array<string>")
     return keys.join(a, key, "left").select(key, F.coalesce("score", F.lit(100.0)).alias("score"), F.coalesce("findings", none).alias("findings"), F.coalesce("limits", none).alias("limits"))
 
 
-def finding(table: DataFrame, flag: Column | str, name: str, key: str = "ticker") -> DataFrame:
-    return table.where(flag).select(key, F.lit(name).alias("finding"))
+def finding(table: DataFrame, flag: Column | str, name: str, key: str = "ticker", penalty: Column | None = None) -> DataFrame:
+    own = F.lit(None) if penalty is None else penalty
+    return table.where(flag).select(key, F.lit(name).alias("finding"), own.cast("double").alias("penalty"))
+
+
+def run_findings(*checks: tuple[str, DataFrame]) -> DataFrame:
+    """(finding, penalty) of checks on the whole run: each table holds one row, its penalty, NULL where nothing was found."""
+    rows = [t.select(F.lit(name).alias("finding"), F.col(t.columns[0]).cast("double").alias("penalty")) for name, t in checks]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.where(F.col("penalty").isNotNull())
+
+
+def data_gap_penalty(report: DataFrame, sources: DataFrame) -> DataFrame:
+    """8 for each missing source, at most 20, and 1 for each failed entity, at most 15; NULL for neither."""
+    failed = report.agg(F.count_if(F.col("status") == "failed").alias("failed"))
+    missing = sources.agg(F.count_if("missing").alias("missing"))
+    total = F.least(F.lit(20.0), 8.0 * F.col("missing")) + F.least(F.lit(15.0), F.col("failed").cast("double"))
+    return failed.crossJoin(missing).select(F.when(total > 0, total).alias("penalty"))
+
+
+def outlier_penalty(share: DataFrame, limit: float = 0.05) -> DataFrame:
+    """100 times the worst share of clipped rows, at most 12; NULL up to the limit."""
+    r = F.col("outlier_ratio")
+    return share.select(F.when(r > limit, F.least(F.lit(12.0), r * 100)).alias("penalty"))
+
+
+def robustness_penalty(runs: DataFrame, penalty: float = 5.0) -> DataFrame:
+    return runs.agg(F.when(F.count("reason") > 0, penalty).alias("penalty"))
+
+
+def feature_shift(ks: DataFrame, psi: DataFrame, sides: DataFrame, limit: float = 0.2, min_rows: int = 30) -> DataFrame:
+    """(ticker, feature, shifted): features with enough rows on both sides of the split."""
+    n = sides.where(F.col("x").isNotNull()).groupBy("ticker", "feature").agg(F.count_if("is_train").alias("a"), F.count_if(~F.col("is_train")).alias("b"))
+    d = n.where((F.col("a") >= min_rows) & (F.col("b") >= min_rows)).join(ks, ["ticker", "feature"], "left").join(psi, ["ticker", "feature"], "left")
+    return d.select("ticker", "feature", (F.coalesce(F.col("ks") > limit, F.lit(False)) | F.coalesce(F.col("psi") > limit, F.lit(False))).alias("shifted"))
+
+
+def lookahead_count(links: DataFrame) -> DataFrame:
+    """(ticker, n): factors that know future returns, from leakage()."""
+    return links.groupBy("ticker").agg(F.count_if(F.array_contains("flags", "possible_future_leakage")).alias("n"))

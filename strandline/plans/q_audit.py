@@ -383,7 +383,7 @@ cte("find", f"""SELECT ticker, 'RESIDUAL_AUTOCORR' AS f FROM (SELECT ticker, abs
     UNION ALL SELECT ticker, 'POOR_RISK_ADJ' FROM res GROUP BY 1 HAVING avg(e) / stddev_pop(e) * sqrt(252) < -0.5""", "res")
 
 
-@query("dia23_diagnose", sql(f"""SELECT ticker, greatest(0.0, coalesce(least(100.0, 100.0 - sum(CASE f {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PEN.items())} END)), 100.0))::DOUBLE AS score, coalesce(string_agg(f, ',' ORDER BY f), '') AS findings FROM (SELECT DISTINCT ticker FROM res) LEFT JOIN find USING (ticker) GROUP BY 1""", "find", "res"))
+@query("dia23_diagnose_residual_codes", sql(f"""SELECT ticker, greatest(0.0, coalesce(least(100.0, 100.0 - sum(CASE f {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PEN.items())} END)), 100.0))::DOUBLE AS score, coalesce(string_agg(f, ',' ORDER BY f), '') AS findings FROM (SELECT DISTINCT ticker FROM res) LEFT JOIN find USING (ticker) GROUP BY 1""", "find", "res"))
 def _(spark, d):
     r = stage(res(spark, d))
     f = D.finding(D.lag_one(r), "problem", "RESIDUAL_AUTOCORR").unionByName(D.finding(D.heteroskedasticity(r), "flagged", "RESIDUAL_HETERO")).unionByName(
@@ -391,6 +391,57 @@ def _(spark, d):
     return D.diagnose(f, r.select("ticker").distinct()).select("ticker", "score", F.array_join("findings", ",").alias("findings"))
 
 
+def findings(spark, d, r):
+    """All codes: the checks of dia1 to dia22, data gaps and look-ahead; r: residuals."""
+    from ..operators.risk import historical_var
+    f, sup, roll = D.finding, stage(supervised(spark, d)), stage(rolling(spark, d))
+    split, coefs = stage(V.with_split(sup)), stage(ycoef(spark, d))
+    sec = B.sectors(spark, d).withColumn("sector", F.when(F.col("ticker").isin("PROMO", "SMALL"), "technology").otherwise(F.col("sector")))
+    impacts = RG.scenario_impacts(RG.factor_betas(sup, "log_return", MAC), RG.resolve_scenarios(spark), sec).withColumnRenamed("total", "impact")
+    bands = r.groupBy("ticker").agg(F.percentile("e", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.stddev_pop("e").alias("std")).select("ticker", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "std")
+    s = stage(R.long_features(split, MAC, ["ticker", "is_train"]))
+    b = coefs.withColumn("lo", F.col("coef") - F.col("se")).withColumn("hi", F.col("coef") + F.col("se"))
+    items = [F.struct(F.lit(x).alias("factor"), (F.regr_slope("log_return", x) * F.stddev_samp(x)).alias("coef")) for x in MAC]
+    weights = sup.groupBy("ticker").agg(F.array(*items).alias("a")).select("ticker", F.inline("a"))
+    why = F.col("reason").isNotNull()
+    per = [
+        f(sup.groupBy("ticker").agg(F.avg("log_return").alias("m")), F.abs("m") <= 1e-10, "SCALING_ISSUE"),
+        f(D.residual_ratios(r), F.col("sharpe") < -0.5, "POOR_RISK_ADJ"),
+        f(D.worst_shock(impacts), "exceeds", "EXCESS_DRAWDOWN"),
+        f(D.high_vif(RG.inflation_factors(sup, "log_return", MAC)), F.size("offenders") > 0, "MULTICOLLINEARITY", penalty=F.least(F.lit(8.0), 4.0 * F.size("offenders"))),
+        f(D.regime_stability(roll), ~F.col("stable"), "REGIME_INSTABILITY"),
+        f(D.staleness(r, "2001-11-20"), "stale", "STALE_DATA"),
+        f(D.residual_shift(r), "shifted", "DIST_SHIFT"),
+        f(D.lag_one(r), "problem", "RESIDUAL_AUTOCORR"),
+        f(D.band_quality(bands), why, "CI_QUALITY"),
+        f(D.sign_flips(roll), "unstable", "SIGN_INSTABILITY"),
+        f(D.tail_gap(r, historical_var(r, "actual").select("ticker", (-F.col("es")).alias("cvar"))), "gap", "UNCERTAINTY_GAP"),
+        f(D.split_integrity(V.split_bounds(split)), why, "TEMPORAL_INTEGRITY"),
+        f(D.explainability(weights, PRIORS), "problem", "EXPLAINABILITY_RISK"),
+        f(D.feature_shift(D.ks_statistic(s), D.stability_index(s), s), "shifted", "FEATURE_SHIFT"),
+        f(D.ljung_box(r), "flagged", "RESIDUAL_HETERO"),  # the reference has both tests under one code
+        f(D.heteroskedasticity(r), "flagged", "RESIDUAL_HETERO"),
+        f(D.band_coverage(r), "problem", "COVERAGE_CALIBRATION"),
+        f(D.importance_drift(coefs), "problem", "SHAP_STABILITY"),
+        f(D.band_overlap(b), "problem", "COEFF_CI_OVERLAP"),
+        f(D.backtest_realism(K.run(B.bars(spark, d))[0]), why, "BACKTEST_REALISM"),
+        f(D.lookahead_count(V.leakage(sup, "log_return", MAC)), F.col("n") > 0, "LOOKAHEAD_BIAS", penalty=F.least(F.lit(20.0), 8.0 * F.col("n"))),
+    ]
+    report = stage(_clean(spark, d)[1])
+    run = D.run_findings(("DATA_GAPS", D.data_gap_penalty(report, S.source_report(spark, report))), ("OUTLIERS", D.outlier_penalty(D.worst_outlier_share(report))),
+                         ("PIPELINE_ROBUSTNESS", D.robustness_penalty(D.run_robustness(B.operations(spark, d)))))
+    out = r.select("ticker").distinct().crossJoin(F.broadcast(run))
+    for t in per:
+        out = out.unionByName(t)
+    return out
+
+
+@query("dia23_diagnose")
+def _(spark, d):
+    r = stage(res(spark, d))
+    return D.diagnose(findings(spark, d, r), r.select("ticker").distinct()).select("ticker", "score", F.array_join("findings", ",").alias("findings"))
+
+
 # --- run health --------------------------------------------------------------------------------------------
 cte("health", """SELECT *, greatest(0.0, 100.0 - (null_penalty + outlier_penalty + schema_penalty + source_penalty + freshness_penalty)) AS score FROM (SELECT
     least(coalesce(sum(final_nulls) FILTER (ok) / nullif(sum(n_rows) FILTER (ok), 0), 0) * 100, 25.0) AS null_penalty, least(coalesce(sum(outliers) FILTER (ok) / nullif(sum(n_rows) FILTER (ok), 0), 0) * 120, 20.0) AS outlier_penalty,
