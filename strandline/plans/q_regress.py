@@ -143,7 +143,13 @@ def _(spark, d):
     return rounded(r.select("ticker", "factor", "coef", "intercept", "r2", "adj_r2", "n"), 6, coef=5)
 
 
-@query("reg15_importance", sql("SELECT ticker, 'energy_index' AS factor, round(abs(regr_slope(log_return, energy_index)) * stddev_samp(energy_index), 6) AS importance FROM sup GROUP BY 1", "sup"))
+@query("reg15_importance")
+def _(spark, d):
+    s = stage(supervised(spark, d))
+    return K.importance(K.ols_report(s, "log_return", MAC), s, MAC).select("ticker", "factor", "importance")
+
+
+@query("reg15_importance_one_factor", sql("SELECT ticker, 'energy_index' AS factor, round(abs(regr_slope(log_return, energy_index)) * stddev_samp(energy_index), 6) AS importance FROM sup GROUP BY 1", "sup"))
 def _(spark, d):
     s = supervised(spark, d)
     return rounded(K.importance(K.ols_report(s, "log_return", ["energy_index"]), s, ["energy_index"]).select("ticker", "factor", "importance"))

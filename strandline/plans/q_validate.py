@@ -332,7 +332,7 @@ def scored(spark, d, xs=("inflation", "energy_index", "consumer_sentiment")):
 
 def holdout(spark, d, cutoff="2000-01-01"):
     """Ridge trained before the cutoff date, z-scored by the train predictions."""
-    xs = ["inflation", "energy_index", "consumer_sentiment"]
+    xs = list(MAC)
     from ..functions import sums as S
     m = stage(master(spark, d))
     f = stage(T.supervised_frame(m, "log_return", xs).withColumn("is_train", F.col("date") < F.lit(cutoff).cast("date")))
