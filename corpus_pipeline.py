@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. A
 stage's result is written to the shared folder and read again as the next one's documents. Rows without an id pass the
 duplicate stages untouched.
+
+The duplicate stages decide by row. Where ids are unique, a row's key is its id; where some repeat, rows are written once
+more with a key in the order of ids, so one row of each text stays and rows of other texts under one id are untouched.
 """
 
 from __future__ import annotations
@@ -23,22 +26,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
-def keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Documents whose row of `judged` is kept. What goes is fewer rows than what stays, so that side is matched."""
-    return docs.join(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with `_row`, a key of their own in the order of ids, NULL without an id; and the same rows with it as their doc_id."""
+    has_id = F.col("doc_id").isNotNull()
+    ids = docs.where(has_id).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if (ids.agg(F.max("n")).first()[0] or 1) == 1:
+        return docs.withColumn("_row", F.col("doc_id")), docs
+    # ranges are numbered in their order; the last column spreads the rows of one text
+    order = ["doc_id", F.xxhash64("text"), F.rand(7)]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.repartitionByRange(n, *order).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = stage(placed.withColumn("_row", F.when(has_id, F.monotonically_increasing_id())))
+    return rows, rows.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
+def keep(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """Rows that are kept in `judged`. What goes is fewer rows than what stays, so that side is matched."""
+    gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").drop("_row")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs, exact_duplicates(docs))
+    rows, docs_ = keyed(docs)
+    return keep(rows, exact_duplicates(docs_)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs, near_duplicates(docs))
+    rows, docs_ = keyed(docs)
+    return keep(rows, near_duplicates(docs_)).select(docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept_text")).dropDuplicates(["doc_id"])
-    rows = docs.join(cut, "doc_id", "left")
+    rows, docs_ = keyed(docs)
+    cut = remove_repeats(docs_).where("n_removed > 0").select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("_kept_text"))
+    rows = rows.join(cut, "_row", "left")
     changed = F.col("_kept_text").isNotNull()
     new = {"text": F.when(changed, F.col("_kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
