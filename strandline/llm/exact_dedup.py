@@ -1,15 +1,15 @@
-"""Exact duplicates by an extendible-hash index on shared files.
+"""Exact duplicates by grouping on the whole text, and an extendible-hash index over the groups on shared files.
 
 A text's key is a 64-bit hash of its normalised form. The index has a directory, addressed by the leading
 bits of a key, and buckets. Directory doubling: as long as a bucket holds more than `capacity` entries, one
 more leading bit tells its halves apart; only overfull buckets split, so several directory slots may name
-one bucket. Each bucket is a key range with one owner task, which sorts its entries and numbers the chain of
-different texts under one key. Buckets and directory are tables in the shared folder, so a later batch can be
-looked up in an index built before.
+one bucket. The different texts under one key are numbered as a chain, per (bucket, key). Buckets and directory are
+tables in the shared folder, so a later batch can be looked up in an index built before. The index decides nothing:
+copies are found by the grouping below, and look-ups join by (key, SHA-256) without the directory.
 
 Bytes are compared where rows of one text meet: the grouping that makes entries has the whole normalised text
 as its key, and its map-side half has already reduced the copies of a text to one row per task. So a text
-that holds a third of all rows reaches its owner as one row per task. A document then finds its entry by
+that holds a third of all rows reaches its group as one row per task. A document then finds its entry by
 (key, SHA-256); a document of a hot text is an ordinary row of a join that the planner splits.
 
 Defined cases: a null text counts as empty; equal empty texts are copies of each other; the smallest id
