@@ -1,6 +1,6 @@
-"""Repeated word spans by a compacted de Bruijn graph over the corpus.
+"""Repeated word spans by grouping word windows over the corpus; no de Bruijn graph is built.
 
-An edge of the graph is a run of `WINDOW` words, its nodes are the runs without its last and its first word. A
+A window (an edge of that graph) is a run of `WINDOW` words. Nodes, degrees and branches are not formed. A
 window that starts earlier somewhere (in a smaller id, or before in the same text) is a repeat, and all
 its words go. Windows are judged on the input.
 
@@ -8,8 +8,8 @@ Only windows that can repeat are shuffled. Each window has a minimizer, the smal
 words; equal windows have equal minimizers. Minimizers are about a seventh of the words; those that occur once in the
 corpus rule out all their windows without comparing any. The remaining windows are edges: grouped by two
 independent hashes (96 bits) with map-side combination they give each repeated edge its source, the earliest coordinates.
-A join brings sources back to later occurrences, and edges that follow one another in a text and in one source are
-compacted to one path: a span with the coordinates of its source. Texts of which every word repeats as a whole
+A join brings sources back to later occurrences, and windows that follow one another in a text and in one source are
+merged, text by text with arrays, to one path: a span with the coordinates of its source. Texts of which every word repeats as a whole
 copy are settled before by a digest of their words, so groups of copies add one text to the graph.
 
 Where a window is very frequent, its occurrences are rows of a join that the planner splits; its edge is one row per
