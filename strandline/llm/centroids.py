@@ -87,8 +87,10 @@ class Tree:
         if len(among) <= self.leaf:
             return at
         c = self.centroids[among]
-        spread = [float(np.var(np.array([float(v) for v in roots(squares(c, self.centroids[i]))[0]]))) for i in among]
-        point = among[int(np.argmax(spread))]
+        away = np.stack([roots(squares(c, v))[0] for v in c])
+        if away.dtype == object:  # as shares of the greatest distance, since they may exceed a double
+            away = (away * 2 ** 52 // max(1, away.max())).astype(np.float64)
+        point = among[int(away.var(axis=1).argmax())]
         others = [i for i in among if i != point]
         square = squares(self.centroids[others], self.centroids[point])
         order = sorted(range(len(others)), key=lambda k: (square[k], others[k]))
