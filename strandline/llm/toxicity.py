@@ -56,6 +56,11 @@ class Field:
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))  # from, to
     scale: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, -np.inf]))  # of the logistic function
 
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        """Score of each row of summaries; 0 where the model has learned from labels of one kind only."""
+        z = evidence @ self.scale[:3] + self.scale[3]
+        return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
+
     def emissions(self, vocabulary: pa.Array) -> np.ndarray:
         """Weight of each word's evidence; NaN where it has none."""
         out, get, w = np.full(len(vocabulary), np.nan), self.index.get, self.weights
@@ -285,8 +290,7 @@ def score(docs: DataFrame, model: Field, text: str = "text", doc_id: str = "doc_
             texts = batch.column("text")
             w = words(texts)
             places, probs = tagged(m, w)
-            z = summaries(np.diff(w.starts), probs) @ m.scale[:3] + m.scale[3]
-            result = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            result = m.probability(summaries(np.diff(w.starts), probs))
             spans: list[list[dict]] = [[] for _ in probs]
             if any((p >= 0.5).any() for p in probs):
                 data, starts = buffers(plain_spaces(texts))
@@ -319,8 +323,7 @@ def without_toxic(docs: DataFrame, model: Field, text: str = "text", threshold:
         m = shared.value
         for batch in slices(batches, text):
             w = words(batch.column(text))
-            z = summaries(np.diff(w.starts), tagged(m, w)[1]) @ m.scale[:3] + m.scale[3]
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < threshold))
+            yield batch.filter(pa.array(m.probability(summaries(np.diff(w.starts), tagged(m, w)[1])) < threshold))
 
     return docs.mapInArrow(clean, docs.schema)
 
