@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stage import small_side, stage
+from .rowkeys import fresh
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS, REPEAT, SEED = (5, 2, 1), 3, 13
@@ -95,9 +96,3 @@ def emit(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeat: int = REPE
     met = docs.join(table, F.col(source).cast("string").eqNullSafe(F.col(its)))
     return met.where(copies > 0).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copy))
 
-
-def fresh(names: Sequence[str], name: str) -> str:
-    """`name`, with underscores in front until no column is called so."""
-    while name.lower() in {n.lower() for n in names}:
-        name = "_" + name
-    return name

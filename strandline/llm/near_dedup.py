@@ -19,7 +19,7 @@ compared only in the first band that it shares. A link between members of one co
 matters is lost. Every link is verified exactly on the weighted runs.
 
 Defined cases: rows without an id are not compared by themselves; null texts and texts without words are alone, each its own class and component; repeated rows and equal
-texts share a class and the smallest id stays; an empty table gives an empty result; extra columns are ignored; very
+texts share a class and the row with the smallest id stays, one of them where ids repeat (rows then get keys of their own, so texts under one id are judged apart); an empty table gives an empty result; extra columns are ignored; very
 long texts count with all their runs.
 """
 
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stage import stage
 from .graph import components, whole_runs
+from .rowkeys import ids_of, keyed
 from .words import Words, hashed, mix, runs, slices, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -248,9 +249,13 @@ def outsiders(members: DataFrame, info: DataFrame, sets: DataFrame, threshold: f
     return full.repartition(*cells).sortWithinPartitions(*cells, "role", "rep").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, unique: bool = False) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id with equal weighted runs), component_id (smallest id of its group of
-    near duplicates), kept, runs."""
+    near duplicates), kept, runs. unique: ids are known to differ."""
+    if not unique:
+        rows, key, repeated = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+        if repeated:  # rows that share an id are judged by their own texts
+            return ids_of(near_duplicates(rows, "text", key, threshold, True), rows, key, "doc_id", ["doc_id", "class_id", "component_id"])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = stage(sketches(rows))
     made = ["f1", "f2", "runs"]
@@ -258,10 +263,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = stage(with_runs.groupBy(*made).agg(F.min("doc_id").alias("rep")))
     own = stage(with_runs.join(classes, made).where("doc_id = rep").select("rep", "bands").dropDuplicates(["rep"]))
     places = own.select("rep", F.posexplode("bands").alias("band", "key"))
-    sizes = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # aggregates are written before they meet their own rows, so the planner can split a hot bucket
+    sizes = stage(places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = stage(places.join(sizes, ["band", "key"]).select("band", "key", "rep", "n"))
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    hubs = members.join(degree, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"))
+    hubs = stage(members.join(degree, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub")))
     pairs = stage(members.join(hubs, ["band", "key"]).where("rep <> hub").select("hub", F.col("rep").alias("other")).distinct())
     involved = degree.select("rep")
     sets = stage(shingle_sets(rows.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "text")))
