@@ -19,9 +19,8 @@ Verification: the pass that cuts paths out of texts also takes digests of the wo
 coordinates, of its source; a path whose digests differ is taken out again.
 
 Defined cases: null and empty texts have no words and the digest of the empty string; texts shorter than a window lose
-nothing; rows that repeat an id are taken to repeat its text and don't
-repeat each other; rows without an id are left
-out; an empty table gives an empty result; extra columns are ignored.
+nothing; rows that share an id are documents of their own in the order of text hashes, rows without an id come after all
+others (both get keys of their own, and results name ids); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stage import stage
+from .rowkeys import ids_of, keyed
 from .words import Words, hashed, inside, mix, runs, slices, words
 
 WINDOW, KMER = 20, 8
@@ -65,9 +65,10 @@ def repeated_windows(docs: DataFrame, base: DataFrame, window: int, kmer: int) -
 
     docs: doc_id, text. base: doc_id, minimizers; the texts to look at.
     """
-    places = base.select("doc_id", F.explode("minimizers").alias("m")).select("doc_id", "m.h", "m.pos")
-    common = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    hits = stage(places.join(common, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places")))
+    # one row per text and minimizer, with all its places; written counts, so that rows of a frequent minimizer can be split
+    places = base.select("doc_id", F.explode("minimizers").alias("m")).select("doc_id", "m.h", "m.places")
+    common = stage(places.groupBy("h").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("h"))
+    hits = stage(places.join(common, "h").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")))
 
     def edges(batches):
         for batch in slices(batches):
@@ -95,9 +96,19 @@ def repeated_windows(docs: DataFrame, base: DataFrame, window: int, kmer: int) -
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", F.col("source.doc_id").alias("source"), F.col("source.pos").alias("at"))).alias("windows"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, kmer: int = KMER, unique: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, paths (begin, words, source, source_begin; the source of a
-    whole copy is the text it copies) and kept_text (the kept words joined by one space; null where nothing is removed)."""
+    whole copy is the text it copies) and kept_text (the kept words joined by one space; null where nothing is removed).
+    unique: ids are known to differ; rows without one are left out."""
+    if not unique:
+        rows, key, repeated = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), nulls=True)
+        if repeated:
+            out = remove_repeats(rows, "text", key, window, kmer, True)
+            each = out.select("doc_id", F.explode("paths").alias("p")).select("doc_id", F.col("p.source").alias("source"), "p")
+            each = ids_of(each, rows, key, "doc_id", ["source"]).select("doc_id", F.struct("p.begin", "p.words", "source", "p.source_begin").alias("p"))
+            named = each.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("named"))
+            out = out.join(named, "doc_id", "left").withColumn("paths", F.coalesce("named", "paths")).drop("named")
+            return ids_of(out, rows, key, "doc_id", ["doc_id"])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
 
     def survey(batches):
@@ -107,13 +118,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             first = np.flatnonzero(np.diff(low, prepend=-1))
             chosen = low[first]
             owner = np.searchsorted(w.starts, chosen, side="right") - 1
-            count = np.bincount(owner, minlength=len(w))
-            items = pa.StructArray.from_arrays([pa.array(values[chosen].view(np.int64)), pa.array((chosen - w.starts[owner]).astype(np.int32))], ["h", "pos"])
+            value = values[chosen].view(np.int64)
+            order = np.lexsort((chosen, value, owner))
+            chosen, owner, value = chosen[order], owner[order], value[order]
+            new = np.flatnonzero(np.concatenate((np.ones(min(len(chosen), 1), bool), (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))))
+            spots = pa.ListArray.from_arrays(pa.array(np.append(new, len(chosen)), pa.int32()), pa.array((chosen - w.starts[owner]).astype(np.int32)))
+            count = np.bincount(owner[new], minlength=len(w))
+            items = pa.StructArray.from_arrays([pa.array(value[new]), spots], ["h", "places"])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), items)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(np.diff(w.starts)), lists], ["doc_id", "sha", "n_words", "minimizers"])
 
     base = stage(rows.select("doc_id", "text", F.sha2(joined("text"), 256).alias("sha")).mapInArrow(
-        survey, "doc_id long, sha string, n_words long, minimizers array<struct<h:long,pos:int>>"))
+        survey, "doc_id long, sha string, n_words long, minimizers array<struct<h:long,places:array<int>>>"))
     slim = base.select("doc_id", "sha", "n_words")
     first = slim.groupBy("sha").agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "source")
     copies = stage(slim.where(F.col("n_words") >= window).join(first, "sha").where("doc_id > source").select("doc_id", "source").distinct())
