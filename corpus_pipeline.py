@@ -6,6 +6,9 @@ duplicate stages untouched.
 
 The duplicate stages decide by row. Where ids are unique, a row's key is its id; where some repeat, rows are written once
 more with a key in the order of ids, so one row of each text stays and rows of other texts under one id are untouched.
+
+Defined cases: a null text is an empty one to every stage; empty texts pass toxicity, are copies of each other, are never near
+duplicates and lose no words; empty tables give empty tables; extra columns are kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from strandline.llm import toxicity
 from strandline.llm.exact_dedup import exact_duplicates
 from strandline.llm.near_dedup import near_duplicates
 from strandline.llm.packing import pack
+from strandline.llm.rowkeys import fresh, keyed
 from strandline.llm.substrings import remove_repeats
 
 
@@ -26,45 +30,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with `_row`, a key of their own in the order of ids, NULL without an id; and the same rows with it as their doc_id."""
-    has_id = F.col("doc_id").isNotNull()
-    ids = docs.where(has_id).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    if (ids.agg(F.max("n")).first()[0] or 1) == 1:
-        return docs.withColumn("_row", F.col("doc_id")), docs
-    # ranges are numbered in their order; the last column spreads the rows of one text
-    order = ["doc_id", F.xxhash64("text"), F.rand(7)]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.repartitionByRange(n, *order).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = stage(placed.withColumn("_row", F.when(has_id, F.monotonically_increasing_id())))
-    return rows, rows.withColumn("doc_id", F.col("_row")).drop("_row")
-
-
-def keep(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows that are kept in `judged`. What goes is fewer rows than what stays, so that side is matched."""
-    gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+def keep(rows: DataFrame, key: str, judged: DataFrame) -> DataFrame:
+    """Rows that are kept in `judged`, whose doc_id is the key. What goes is fewer rows than what stays, so that side is matched."""
+    gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, docs_ = keyed(docs)
-    return keep(rows, exact_duplicates(docs_)).select(docs.columns)
+    rows, key, _ = keyed(docs)
+    return keep(rows, key, exact_duplicates(rows, doc_id=key)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, docs_ = keyed(docs)
-    return keep(rows, near_duplicates(docs_)).select(docs.columns)
+    rows, key, _ = keyed(docs)
+    return keep(rows, key, near_duplicates(rows, doc_id=key, unique=True)).select(docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, docs_ = keyed(docs)
-    cut = remove_repeats(docs_).where("n_removed > 0").select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("_kept_text"))
-    rows = rows.join(cut, "_row", "left")
-    changed = F.col("_kept_text").isNotNull()
-    new = {"text": F.when(changed, F.col("_kept_text")).otherwise(F.col("text"))}
+    rows, key, _ = keyed(docs)
+    new = fresh(rows.columns, "new_text")
+    cut = remove_repeats(rows, doc_id=key, unique=True).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("kept_text").alias(new))
+    rows = rows.join(cut, key, "left")
+    changed = F.col(new).isNotNull()
+    columns = {"text": F.when(changed, F.col(new)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("_kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumns(new).select(docs.columns)
+        columns["n_chars"] = F.when(changed, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.withColumns(columns).select(docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
