@@ -9,7 +9,6 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from strandline.functions.columns import values_table
 from strandline.operators import diagnose as D
 from strandline.operators import regress as K
@@ -74,19 +73,3 @@ def test_tournament_tries_the_whole_grid_and_names_winners(spark):
     data = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(frame)
     model = K.estimator("Ridge", {"alpha": 10.0}, 200, float(y.std(ddof=1))).fit(data)
     assert np.allclose(model.coefficients.toArray(), w, rtol=1e-3)
-
-
-def test_duplicate_stages_decide_by_row(spark):
-    rng = np.random.default_rng(5)
-    a, b, c, e = (" ".join("w" + str(x) for x in rng.integers(0, 100_000, 80)) for _ in range(4))
-    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, a), (9, e), (9, f"{b} {e}")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bag = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
-    want = Counter({(3, a): 1, (5, b): 1, (7, c): 1, (None, a): 1, (9, e): 1, (9, f"{b} {e}"): 1})
-    assert bag(corpus_pipeline.drop_copies(spark, docs, "")) == want
-    near = spark.createDataFrame(rows[:6], "doc_id long, text string")
-    assert bag(corpus_pipeline.drop_near_copies(spark, near, "")) == Counter({(3, a): 1, (5, b): 1, (7, c): 1, (None, a): 1})
-    got = Counter((r.doc_id, len(r.text.split())) for r in corpus_pipeline.drop_passages(spark, docs, "").collect())
-    # one row of each text stays whole; the joined text loses both halves, or the later of two rows its own
-    assert got[(3, 80)] == 1 and got[(5, 80)] == 1 and got[(5, 0)] == 1 and got[(7, 80)] == 1 and got[(7, 0)] == 1 and got[(None, 80)] == 1
-    assert sum(n for (i, _), n in got.items() if i == 9) == 2 and sum(k * n for (i, k), n in got.items() if i == 9) == 80
