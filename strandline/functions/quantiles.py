@@ -87,3 +87,35 @@ def sized_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         return group_quantiles(df, keys, value, probs)
     both = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
     return df.groupBy(*keys).agg(both.alias("_q")).select(*keys, *[F.col("_q")[i].alias(k) for i, k in enumerate(probs)])
+
+
+def expanding_quantiles(df: DataFrame, keys: Sequence[str], block: str, blocks: int, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(keys, block, feature, n, q): interpolated quantiles of all rows in earlier blocks, for every block from 1 to `blocks`.
+
+    Values are counted per block, so repeated values are one row. One sort by value serves all blocks: running counts of the rows before each block tell
+    which value holds a wanted rank. Nothing is sorted or read again for a further block. keys name series, whose number of values the calendar bounds.
+    """
+    keys = [*keys, "feature"]
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_v")) for c in columns])
+    long = df.select(*keys[:-1], F.col(block).alias("_b"), F.inline(items)).where("_v IS NOT NULL AND NOT isnan(_v)")
+    before = [F.count_if(F.col("_b") < b).alias(f"_c{b}") for b in range(1, blocks + 1)]
+    counts = long.groupBy(*keys, "_v").agg(*before)
+    w = Window.partitionBy(*keys)
+    upto = w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    each = [F.struct(F.lit(b).cast("long").alias("block"), F.col(f"_c{b}").alias("_c"), F.sum(f"_c{b}").over(upto).alias("_upto"), F.sum(f"_c{b}").over(w).alias("_n")) for b in range(1, blocks + 1)]
+    rows = counts.select(*keys, "_v", F.array(*each).alias("_e")).select(*keys, "_v", F.inline("_e")).where("_c > 0")
+    aggs, out = [], []
+    for i, p in enumerate(probs):
+        at = (F.col("_n") - 1) * float(p)
+        for j, rank in enumerate((F.floor(at), F.ceil(at))):
+            aggs.append(F.max(F.when((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col("_v"))).alias(f"_q{i}{j}"))
+        share = (F.col("n") - 1) * float(p) - F.floor((F.col("n") - 1) * float(p))
+        out.append(F.col(f"_q{i}0") + (F.col(f"_q{i}1") - F.col(f"_q{i}0")) * share)
+    found = rows.groupBy(*keys, "block").agg(F.max("_n").alias("n"), *aggs)
+    return found.select(*keys[:-1], F.col("block").alias(block), "feature", "n", F.array(*out).alias("q"))
+
+
+def by_feature(quantiles: DataFrame, keys: Sequence[str], columns: Sequence[str], value) -> DataFrame:
+    """(keys, stats): one array per key, in the order of `columns`, NULL where a feature has no value yet."""
+    parts = [F.max(F.when(F.col("feature") == c, value)) for c in columns]
+    return quantiles.groupBy(*keys).agg(F.array(*parts).alias("stats"))

@@ -207,103 +207,3 @@ def lagged_grid(frame: DataFrame, xs: Sequence[str], lags: Sequence[int], alphas
     e = S.expanding_sums(m, ["ticker"], "block", names, "log_return").withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     s = e.withColumn("_s", S.ridge_score_udf("train", "test", "alpha")).select("ticker", "alpha", "_s.*")
     return s.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("r2"), "alpha")).cast("long"))
-
-
-# --- pooled panel with Spark ML -----------------------------------------------------------------------
-def candidates(seed: int = 42, deep: bool = False) -> dict[str, list]:
-    """The tournament's model families and penalty grids. With n rows, a ridge penalty a is regParam a / n."""
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-    lin = lambda reg, mix: LinearRegression(featuresCol="f", labelCol="y", regParam=reg, elasticNetParam=mix, maxIter=50, standardization=True)
-    out = {
-        "Linear": [lin(0.0, 0.0)], "Ridge": [lin(a, 0.0) for a in (1e-3, 1e-1)], "Lasso": [lin(a, 1.0) for a in (1e-3, 1e-2)],
-        "ElasticNet": [lin(1e-3, 0.5)],
-        "RandomForest": [RandomForestRegressor(featuresCol="f", labelCol="y", numTrees=20, maxDepth=5, minInstancesPerNode=4, seed=seed)],
-    }
-    if deep:
-        out["GBT"] = [GBTRegressor(featuresCol="f", labelCol="y", maxIter=10, maxDepth=3, seed=seed)]
-    return out
-
-
-def settings() -> list[tuple[str, dict]]:
-    """The tournament's 36 settings in the order of their variants. No depth limit is 30, the deepest Spark ML grows."""
-    return [("Linear", {}), *(("Ridge", {"alpha": a}) for a in RIDGE_GRID), *(("Lasso", {"alpha": a}) for a in (1e-3, 1e-2, 5e-2, 1e-1)),
-            *(("ElasticNet", {"alpha": a, "l1_ratio": r}) for a in (1e-3, 1e-2, 1e-1) for r in (0.2, 0.5, 0.8)),
-            *(("RandomForest", {"trees": t, "depth": d, "leaf": m}) for t in (100, 200) for d in (3, 5, 30) for m in (2, 4, 8))]
-
-
-def estimator(family: str, p: dict, n: int, spread: float, seed: int = 42):
-    """n, spread: rows and label deviation of the train side. Spark divides the quadratic penalty by the label's deviation."""
-    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-    if family == "RandomForest":
-        return RandomForestRegressor(featuresCol="f", labelCol="y", numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"], featureSubsetStrategy="all", seed=seed)
-    a = p.get("alpha", 0.0)
-    one, two = {"Linear": (0.0, 0.0), "Ridge": (0.0, a / n), "Lasso": (a, 0.0)}.get(family) or (a * p["l1_ratio"], a * (1 - p["l1_ratio"]))
-    reg = one + two * spread
-    return LinearRegression(featuresCol="f", labelCol="y", regParam=reg, elasticNetParam=one / reg if reg else 0.0, maxIter=3000, standardization=True)
-
-
-def fold_count(n: int) -> int:
-    return max(2, min(5, n // 60))
-
-
-def tournament(frame: DataFrame, y: str, xs: Sequence[str], families: Sequence[str] | None = None, folds: int | None = None, deep: bool = False) -> DataFrame:
-    """(model, variant, params, fold, r2, mae, mean_r2, winner) on the pooled panel with expanding chronological folds.
-
-    Folds are cut at dates, so no ticker's future trains a model tested on another ticker's past. The winner of a family has
-    the highest mean R2 over folds, the first variant on a tie.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    spark = frame.sparkSession
-    num = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    folds = folds or fold_count(frame.count())
-    cuts = frame.agg(F.percentile(num, F.array(*[F.lit((i + 1) / (folds + 1)) for i in range(folds)])).alias("q")).first()["q"]
-    d = VectorAssembler(inputCols=list(xs), outputCol="f").transform(frame.withColumn("y", F.col(y)).withColumn("_d", num))
-    d = d.select("f", "y", "_d").persist()
-    tried = [(m, p) for m, p in settings() if not families or m in families]
-    if deep and (not families or "GBT" in families):
-        tried += [("GBT", {})]
-    rows = []
-    for k, cut in enumerate(cuts):
-        train, test = d.where(F.col("_d") <= cut), d.where(F.col("_d") > cut)
-        if k + 1 < len(cuts):
-            test = test.where(F.col("_d") <= cuts[k + 1])
-        size = train.agg(F.count("*").alias("n"), F.stddev_samp("y").alias("s")).first()
-        variants = {}
-        for name, p in tried:
-            v = variants[name] = variants.get(name, -1) + 1
-            est = candidates(deep=True)["GBT"][0] if name == "GBT" else estimator(name, p, size.n, size.s)
-            e = F.col("y") - F.col("prediction")
-            got = est.fit(train).transform(test).agg((1 - F.sum(e * e) / (F.var_pop("y") * F.count("*"))).alias("r2"), F.avg(F.abs(e)).alias("mae")).first()
-            rows.append((name, v, ",".join(f"{k}={x}" for k, x in p.items()), k + 1, got.r2, got.mae))
-    d.unpersist()
-    t = values_table(spark, ("model", "variant", "params", "fold", "r2", "mae"), rows)
-    t = t.withColumn("mean_r2", F.avg("r2").over(Window.partitionBy("model", "variant")))
-    best = F.min_by("variant", F.struct((-F.col("mean_r2")).alias("r"), "variant")).over(Window.partitionBy("model"))
-    return t.withColumn("winner", F.col("variant") == best)
-
-
-def holdout_models(frame: DataFrame, y: str, xs: Sequence[str], train_share: float = 0.8) -> DataFrame:
-    """(model, factor, r2, mae, importance) on a last-20 % holdout by date with robust scaling fitted on train rows."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import RobustScaler, VectorAssembler
-    spark = frame.sparkSession
-    num = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    cut = frame.agg(F.percentile(num, F.lit(train_share)).alias("q")).first()["q"]
-    d = VectorAssembler(inputCols=list(xs), outputCol="raw").transform(frame.withColumn("y", F.col(y)).withColumn("_d", num)).select("raw", "y", "_d")
-    train, test = d.where(F.col("_d") <= cut), d.where(F.col("_d") > cut)
-    sc = RobustScaler(inputCol="raw", outputCol="f", withCentering=True).fit(train)
-    train, test = sc.transform(train).persist(), sc.transform(test).persist()
-    rows = []
-    for name, grid in candidates(deep=True).items():
-        if name not in ("Ridge", "ElasticNet", "RandomForest", "GBT"):
-            continue
-        model = grid[0].fit(train)
-        pred = model.transform(test)
-        ev = lambda m: float(RegressionEvaluator(labelCol="y", predictionCol="prediction", metricName=m).evaluate(pred))
-        w = [abs(float(v)) for v in (model.featureImportances.toArray() if hasattr(model, "featureImportances") else model.coefficients.toArray())]
-        total = sum(w) or 1.0
-        r2, mae = ev("r2"), ev("mae")
-        rows += [(name, x, r2, mae, v / total) for x, v in zip(xs, w)]
-    train.unpersist()
-    test.unpersist()
-    return values_table(spark, ("model", "factor", "r2", "mae", "importance"), rows)

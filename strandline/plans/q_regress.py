@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.columns import rounded, values_sql
+from ..functions.quantiles import expanding_quantiles
 from ..functions.stage import stage
 from ..operators import regress as K
+from ..operators import tournament as M
 from ..operators import transforms as T
 from ..sources import bindings as B
 from .ctes import cte, sql
@@ -113,7 +115,38 @@ def _(spark, d):
 
 @query("reg11_model_tournament")
 def _(spark, d):
-    return K.tournament(stage(supervised(spark, d)), "log_return", MAC)
+    return M.tournament(supervised(spark, d), "log_return", MAC)[0]
+
+
+@query("reg11_refit")
+def _(spark, d):
+    s = stage(supervised(spark, d))
+    return M.refit(*M.tournament(s, "log_return", MAC), s, "log_return", MAC)
+
+
+PAIR = ["energy_index", "industrial_production"]
+LINEAR = [(i, m, M.described(p), {"Linear": 0.0, "Ridge": 0.0, "Lasso": 1.0}.get(m, p.get("l1_ratio", 0.0)) * p.get("alpha", 0.0), p["alpha"] if m == "Ridge" else 0.0,
+           p["alpha"] * (1 - p["l1_ratio"]) if m == "ElasticNet" else 0.0) for i, (m, p) in enumerate(M.linear_settings())]
+cte("cd_rows", f"SELECT ticker, CAST(fold AS BIGINT) AS fold, log_return AS y, {PAIR[0]} AS a, {PAIR[1]} AS b FROM folds", "folds")
+cte("cd_train", """SELECT t.ticker, t.fold, count(*)::DOUBLE AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS q,
+    covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb FROM (SELECT DISTINCT ticker, fold FROM cd_rows WHERE fold > 0) t JOIN cd_rows r ON r.ticker = t.ticker AND r.fold < t.fold GROUP BY 1, 2""", "cd_rows")
+cte("cd_grid", values_sql(("variant", "model", "params", "one", "ridge", "two"), LINEAR))
+cte("cd_start", "SELECT ticker, fold, variant, q, ca, cb, one, two + ridge / n AS two FROM cd_train CROSS JOIN cd_grid", "cd_train", "cd_grid")
+# coordinate descent written as a recursion; without an absolute penalty the two equations are solved
+cte("cd_steps", """WITH RECURSIVE s AS (SELECT *, 0::DOUBLE AS wa, 0::DOUBLE AS wb, 0 AS step FROM cd_start WHERE one > 0 UNION ALL
+    SELECT ticker, fold, variant, q, ca, cb, one, two, va, sign(cb - q * va) * greatest(abs(cb - q * va) - one, 0) / (1 + two), step + 1 FROM (
+      SELECT *, sign(ca - q * wb) * greatest(abs(ca - q * wb) - one, 0) / (1 + two) AS va FROM s WHERE step < 200)) SELECT * FROM s WHERE step = 200""", "cd_start")
+cte("cd_fit", """SELECT ticker, fold, variant, wa, wb FROM cd_steps UNION ALL SELECT ticker, fold, variant, (ca * (1 + two) - cb * q) / ((1 + two) ** 2 - q * q), (cb * (1 + two) - ca * q) / ((1 + two) ** 2 - q * q) FROM cd_start WHERE one = 0""", "cd_steps", "cd_start")
+cte("cd_score", """SELECT ticker, fold, variant, count(*) AS n_test, 1 - sum((y - my - wa * (a - ma) / sa - wb * (b - mb) / sb) ** 2) / (var_pop(y) * count(*)) AS r2
+    FROM cd_fit JOIN cd_train USING (ticker, fold) JOIN cd_rows USING (ticker, fold) GROUP BY 1, 2, 3""", "cd_fit", "cd_train", "cd_rows")
+cte("cd_mean", "SELECT *, avg(r2) OVER (PARTITION BY ticker, variant) AS mean_r2 FROM cd_score JOIN cd_grid USING (variant)", "cd_score", "cd_grid")
+
+
+@query("reg11_linear_two_factors", sql("""SELECT ticker, model, params, fold, n_test, round(r2, 6) AS r2, round(mean_r2, 6) AS mean_r2, variant::INTEGER AS variant,
+    variant = arg_min(variant, (ROUND(-mean_r2, 12), variant)) OVER (PARTITION BY ticker, model) AS winner, variant = arg_min(variant, (ROUND(-mean_r2, 12), variant)) OVER (PARTITION BY ticker) AS best FROM cd_mean""", "cd_mean"))
+def _(spark, d):
+    t = M.tournament(supervised(spark, d), "log_return", PAIR, forests=False)[0]
+    return rounded(t.select("ticker", "model", "params", "fold", "n_test", "r2", "mean_r2", "variant", "winner", "best"))
 
 
 def lag_frames(spark, d, lags=(45, 60, 75, 90)):
@@ -165,7 +198,25 @@ def _(spark, d):
 
 @query("reg17_holdout_models")
 def _(spark, d):
-    return K.holdout_models(stage(supervised(spark, d)), "log_return", MAC)
+    return M.holdout_models(supervised(spark, d), "log_return", MAC)[0]
+
+
+@query("reg17_holdout_predictions")
+def _(spark, d):
+    return M.holdout_models(supervised(spark, d), "log_return", MAC)[1]
+
+
+cte("hold", """SELECT *, CASE WHEN i >= m THEN k + 1 WHEN i < m - k * (m // (k + 1)) THEN 0 ELSE 1 + (i - (m - k * (m // (k + 1)))) // (m // (k + 1)) END AS fold FROM (
+    SELECT *, greatest(2, least(5, m // 60)) AS k FROM (SELECT *, CAST(floor(n * 0.8) AS BIGINT) AS m FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM sup)))""", "sup")
+
+
+@query("reg17_train_quantiles", sql("SELECT ticker, CAST(f AS BIGINT) AS fold, feature, count(x) AS n, " + ", ".join(f"round(quantile_cont(x, {p}), 4) AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75)) + " FROM (" + " UNION ALL ".join(
+    f"SELECT t.ticker, t.fold AS f, '{x}' AS feature, {x} AS x FROM (SELECT DISTINCT ticker, fold FROM hold WHERE fold > 0) t JOIN hold r ON r.ticker = t.ticker AND r.fold < t.fold" for x in MAC) + ") GROUP BY 1, 2, 3", "hold"))
+def _(spark, d):
+    q = expanding_quantiles(M.holdout_folds(supervised(spark, d)), ["ticker"], "fold", 6, MAC, (0.25, 0.5, 0.75))
+    folds = M.holdout_folds(supervised(spark, d)).groupBy("ticker").agg(F.max("fold").alias("last"))
+    q = q.join(folds, "ticker").where("fold <= last")
+    return rounded(q.select("ticker", "fold", "feature", "n", *[F.col("q")[i].alias(f"q{n}") for i, n in enumerate((25, 50, 75))]), 4)
 
 
 @query("reg18_ar_forecast")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pytest
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import values_table
 from strandline.operators import diagnose as D
-from strandline.operators import regress as K
 from strandline.plans.catalog import QUERIES  # first: the plans name each other's tables
 from strandline.plans import q_validate
 from strandline.plans.q_gold import MAC, supervised
@@ -54,22 +50,3 @@ def test_importance_and_holdout_read_every_series(spark, sf):
         m.setattr(q_validate.T, "supervised_frame", lambda f, y, xs, *a, **k: seen.append(list(xs)) or real(f, y, xs, *a, **k))
         QUERIES["bt13_holdout_predictions"](spark, sf)
     assert MAC in seen
-
-
-def test_tournament_tries_the_whole_grid_and_names_winners(spark):
-    assert Counter(m for m, _ in K.settings()) == {"Linear": 1, "Ridge": 4, "Lasso": 4, "ElasticNet": 9, "RandomForest": 18}
-    assert [K.fold_count(n) for n in (10, 150, 200, 9000)] == [2, 2, 3, 5]
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((200, 2))
-    y = x @ [0.3, -0.2] + rng.standard_normal(200) * 0.1
-    rows = [(str(np.datetime64("2000-01-01") + i), float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))]
-    frame = spark.createDataFrame(rows, "date string, a double, b double, y double").withColumn("date", F.to_date("date"))
-    got = K.tournament(frame, "y", ["a", "b"], families=("Ridge", "Lasso", "ElasticNet")).collect()
-    assert len(got) == 17 * 3
-    assert {m: len({r.variant for r in got if r.model == m and r.winner}) for m in ("Ridge", "Lasso", "ElasticNet")} == {"Ridge": 1, "Lasso": 1, "ElasticNet": 1}
-    # a penalty means what it does in the reference: |y - xw|^2 + a |w|^2 on scaled columns
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
-    w = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y - y.mean())) / x.std(0, ddof=1)
-    data = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(frame)
-    model = K.estimator("Ridge", {"alpha": 10.0}, 200, float(y.std(ddof=1))).fit(data)
-    assert np.allclose(model.coefficients.toArray(), w, rtol=1e-3)
