@@ -263,12 +263,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = stage(with_runs.groupBy(*made).agg(F.min("doc_id").alias("rep")))
     own = stage(with_runs.join(classes, made).where("doc_id = rep").select("rep", "bands").dropDuplicates(["rep"]))
     places = own.select("rep", F.posexplode("bands").alias("band", "key"))
-    # aggregates are written before they meet their own rows, so the planner can split a hot bucket
+    # aggregates are written before they meet their own rows, so the planner can split a hot bucket; merged at every size, since
+    # they grow with the corpus and soon exceed what may be broadcast
     sizes = stage(places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = stage(places.join(sizes, ["band", "key"]).select("band", "key", "rep", "n"))
+    members = stage(places.join(sizes.hint("merge"), ["band", "key"]).select("band", "key", "rep", "n"))
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     hubs = stage(members.join(degree, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub")))
-    pairs = stage(members.join(hubs, ["band", "key"]).where("rep <> hub").select("hub", F.col("rep").alias("other")).distinct())
+    pairs = stage(members.join(hubs.hint("merge"), ["band", "key"]).where("rep <> hub").select("hub", F.col("rep").alias("other")).distinct())
     involved = degree.select("rep")
     sets = stage(shingle_sets(rows.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "text")))
     links = stage(verified(pairs, sets, threshold))
