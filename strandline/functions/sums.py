@@ -85,7 +85,7 @@ def normal_tail(t: float) -> float:
 def ols(m: np.ndarray) -> dict:
     n, mean, c = centred(m)
     p = len(mean) - 1
-    inv = np.linalg.pinv(c[:-1, :-1])
+    inv = scaled_inverse(c[:-1, :-1])
     b = inv @ c[:-1, -1]
     b0 = float(mean[-1] - mean[:-1] @ b)
     r2, rmse = score(m, b0, b)
@@ -95,10 +95,17 @@ def ols(m: np.ndarray) -> dict:
     return {"intercept": b0, "coef": b, "se": se, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / dof if dof > 0 else float("nan"), "n": int(n)}
 
 
+def scaled_inverse(s: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse of sums of products whose factors have different units: it is taken of the matrix with a unit diagonal."""
+    d = np.sqrt(np.maximum(np.diag(s), 0.0))
+    d = np.where(d > 0, d, 1.0)
+    return np.linalg.pinv(s / np.outer(d, d), rcond=1e-12, hermitian=True) / np.outer(d, d)
+
+
 def vif(m: np.ndarray) -> np.ndarray:
     """Uncentred variance inflation: S_jj * (S^-1)_jj over the factors."""
     s = m[1:-1, 1:-1]
-    return np.diag(s) * np.diag(np.linalg.pinv(s))
+    return np.diag(s) * np.diag(scaled_inverse(s))
 
 
 def reduce_vif(m: np.ndarray, names: Sequence[str], limit: float = 12.0, least: int = 2) -> tuple[list[str], np.ndarray]:

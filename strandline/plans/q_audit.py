@@ -206,9 +206,9 @@ def _(spark, d):
     return rounded(D.worst_shock(i.withColumnRenamed("total", "impact")))
 
 
-@query("dia3_high_vif")
+@query("dia3_high_vif", sql("SELECT ticker, round(max(vif), 4) AS max_vif, coalesce(list(factor ORDER BY factor) FILTER (vif > 5), []) AS offenders FROM vif GROUP BY 1", "vif"))
 def _(spark, d):
-    return D.high_vif(RG.inflation_factors(supervised(spark, d), "log_return", MAC))
+    return rounded(D.high_vif(RG.inflation_factors(supervised(spark, d), "log_return", MAC)), 4)
 
 
 cte("roll_e", """SELECT ticker, date, beta * mx / my AS elasticity FROM (SELECT ticker, date, covar_samp(y, x) OVER f / var_samp(x) OVER f AS beta, avg(x) OVER f AS mx, avg(y) OVER f AS my, count(*) OVER f AS c FROM sup1

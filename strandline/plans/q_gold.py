@@ -304,7 +304,8 @@ def release_ctes(names, lag):
 
 
 release_ctes(["inflation", "energy_index"], 0)
-release_ctes(MAC, 45)
+for lag_ in (45, 60, 75, 90):
+    release_ctes(MAC, lag_)
 
 
 @query("trn5_release_mask", sql("SELECT ticker, date, rel AS is_release FROM rf_inflation_0", "rf_inflation_0"))
@@ -336,6 +337,12 @@ cte("panel", "SELECT r.ticker, r.date, r.log_return, CASE WHEN min(r.close) OVER
     + " ".join(f"JOIN rel_{n}_45 m{i} ON m{i}.ticker = r.ticker AND m{i}.date = r.date" for i, n in enumerate(MAC)), "master", *[f"rel_{n}_45" for n in MAC])
 cte("panel_ok", "SELECT ticker, date, log_return, close, " + ", ".join(MAC) + " FROM panel WHERE log_return IS NOT NULL AND close IS NOT NULL AND " + " AND ".join(f"{n} IS NOT NULL" for n in MAC), "panel")
 cte("sup", "SELECT ticker, date, y AS log_return, " + ", ".join(MAC) + " FROM panel WHERE y IS NOT NULL AND " + " AND ".join(f"{n} IS NOT NULL" for n in MAC), "panel")
+for lag_ in (45, 60, 75, 90):  # the supervised frame at other publication lags
+    cte(f"sup_{lag_}", f"SELECT ticker, date, CAST({lag_} AS BIGINT) AS lag, y AS log_return, " + ", ".join(MAC) + " FROM (SELECT r.ticker, r.date, " + ", ".join(f"m{i}.{n}" for i, n in enumerate(MAC))
+        + f", {FWD.replace('ticker', 'r.ticker').replace('date', 'r.date').replace('(log_return', '(r.log_return')} AS y FROM master r "
+        + " ".join(f"JOIN rel_{n}_{lag_} m{i} ON m{i}.ticker = r.ticker AND m{i}.date = r.date" for i, n in enumerate(MAC)) + ") WHERE y IS NOT NULL AND " + " AND ".join(f"{n} IS NOT NULL" for n in MAC),
+        "master", *[f"rel_{n}_{lag_}" for n in MAC])
+cte("sup_lags", " UNION ALL ".join(f"SELECT * FROM sup_{k}" for k in (45, 60, 75, 90)), *[f"sup_{k}" for k in (45, 60, 75, 90)])
 PANEL = ["log_return", "close", *MAC]
 
 

@@ -12,7 +12,7 @@ from ..operators import regress as K
 from ..operators import tournament as M
 from ..operators import transforms as T
 from ..sources import bindings as B
-from .ctes import cte, sql
+from .ctes import cte, fitted_sql, inverse_sql, least_squares, sql, tail_sql
 from .q_gold import MAC, master, supervised
 from .registry import query
 
@@ -89,9 +89,29 @@ def _(spark, d):
     return rounded(K.median_imputed(px, ["close"]).select("ticker", "date", "close"), 4)
 
 
-@query("reg8_inflation_factors")
+def vif_sql(limit=12.0, least=2):
+    """Uncentred inflation factors and step-wise removal of the largest one, every round written out; a factor that is out has the unit row."""
+    p = len(MAC)
+    cte("vif_m", "SELECT ticker, [" + ", ".join("[" + ", ".join(f"sum({a} * {b}) / sqrt(sum({a} * {a})) / sqrt(sum({b} * {b}))" for b in MAC) + "]" for a in MAC) + "] AS q FROM sup GROUP BY 1", "sup")
+    prev = "SELECT ticker, q, " + ", ".join(f"TRUE AS k{i}" for i in range(p)) + " FROM vif_m"
+    keep = ", ".join(f"k{i}" for i in range(p))
+    for r in range(p - least + 1):
+        rows = "[" + ", ".join("[" + ", ".join([*(f"CASE WHEN k{i} AND k{j} THEN q[{i + 1}][{j + 1}] ELSE {float(i == j)}::DOUBLE END" for j in range(p)), *(f"{float(i == j)}::DOUBLE" for j in range(p))]) + "]" for i in range(p)) + "]"
+        cte(f"vif_a{r}", f"SELECT *, {rows} AS a FROM ({prev})", *(["vif_m"] if r == 0 else [f"vif_v{r - 1}"]))
+        cte(f"vif_s{r}", inverse_sql(f"vif_a{r}", "ticker", p, f"q, {keep}"), f"vif_a{r}")
+        cte(f"vif_v{r}", f"SELECT ticker, q, {keep}, [{', '.join(f'CASE WHEN k{i} THEN a[{i + 1}][{p + i + 1}] END' for i in range(p))}] AS v FROM vif_s{r}", f"vif_s{r}")
+        worst = "list_max(v)"
+        prev = "SELECT ticker, q, " + ", ".join(f"k{i} AND NOT coalesce(v[{i + 1}] = {worst} AND {worst} > {limit}, FALSE) AS k{i}" for i in range(p)) + f" FROM vif_v{r}"
+    last = p - least
+    return " UNION ALL ".join(f"SELECT ticker, '{f}' AS factor, CASE WHEN b.k{i} THEN b.v[{i + 1}] ELSE a.v[{i + 1}] END AS vif, b.k{i} AS kept FROM vif_v0 a JOIN vif_v{last} b USING (ticker)" for i, f in enumerate(MAC))
+
+
+cte("vif", vif_sql(), "vif_v0", f"vif_v{len(MAC) - 2}")
+
+
+@query("reg8_inflation_factors", sql("SELECT ticker, factor, round(vif, 4) AS vif, kept FROM vif", "vif"))
 def _(spark, d):
-    return K.inflation_factors(supervised(spark, d), "log_return", MAC)
+    return rounded(K.inflation_factors(supervised(spark, d), "log_return", MAC), 4)
 
 
 cte("folds", """SELECT *, CASE WHEN i < n - k * (n // (k + 1)) THEN 0 ELSE 1 + (i - (n - k * (n // (k + 1)))) // (n // (k + 1)) END AS fold FROM (
@@ -103,14 +123,21 @@ def _(spark, d):
     return K.with_folds(supervised(spark, d)).groupBy("ticker", "fold").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-@query("reg10_ridge_cv")
+cte("cv_train", f"""SELECT t.ticker, t.fold, t.alpha, r.log_return AS y, {", ".join(f"r.{x}" for x in MAC)} FROM (SELECT DISTINCT ticker, fold, alpha FROM folds CROSS JOIN (VALUES {", ".join(f"({a}::DOUBLE)" for a in K.RIDGE_GRID)}) g(alpha) WHERE fold > 0) t
+    JOIN folds r ON r.ticker = t.ticker AND r.fold < t.fold""", "folds")
+least_squares("cv_fit", "cv_train", "ticker, fold, alpha", MAC, "y", "cv_train", alpha="alpha")
+cte("cv_score", f"""SELECT f.ticker, CAST(f.fold AS BIGINT) AS fold, f.alpha, any_value(f.n) AS n_train, count(*) AS n_test, 1 - sum((r.log_return - ({fitted_sql(MAC)})) ** 2) / (var_pop(r.log_return) * count(*)) AS r2,
+    sqrt(avg((r.log_return - ({fitted_sql(MAC)})) ** 2)) AS rmse FROM cv_fit f JOIN folds r ON r.ticker = f.ticker AND r.fold = f.fold GROUP BY 1, 2, 3""", "cv_fit", "folds")
+
+
+@query("reg10_ridge_cv", sql("SELECT ticker, fold, alpha, round(r2, 5) AS r2, round(rmse, 6) AS rmse, n_train, n_test FROM cv_score", "cv_score"))
 def _(spark, d):
-    return K.ridge_cv(supervised(spark, d), "log_return", MAC)
+    return rounded(K.ridge_cv(supervised(spark, d), "log_return", MAC), 6, r2=5)
 
 
-@query("reg10_best_alpha")
+@query("reg10_best_alpha", sql("SELECT ticker, arg_max(alpha, (m, -alpha)) AS alpha, round(max(m), 5) AS mean_r2 FROM (SELECT ticker, alpha, avg(r2) AS m FROM cv_score GROUP BY 1, 2) GROUP BY 1", "cv_score"))
 def _(spark, d):
-    return K.best_alpha(K.ridge_cv(supervised(spark, d), "log_return", MAC))
+    return rounded(K.best_alpha(K.ridge_cv(supervised(spark, d), "log_return", MAC)), 5)
 
 
 @query("reg11_model_tournament")
@@ -154,9 +181,18 @@ def lag_frames(spark, d, lags=(45, 60, 75, 90)):
     return {k: T.supervised_frame(m, "log_return", MAC, macro_lag=k) for k in lags}
 
 
-@query("reg12_choose_lag")
+cte("lag_folds", """SELECT *, CASE WHEN i < n - k * (n // (k + 1)) THEN 0 ELSE 1 + (i - (n - k * (n // (k + 1)))) // (n // (k + 1)) END AS fold FROM (
+    SELECT *, greatest(2, least(5, n // 60)) AS k FROM (SELECT *, row_number() OVER (PARTITION BY ticker, lag ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker, lag) AS n FROM sup_lags))""", "sup_lags")
+cte("lag_train", f"SELECT t.ticker, t.lag, t.fold, r.log_return AS y, {', '.join(f'r.{x}' for x in MAC)} FROM (SELECT DISTINCT ticker, lag, fold FROM lag_folds WHERE fold > 0) t JOIN lag_folds r ON r.ticker = t.ticker AND r.lag = t.lag AND r.fold < t.fold", "lag_folds")
+least_squares("lag_fit", "lag_train", "ticker, lag, fold", MAC, "y", "lag_train", alpha="0.5")
+cte("lag_score", f"""SELECT ticker, lag, avg(r2) AS m FROM (SELECT f.ticker, f.lag, f.fold, 1 - sum((r.log_return - ({fitted_sql(MAC)})) ** 2) / (var_pop(r.log_return) * count(*)) AS r2
+    FROM lag_fit f JOIN lag_folds r ON r.ticker = f.ticker AND r.lag = f.lag AND r.fold = f.fold GROUP BY 1, 2, 3) GROUP BY 1, 2""", "lag_fit", "lag_folds")
+CHOSEN = "SELECT ticker, lag, round(m, 5) AS mean_r2, lag = arg_min(lag, (-m, lag)) OVER (PARTITION BY ticker) AS chosen FROM "
+
+
+@query("reg12_choose_lag", sql(CHOSEN + "lag_score", "lag_score"))
 def _(spark, d):
-    return K.choose_lag(lag_frames(spark, d), "log_return", MAC)
+    return rounded(K.choose_lag(lag_frames(spark, d), "log_return", MAC), 5)
 
 
 @query("reg13_choose_subset")
@@ -164,9 +200,15 @@ def _(spark, d):
     return K.choose_subset(supervised(spark, d), "log_return", MAC)
 
 
-@query("reg14_ols_report")
+least_squares("ols", "sup", "ticker", MAC, "log_return", "sup")
+cte("ols_lines", " UNION ALL ".join(f"""SELECT ticker, '{f}' AS factor, b[{i}] AS coef, sqrt(rss / (n - {len(MAC) + 1}) * inv[{i}] / n) / sd[{i}] AS se, 1 - rss / tss AS r2, c0 AS intercept, n FROM ols""" for i, f in enumerate(MAC, 1)), "ols")
+
+
+@query("reg14_ols_report", sql(f"""SELECT ticker, factor, round(coef * 1e6, 4) AS coef_ppm, round(se * 1e6, 4) AS se_ppm, round({tail_sql('coef / se')}, 6) AS p_value, round(r2, 6) AS r2,
+    round(1 - (1 - r2) * (n - 1) / (n - {len(MAC) + 1}), 6) AS adj_r2, round(intercept, 5) AS intercept, n FROM ols_lines""", "ols_lines"))
 def _(spark, d):
-    return K.ols_report(supervised(spark, d), "log_return", MAC)
+    r = K.ols_report(supervised(spark, d), "log_return", MAC)
+    return rounded(r.select("ticker", "factor", (F.col("coef") * 1e6).alias("coef_ppm"), (F.col("se") * 1e6).alias("se_ppm"), "p_value", "r2", "adj_r2", "intercept", "n"), 6, coef_ppm=4, se_ppm=4, intercept=5)
 
 
 @query("reg14_ols_one_factor", sql("""SELECT ticker, 'energy_index' AS factor, round(beta, 5) AS coef, round(alpha, 6) AS intercept, round(r2, 6) AS r2,
@@ -176,10 +218,10 @@ def _(spark, d):
     return rounded(r.select("ticker", "factor", "coef", "intercept", "r2", "adj_r2", "n"), 6, coef=5)
 
 
-@query("reg15_importance")
+@query("reg15_importance", sql(" UNION ALL ".join(f"SELECT ticker, '{f}' AS factor, round(abs(b[{i}]) * sd[{i}] * sqrt(n / (n - 1.0)), 6) AS importance FROM ols" for i, f in enumerate(MAC, 1)), "ols"))
 def _(spark, d):
     s = stage(supervised(spark, d))
-    return K.importance(K.ols_report(s, "log_return", MAC), s, MAC).select("ticker", "factor", "importance")
+    return rounded(K.importance(K.ols_report(s, "log_return", MAC), s, MAC).select("ticker", "factor", "importance"))
 
 
 @query("reg15_importance_one_factor", sql("SELECT ticker, 'energy_index' AS factor, round(abs(regr_slope(log_return, energy_index)) * stddev_samp(energy_index), 6) AS importance FROM sup GROUP BY 1", "sup"))
@@ -254,6 +296,16 @@ def _(spark, d):
     return a.unionByName(rounded(K.forecast_input(m, "inflation"), 4).withColumn("col", F.lit("inflation")))
 
 
-@query("reg20_lagged_grid")
+GRID_LAGS = (1, 5, 10)
+LAGGED = [f"{x}_lag{k}" for x in MAC for k in GRID_LAGS]
+cte("lagged", f"SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) <= floor(count(*) OVER (PARTITION BY ticker) * 0.8) AS is_train FROM (SELECT ticker, date, log_return, {', '.join(f'lag({x}, {k}) {WL} AS {x}_lag{k}' for x in MAC for k in GRID_LAGS)} FROM master) "
+    f"WHERE log_return IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in LAGGED)}", "master")
+cte("lagged_train", f"SELECT l.*, alpha FROM lagged l CROSS JOIN (VALUES {', '.join(f'({a}::DOUBLE)' for a in K.RIDGE_GRID)}) g(alpha) WHERE is_train", "lagged")
+least_squares("lagged_fit", "lagged_train", "ticker, alpha", LAGGED, "log_return", "lagged_train", alpha="alpha")
+cte("lagged_score", f"""SELECT f.ticker, f.alpha, any_value(f.n) AS n_train, count(*) AS n_test, 1 - sum((r.log_return - ({fitted_sql(LAGGED)})) ** 2) / (var_pop(r.log_return) * count(*)) AS r2, sqrt(avg((r.log_return - ({fitted_sql(LAGGED)})) ** 2)) AS rmse
+    FROM lagged_fit f JOIN lagged r ON r.ticker = f.ticker AND NOT r.is_train GROUP BY 1, 2""", "lagged_fit", "lagged")
+
+
+@query("reg20_lagged_grid", sql("SELECT ticker, alpha, round(r2, 5) AS r2, round(rmse, 6) AS rmse, n_train, n_test, row_number() OVER (PARTITION BY ticker ORDER BY r2 DESC, alpha) AS place FROM lagged_score", "lagged_score"))
 def _(spark, d):
-    return K.lagged_grid(master(spark, d), MAC, (1, 5, 10))
+    return rounded(K.lagged_grid(master(spark, d), MAC, GRID_LAGS), 6, r2=5)

@@ -10,10 +10,10 @@ from ..operators import backtest as K
 from ..operators import transforms as T
 from ..operators import validate as V
 from ..sources import bindings as B
-from .ctes import cte, sql
+from .ctes import cte, fitted_sql, least_squares, sql
 from .q_backtest import naive_predictions
 from .q_gold import MAC, master, supervised
-from .q_regress import lag_frames
+from .q_regress import CHOSEN, lag_frames
 from .q_sources import _sink_path
 from .registry import query
 
@@ -21,9 +21,24 @@ WT = "OVER (PARTITION BY ticker ORDER BY date"
 cte("split", "SELECT *, i <= greatest(60, least(floor(n * 0.8), n - 5)) AS is_train FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM sup)", "sup")
 
 
-@query("val1_choose_lag_by_split")
+cte("lag_split", "SELECT *, row_number() OVER (PARTITION BY ticker, lag ORDER BY date) <= floor(count(*) OVER (PARTITION BY ticker, lag) * 0.8) AS is_train FROM sup_lags", "sup_lags")
+cte("lag_split_train", "SELECT * FROM lag_split WHERE is_train", "lag_split")
+least_squares("lag_split_fit", "lag_split_train", "ticker, lag", MAC, "log_return", "lag_split_train", alpha="0.5")
+
+
+def test_score(fit, rows, keys, condition, y="log_return"):
+    """n_train, n_test, r2, rmse of fitted groups on rows that meet a condition."""
+    on = " AND ".join(f"r.{k} = f.{k}" for k in keys)
+    e = f"(r.{y} - ({fitted_sql(MAC)})) ** 2"
+    return f"SELECT {', '.join(f'f.{k}' for k in keys)}, any_value(f.n) AS n_train, count(*) AS n_test, 1 - sum({e}) / (var_pop(r.{y}) * count(*)) AS r2, sqrt(avg({e})) AS rmse FROM {fit} f JOIN {rows} r ON {on} AND {condition} GROUP BY ALL"
+
+
+cte("lag_split_score", f"SELECT ticker, lag, r2 AS m FROM ({test_score('lag_split_fit', 'lag_split', ('ticker', 'lag'), 'NOT r.is_train')})", "lag_split_fit", "lag_split")
+
+
+@query("val1_choose_lag_by_split", sql(CHOSEN + "lag_split_score", "lag_split_score"))
 def _(spark, d):
-    return V.choose_lag_by_split(lag_frames(spark, d), "log_return", MAC)
+    return rounded(V.choose_lag_by_split(lag_frames(spark, d), "log_return", MAC), 5)
 
 
 @query("val2_chronological_split", sql("""SELECT ticker, count(*) FILTER (is_train) AS train_rows, count(*) FILTER (NOT is_train) AS test_rows, min(date) FILTER (is_train) AS train_start, max(date) FILTER (is_train) AS train_end,
@@ -54,9 +69,13 @@ def _(spark, d):
     return rounded(V.baselines(V.with_split(supervised(spark, d)), "log_return"), 6, r2=5)
 
 
-@query("val4_ridge_baseline")
+cte("split_train", "SELECT * FROM split WHERE is_train", "split")
+least_squares("split_fit", "split_train", "ticker", MAC, "log_return", "split_train", alpha="0.5")
+
+
+@query("val4_ridge_baseline", sql(f"SELECT ticker, 'ridge_baseline' AS model, n_test AS n, round(r2, 5) AS r2, round(rmse, 6) AS rmse FROM ({test_score('split_fit', 'split', ('ticker',), 'NOT r.is_train')})", "split_fit", "split"))
 def _(spark, d):
-    return V.ridge_baseline(V.with_split(supervised(spark, d)), "log_return", MAC)
+    return rounded(V.ridge_baseline(V.with_split(supervised(spark, d)), "log_return", MAC), 6, r2=5)
 
 
 cte("pm", metric_sql("pred_ok", "ticker", "actual", "predicted"), "pred_ok")
@@ -76,14 +95,26 @@ def _(spark, d):
     return rounded(m.select("ticker", "year", "r2", V.bounded_r2("r2").alias("bounded_r2"), V.r2_risk("r2").alias("risk")), 4)
 
 
-@query("val7_walk_forward")
+def windows_sql(source, least=20, first=60):
+    return f"""SELECT *, count(*) OVER (PARTITION BY ticker, win) AS in_win FROM (SELECT *, CASE WHEN i < {first} THEN 0 ELSE least(4, 1 + (i - {first}) // greatest({least}, (n - {first}) // 4)) END AS win FROM (
+    SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM {source})) QUALIFY win = 0 OR in_win >= {least}"""
+
+
+cte("wf", windows_sql("sup"), "sup")
+cte("wf_train", f"SELECT t.ticker, t.win, r.log_return, {', '.join(f'r.{x}' for x in MAC)} FROM (SELECT DISTINCT ticker, win FROM wf WHERE win > 0) t JOIN wf r ON r.ticker = t.ticker AND r.win < t.win", "wf")
+least_squares("wf_fit", "wf_train", "ticker, win", MAC, "log_return", "wf_train")
+cte("wf_score", test_score("wf_fit", "wf", ("ticker", "win"), "TRUE"), "wf_fit", "wf")
+
+
+@query("val7_walk_forward", sql('SELECT ticker, win AS "window", round(r2, 5) AS r2, round(rmse, 6) AS rmse, n_train, n_test FROM wf_score', "wf_score"))
 def _(spark, d):
-    return V.walk_forward(supervised(spark, d), "log_return", MAC)
+    return rounded(V.walk_forward(supervised(spark, d), "log_return", MAC), 6, r2=5)
 
 
-@query("val7_walk_forward_summary")
+@query("val7_walk_forward_summary", sql("""SELECT ticker, count(*) AS windows, round(avg(r2), 5) AS avg_r2, round(median(r2), 5) AS median_r2, round(avg(greatest(-2.0, least(1.0, r2))), 5) AS clipped_avg_r2, round(min(r2), 5) AS worst_r2,
+    round(CASE WHEN count(*) >= 4 THEN quantile_cont(r2, 0.1) ELSE min(r2) END, 5) AS band_low, round(CASE WHEN count(*) >= 4 THEN quantile_cont(r2, 0.9) ELSE max(r2) END, 5) AS band_high FROM wf_score GROUP BY 1""", "wf_score"))
 def _(spark, d):
-    return V.walk_forward_summary(V.walk_forward(supervised(spark, d), "log_return", MAC))
+    return rounded(V.walk_forward_summary(V.walk_forward(supervised(spark, d), "log_return", MAC)), 5)
 
 
 cte("wf1", """SELECT ticker, date, log_return AS y, energy_index AS x, CASE WHEN i < 60 THEN 0 ELSE least(4, 1 + (i - 60) // greatest(20, (n - 60) // 4)) END AS win FROM (
@@ -342,9 +373,15 @@ def holdout(spark, d, cutoff="2000-01-01"):
     return p.select("ticker", "date", "is_train", "predicted", "z").join(real, ["ticker", "date"]).join(K.uptrend_of(m, window=50), ["ticker", "date"])
 
 
-@query("bt13_holdout_predictions")
+cte("before", "SELECT * FROM sup WHERE date < DATE '2000-01-01'", "sup")
+least_squares("before_fit", "before", "ticker", MAC, "log_return", "before", alpha="1.0")
+cte("before_pred", f"""SELECT r.ticker, r.date < DATE '2000-01-01' AS is_train, {fitted_sql(MAC)} AS p, greatest(-0.15, least(0.15, coalesce(m.log_return, 0))) AS a
+    FROM sup r JOIN before_fit f ON f.ticker = r.ticker JOIN master m ON m.ticker = r.ticker AND m.date = r.date""", "before_fit", "sup", "master")
+
+
+@query("bt13_holdout_predictions", sql("""SELECT ticker, is_train, count(*) AS n, round(1 - sum((a - p) ** 2) / (var_pop(a) * count(*)), 5) AS r2, round(avg(abs(a - p)), 6) AS mae, round(sqrt(avg((a - p) ** 2)), 6) AS rmse FROM before_pred GROUP BY 1, 2""", "before_pred"))
 def _(spark, d):
-    return V.regression_metrics(holdout(spark, d), ("ticker", "is_train"))
+    return rounded(V.regression_metrics(holdout(spark, d), ("ticker", "is_train")), 6, r2=5)
 
 
 cte("folds_r", "SELECT ticker, year(date) AS y, count(*) AS n, corr(predicted, actual) AS r FROM pred_ok GROUP BY 1, 2", "pred_ok")
