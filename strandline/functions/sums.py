@@ -187,12 +187,15 @@ def vif_udf(sums: pd.Series, names: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DBL)
-def lag_t_udf(sums: pd.Series) -> pd.Series:
-    """t statistic of the first factor in a regression with intercept."""
-    def one(s):
-        o = ols(matrix(s))
+def first_t_udf(sums: pd.Series, count: pd.Series) -> pd.Series:
+    """t statistic of the first factor in a regression with intercept on the first `count` factors."""
+    def one(s, k):
+        m = matrix(s)
+        if m[0, 0] <= k + 1:
+            return float("nan")
+        o = ols(subset(m, range(int(k))))
         return float(o["coef"][0] / o["se"][0]) if o["se"][0] > 0 else float("nan")
-    return sums.map(one)
+    return pd.Series([one(s, k) for s, k in zip(sums, count)], dtype=float)
 
 
 @F.pandas_udf(T.ArrayType(fields(step=LNG, forecast=DBL, lower=DBL, upper=DBL)))

@@ -63,7 +63,7 @@ def high_vif(vif: DataFrame, limit: float = 5.0) -> DataFrame:
     return vif.groupBy("ticker").agg(F.max("vif").alias("max_vif"), F.array_sort(F.collect_list(F.when(F.col("vif") > limit, F.col("factor")))).alias("offenders"))
 
 
-def regime_stability(rolling: DataFrame, value: str = "elasticity", resamples: int = 100, level: float = 0.95) -> DataFrame:
+def regime_stability(rolling: DataFrame, value: str = "elasticity", resamples: int = 200, level: float = 0.95) -> DataFrame:
     """(ticker, n, cv, robust_cv, band_high, limit, stable) of rolling elasticities; the limit tightens with the sample.
 
     The verdict uses the upper bound of a bootstrap band of the robust ratio. A resample's picks are hashes of (ticker,

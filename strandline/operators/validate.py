@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,62 +138,68 @@ def walk_forward_predictions(frame: DataFrame, y: str, xs: Sequence[str], alpha:
 def bootstrap_band(pred: DataFrame, draws: int = 200, confidence: float = 0.90, seed: int = 42) -> DataFrame:
     """(ticker, n, point, low, high, mean, std, draws) of R2 by circular block bootstrap with independent block starts.
 
-    A ticker's predictions are calendar-bound; tickers spread over tasks, draws are array arithmetic.
+    A block is a difference of running sums of y, y^2 and e^2, so a draw looks up two rows per block and no row is resampled. Starts are hashes of
+    (seed, ticker, draw, block): the same on any partitioning. n rows give ceil(n / b) blocks of b = max(2, floor(sqrt(n))), the last one cut at n rows.
     """
-    def band(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        y, p = pdf["actual"].to_numpy(float), pdf["predicted"].to_numpy(float)
-        n = len(y)
-        if n < 5:
-            return pd.DataFrame(columns=["ticker", "n", "point", "low", "high", "mean", "std", "draws"])
-        b = max(2, int(math.sqrt(n)))
-        rng = np.random.default_rng([seed, zlib.crc32(str(pdf["ticker"].iloc[0]).encode())])
-        r2 = []
-        for _ in range(draws):
-            starts = rng.integers(0, n, size=-(-n // b))
-            idx = ((starts[:, None] + np.arange(b)) % n).ravel()[:n]
-            v = np.var(y[idx])
-            if v > 1e-12:
-                r2.append(float(np.clip(1 - np.mean((y[idx] - p[idx]) ** 2) / v, -10, 1)))
-        point = 1 - np.sum((y - p) ** 2) / (np.var(y) * n) if np.var(y) > 0 else float("nan")
-        lo, hi = np.percentile(r2, [(1 - confidence) * 50, (1 + confidence) * 50]) if r2 else (point, point)
-        return pd.DataFrame([(pdf["ticker"].iloc[0], n, point, lo, hi, np.mean(r2) if r2 else point, np.std(r2) if r2 else 0.0, len(r2))],
-                            columns=["ticker", "n", "point", "low", "high", "mean", "std", "draws"])
-    return pred.select("ticker", "date", "actual", "predicted").groupBy("ticker").applyInPandas(
-        band, "ticker string, n long, point double, low double, high double, mean double, std double, draws long")
-
-
-def kpss(levels: DataFrame, keys: Sequence[str] = ("ticker", "feature"), value: str = "x", max_lags: int = 8) -> DataFrame:
-    """(keys, n, kpss): level stationarity with Bartlett weights and min(8, max(1, n // 50)) lags."""
-    w = series(list(keys))
-    d = levels.where(F.col(value).isNotNull()).withColumn("_n", F.count("*").over(whole(list(keys))))
-    d = d.withColumn("_e", F.col(value) - F.avg(value).over(whole(list(keys)))).withColumn("_s", F.sum("_e").over(running(w)))
-    d = d.withColumn("_l", F.least(F.lit(max_lags), F.greatest(F.lit(1), F.floor(F.col("_n") / 50))))
-    acc = F.sum(F.col("_e") * F.col("_e"))
+    w, every = series("ticker"), whole("ticker")
+    e = F.col("actual") - F.col("predicted")
+    d = pred.select("ticker", "date", "actual", "predicted").withColumn("_n", F.count("*").over(every)).withColumn("_y", F.col("actual") - F.avg("actual").over(every)).where("_n >= 5")
+    parts = {"y": F.col("_y"), "yy": F.col("_y") * F.col("_y"), "ee": e * e}
+    upto = d.withColumn("_i", F.row_number().over(w)).select("ticker", "_i", *[F.sum(c).over(running(w)).alias(k) for k, c in parts.items()])
+    point = d.groupBy("ticker").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"t_{k}") for k, c in parts.items()])
+    b = F.greatest(F.lit(2), F.floor(F.sqrt("n")).cast("int"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "ticker", "draw", "block")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    blocks = point.select("ticker", "n", b.alias("b"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("b")).cast("int") - 1)).alias("block"))
+    blocks = blocks.withColumn("_from", F.floor(u * F.col("n"))).withColumn("_to", F.col("_from") + F.least("b", F.col("n") - F.col("block") * F.col("b")))
+    # running sums at both ends, and once the whole series where a block passes its end
+    ends = blocks.select("ticker", "draw", F.inline(F.array(
+        F.struct(F.col("_from").alias("_i"), F.lit(-1).alias("sign")), F.struct(F.when(F.col("_to") > F.col("n"), F.col("_to") - F.col("n")).otherwise(F.col("_to")).alias("_i"), F.lit(1).alias("sign")),
+        F.struct(F.when(F.col("_to") > F.col("n"), F.col("n")).otherwise(F.lit(0)).alias("_i"), F.lit(1).alias("sign"))))).where("_i > 0")
+    sums = ends.join(upto, ["ticker", "_i"]).groupBy("ticker", "draw").agg(*[F.sum(F.col("sign") * F.col(k)).alias(k) for k in parts])
+    spread = F.col("yy") / F.col("n") - (F.col("y") / F.col("n")) ** 2
+    r2 = F.when(spread > 1e-12, F.greatest(F.lit(-10.0), F.least(F.lit(1.0), 1 - F.col("ee") / F.col("n") / spread)))
+    each = sums.join(point, "ticker").select("ticker", r2.alias("r2"))
+    lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
+    band = each.groupBy("ticker").agg(F.percentile("r2", F.array(F.lit(lo), F.lit(hi))).alias("q"), F.avg("r2").alias("mean"), F.stddev_pop("r2").alias("std"), F.count("r2").alias("draws"))
+    whole_r2 = 1 - div("t_ee", "t_yy")
+    return point.join(band, "ticker").select("ticker", "n", whole_r2.alias("point"), F.coalesce(F.col("q")[0], whole_r2).alias("low"), F.coalesce(F.col("q")[1], whole_r2).alias("high"),
+                                             F.coalesce("mean", whole_r2).alias("mean"), F.coalesce("std", F.lit(0.0)).alias("std"), "draws")
+
+
+MAX_LAGS = 8
+
+
+def unit_roots(levels: DataFrame, keys: Sequence[str] = ("ticker", "feature"), value: str = "x", max_lags: int = MAX_LAGS) -> DataFrame:
+    """(keys, n, lags, kpss, adf) with lags = min(8, max(1, n // 50)).
+
+    kpss: level stationarity with Bartlett weights. adf: t statistic of the level in a regression of the change on the level before and `lags` earlier changes.
+    One placement of a series serves both: lagged levels give every product, one aggregate sums them.
+    """
+    keys = list(keys)
+    w, every, v = series(keys), whole(keys), F.col(value)
+    lagged = {f"_l{k}": F.lag(value, k).over(w) for k in range(1, max_lags + 2)}
+    d = levels.where(v.isNotNull()).withColumns({"_i": F.row_number().over(w), "_sum": F.sum(value).over(running(w)), "_n": F.count(value).over(every), "_mean": F.avg(value).over(every), **lagged})
+    lags = F.least(F.lit(max_lags), F.greatest(F.lit(1), F.floor(F.col("_n") / 50)))
+    d = d.withColumns({"_k": lags, "_e": v - F.col("_mean"), "_s": F.col("_sum") - F.col("_i") * F.col("_mean")})
+    long_run = F.sum(F.col("_e") * F.col("_e"))
     for k in range(1, max_lags + 1):
-        d = d.withColumn(f"_p{k}", F.col("_e") * F.lag("_e", k).over(w))
-        acc = acc + 2 * F.coalesce(F.sum(F.when(F.col("_l") >= k, F.col(f"_p{k}") * (1 - k / (F.col("_l") + 1.0)))), F.lit(0.0))
-    a = d.groupBy(*keys).agg(F.max("_n").alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"), acc.alias("_lr"))
-    return a.select(*keys, "n", div(F.col("_ss") / (F.col("n") * F.col("n")), F.col("_lr") / F.col("n")).alias("kpss"))
-
-
-def adf(levels: DataFrame, keys: Sequence[str] = ("ticker", "feature"), value: str = "x", lags: int = 2) -> DataFrame:
-    """(keys, adf): t statistic of the level in a regression of the change on level and lagged changes."""
-    w = series(list(keys))
-    d = levels.where(F.col(value).isNotNull()).withColumn("_l", F.lag(value).over(w)).withColumn("_d", F.col(value) - F.lag(value).over(w))
-    xs = ["_l"]
-    for k in range(1, lags + 1):
-        d = d.withColumn(f"_d{k}", F.lag("_d", k).over(w))
-        xs.append(f"_d{k}")
-    return S.block_sums(d.na.drop(subset=["_d", *xs]), list(keys), xs, "_d").select(*keys, finite(S.lag_t_udf("sums")).alias("adf"))
+        product = F.col("_e") * (F.col(f"_l{k}") - F.col("_mean"))
+        long_run = long_run + 2 * F.coalesce(F.sum(F.when(F.col("_k") >= k, product * (1 - k / (F.col("_k") + 1.0)))), F.lit(0.0))
+    changes = [F.when(F.col("_k") >= k, F.col(f"_l{k}") - F.col(f"_l{k + 1}")).otherwise(0.0) for k in range(1, max_lags + 1)]
+    z = [F.lit(1.0), F.col("_l1"), *changes, v - F.col("_l1")]
+    inside = F.col("_i") > F.col("_k") + 1
+    sums = F.array(*[F.sum(F.when(inside, z[i] * z[j])) for i in range(len(z)) for j in range(i, len(z))])
+    a = d.groupBy(*keys).agg(F.max("_n").alias("n"), F.max("_k").cast("long").alias("lags"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"), long_run.alias("_lr"), sums.alias("_p"))
+    adf = F.when(F.col("_p")[0].isNotNull(), finite(S.first_t_udf("_p", F.col("lags") + 1)))
+    return a.select(*keys, "n", "lags", div(F.col("_ss") / (F.col("n") * F.col("n")), F.col("_lr") / F.col("n")).alias("kpss"), adf.alias("adf"))
 
 
 def stationarity(frame: DataFrame, columns: Sequence[str], min_rows: int = 20) -> DataFrame:
-    """(ticker, feature, n, adf, kpss, is_stationary) by critical values at 5 %."""
-    lv = long_features(frame, columns, ["ticker", "date"])
-    j = kpss(lv).join(adf(lv), ["ticker", "feature"], "left")
+    """(ticker, feature, n, lags, adf, kpss, is_stationary) by critical values at 5 %; unknown below `min_rows`."""
+    t = unit_roots(long_features(frame, columns, ["ticker", "date"]))
     ok = (F.col("adf") < ADF_CRITICAL) & (F.col("kpss") < KPSS_CRITICAL)
-    return j.withColumn("is_stationary", F.when(F.col("n") >= min_rows, F.coalesce(ok, F.lit(False))))
+    return t.withColumn("is_stationary", F.when(F.col("n") >= min_rows, F.coalesce(ok, F.lit(False))))
 
 
 def leakage(frame: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:

@@ -88,7 +88,7 @@ def least_squares(name: str, source: str, keys: str, xs: Sequence[str], y: str,
     """
     p = len(xs)
     on = used or ["TRUE"] * p
-    sd = ", ".join(f"stddev_pop({x})" if scaled else "1.0::DOUBLE" for x in xs)
+    sd = ", ".join(f"CASE WHEN stddev_pop({x}) > 0 THEN stddev_pop({x}) ELSE 1.0 END" if scaled else "1.0::DOUBLE" for x in xs)
     cov = ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in xs) + "]" for a in xs)
     cte(f"{name}_m", f"""SELECT {keys}, count(*) AS n, avg({y}) AS my, var_pop({y}) AS vy, [{", ".join(f"avg({x})" for x in xs)}] AS mx, [{sd}] AS sd, [{cov}] AS c, [{", ".join(f"covar_pop({x}, {y})" for x in xs)}] AS cy
     FROM {source} GROUP BY {keys}""", *needs)

@@ -221,7 +221,7 @@ def rolling(spark, d):
 
 cte("roll_n", "SELECT ticker, elasticity, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM roll_e WHERE elasticity IS NOT NULL", "roll_e")
 cte("resample", """SELECT ticker, quantile_cont(r, 0.95) AS band_high FROM (SELECT p.ticker, p.b, (quantile_cont(v.elasticity, 0.75) - quantile_cont(v.elasticity, 0.25)) / abs(quantile_cont(v.elasticity, 0.5)) AS r FROM (
-    SELECT ticker, b, floor(('0x' || substr(md5(ticker || '|' || b || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n) + 1 AS i FROM roll_n, (SELECT unnest(generate_series(1, 100)) AS b)) p
+    SELECT ticker, b, floor(('0x' || substr(md5(ticker || '|' || b || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n) + 1 AS i FROM roll_n, (SELECT unnest(generate_series(1, 200)) AS b)) p
     JOIN roll_n v ON v.ticker = p.ticker AND v.i = p.i GROUP BY 1, 2) GROUP BY 1""", "roll_n")
 
 

@@ -95,6 +95,7 @@ def _(spark, d):
 
 
 DECAY = MAC
+DECAY_LAGS = 180
 WL = "OVER (PARTITION BY ticker ORDER BY date)"
 def decay_step(f):
     """The stationary form of a feature, as SQL."""
@@ -105,7 +106,7 @@ def decay_step(f):
 
 
 cte("decay_in", " UNION ALL ".join(f"SELECT ticker, date, '{f}' AS feature, log_return AS y, {decay_step(f)} AS x FROM master" for f in DECAY), "master")
-cte("scan9", scan_sql("decay_in", "y", "x", 0, 60, 25, "ticker, feature"), "decay_in")
+cte("scan9", scan_sql("decay_in", "y", "x", 0, DECAY_LAGS, 25, "ticker, feature"), "decay_in")
 
 
 def decay_scan(spark, d):
@@ -113,7 +114,7 @@ def decay_scan(spark, d):
     for f in DECAY:
         m = T.with_stationary(m, f, f"s_{f}")
     m = m.select("ticker", "date", "log_return", *[F.col(f"s_{f}").alias(f) for f in DECAY])
-    return R.lag_scan(R.long_features(m, DECAY, ["ticker", "date", "log_return"]), "log_return", "x", 60, 25, keys=("ticker", "feature"))
+    return R.lag_scan(R.long_features(m, DECAY, ["ticker", "date", "log_return"]), "log_return", "x", DECAY_LAGS, 25, keys=("ticker", "feature"))
 
 
 @query("rel9_information_decay", sql("""SELECT ticker, feature, round(base, 6) AS base_corr, min(lag) FILTER (lag > 0 AND abs(corr) <= 0.5 * abs(base)) AS half_life FROM (

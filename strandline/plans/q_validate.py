@@ -18,6 +18,7 @@ from .q_sources import _sink_path
 from .registry import query
 
 WT = "OVER (PARTITION BY ticker ORDER BY date"
+WTF = "OVER (PARTITION BY ticker, feature ORDER BY date"
 cte("split", "SELECT *, i <= greatest(60, least(floor(n * 0.8), n - 5)) AS is_train FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM sup)", "sup")
 
 
@@ -130,15 +131,56 @@ def _(spark, d):
     return rounded(w, 6, r2=5)
 
 
-@query("val8_bootstrap_band")
+least_squares("wf_ridge", "wf_train", "ticker, win", MAC, "log_return", "wf_train", alpha="0.5")
+cte("wf_pred", f"SELECT r.ticker, r.date, r.win, r.log_return AS actual, {fitted_sql(MAC)} AS predicted FROM wf_ridge f JOIN wf r ON r.ticker = f.ticker AND r.win = f.win", "wf_ridge", "wf")
+
+
+def band_ctes(name, source, draws=200, seed=42):
+    """Block bootstrap of R2 over predictions, by running sums; starts are the same hashes."""
+    cte(f"{name}_s", f"SELECT *, actual - avg(actual) OVER (PARTITION BY ticker) AS y, (actual - predicted) ** 2 AS ee, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM {source} QUALIFY n >= 5", source)
+    cte(f"{name}_u", f"SELECT ticker, i, n, {', '.join(f'sum({e}) OVER (PARTITION BY ticker ORDER BY i) AS {k}' for k, e in (('sy', 'y'), ('syy', 'y * y'), ('see', 'ee')))} FROM {name}_s UNION ALL SELECT DISTINCT ticker, 0, n, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM {name}_s", f"{name}_s")
+    cte(f"{name}_b", f"""SELECT *, CASE WHEN f + l > n THEN f + l - n ELSE f + l END AS t, f + l > n AS wraps FROM (SELECT *, CAST(floor(('0x' || substr(md5('{seed}|' || ticker || '|' || draw || '|' || block), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n) AS BIGINT) AS f, least(b, n - block * b) AS l FROM (
+      SELECT ticker, n, b, draw, unnest(generate_series(0, CAST(ceil(n / b) AS BIGINT) - 1)) AS block FROM (SELECT ticker, n, greatest(2, CAST(floor(sqrt(n)) AS BIGINT)) AS b, unnest(generate_series(1, {draws})) AS draw FROM (SELECT DISTINCT ticker, n FROM {name}_s))))""", f"{name}_s")
+    part = lambda k: f"sum(z.{k} - a.{k} + CASE WHEN wraps THEN e.{k} ELSE 0 END)"
+    cte(f"{name}_d", f"""SELECT ticker, draw, CASE WHEN v > 1e-12 THEN greatest(-10.0, least(1.0, 1 - ee / n / v)) END AS r2 FROM (SELECT ticker, draw, n, ee, yy / n - (y / n) ** 2 AS v FROM (
+      SELECT b.ticker, b.draw, any_value(b.n) AS n, {part('sy')} AS y, {part('syy')} AS yy, {part('see')} AS ee FROM {name}_b b JOIN {name}_u a ON a.ticker = b.ticker AND a.i = b.f JOIN {name}_u z ON z.ticker = b.ticker AND z.i = b.t
+      JOIN {name}_u e ON e.ticker = b.ticker AND e.i = b.n GROUP BY 1, 2))""", f"{name}_b", f"{name}_u")
+    cte(name, f"""SELECT ticker, n, point, coalesce(low, point) AS low, coalesce(high, point) AS high, coalesce(mean, point) AS mean, coalesce(std, 0.0) AS std, draws FROM (SELECT ticker, count(*) AS n, 1 - sum(ee) / sum(y * y) AS point FROM {name}_s GROUP BY 1)
+      JOIN (SELECT ticker, quantile_cont(r2, 0.05) AS low, quantile_cont(r2, 0.95) AS high, avg(r2) AS mean, stddev_pop(r2) AS std, count(r2) AS draws FROM {name}_d GROUP BY 1) USING (ticker)""", f"{name}_s", f"{name}_d")
+
+
+band_ctes("wf_band", "wf_pred")
+
+
+@query("val8_bootstrap_band", sql("SELECT ticker, n, draws, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("point", "low", "high", "mean", "std")) + " FROM wf_band", "wf_band"))
 def _(spark, d):
     p, _ = V.walk_forward_predictions(supervised(spark, d), "log_return", MAC)
-    return V.bootstrap_band(p)
+    return rounded(V.bootstrap_band(p), 5)
+
+
+UNIT = ["close", "log_return", "inflation"]
+EARLIER = ", ".join(f"lag(x, {k}) {WTF}) AS l{k}" for k in range(1, 10))
+
+
+def unit_root_ctes(name, source, columns):
+    """Both statistics of (ticker, feature) over columns of a table."""
+    xs = ["l1", *[f"d{k}" for k in range(1, 9)]]
+    cte(f"{name}_l", f"""SELECT *, x - m AS e, least(8, greatest(1, n // 50)) AS o FROM (SELECT *, row_number() {WTF}) AS i, count(*) OVER (PARTITION BY ticker, feature) AS n, avg(x) OVER (PARTITION BY ticker, feature) AS m, {EARLIER} FROM (
+      {" UNION ALL ".join(f"SELECT ticker, date, '{c}' AS feature, {c} AS x FROM {source} WHERE {c} IS NOT NULL" for c in columns)}))""", source)
+    cte(f"{name}_r", f"SELECT ticker, feature, o, x - l1 AS d, l1, {', '.join(f'CASE WHEN o >= {k} THEN l{k} - l{k + 1} ELSE 0.0 END AS d{k}' for k in range(1, 9))} FROM {name}_l WHERE i > o + 1", f"{name}_l")
+    least_squares(f"{name}_f", f"{name}_r", "ticker, feature, o", xs, "d", f"{name}_r", used=["TRUE", *[f"o >= {k}" for k in range(1, 9)]])
+    long_run = " + ".join(f"2 * coalesce(sum(e * (l{k} - m) * (1 - {k} / (o + 1.0))) FILTER (o >= {k}), 0)" for k in range(1, 9))
+    cte(name, f"""SELECT ticker, feature, k.n, k.o AS lags, kpss, adf, CASE WHEN k.n >= 20 THEN coalesce(adf < {V.ADF_CRITICAL} AND kpss < {V.KPSS_CRITICAL}, FALSE) END AS is_stationary FROM (
+      SELECT ticker, feature, max(n) AS n, max(o) AS o, (sum(s * s) / max(n) ** 2) / ((sum(e * e) + {long_run}) / max(n)) AS kpss FROM (SELECT *, sum(e) {WTF} ROWS UNBOUNDED PRECEDING) AS s FROM {name}_l) GROUP BY 1, 2) k
+      LEFT JOIN (SELECT ticker, feature, b[1] / (sqrt(rss / (n - o - 2) * inv[1] / n) / sd[1]) AS adf FROM {name}_f) a USING (ticker, feature)""", f"{name}_l", f"{name}_f")
+
+
+unit_root_ctes("unit", "master", UNIT)
 
 
-@query("val9_stationarity")
+@query("val9_stationarity", sql("SELECT ticker, feature, n, lags, round(kpss, 5) AS kpss, round(adf, 4) AS adf, is_stationary FROM unit", "unit"))
 def _(spark, d):
-    return V.stationarity(master(spark, d), ["close", "log_return", "inflation"])
+    return rounded(V.stationarity(master(spark, d), UNIT), 5, adf=4)
 
 
 def kpss_sql():
@@ -151,7 +193,7 @@ def kpss_sql():
 @query("val9_kpss", sql(kpss_sql(), "px"))
 def _(spark, d):
     lv = B.bars(spark, d).select("ticker", "date", F.col("close").alias("x"))
-    return rounded(V.kpss(lv, ("ticker",)), 5)
+    return rounded(V.unit_roots(lv, ("ticker",)).select("ticker", "n", "kpss"), 5)
 
 
 LEAK = ["inflation", "energy_index", "echo"]
