@@ -195,6 +195,11 @@ def panel_meta(df: DataFrame, columns: Sequence[str], macro_lag: int = 0) -> Dat
     return values_table(df.sparkSession, ("column_name", "source", "lag_rows", "native_horizon"), rows)
 
 
+def publication_lag(columns: Sequence[str], macro_lag: int = 0) -> int:
+    """Largest lag that a panel of these columns applies."""
+    return max((0 if source_of(c) == "yfinance" else max(X.PUBLICATION_LAG_ROWS, macro_lag) for c in columns), default=0)
+
+
 def supervised_frame(df: DataFrame, target: str, features: Sequence[str], macro_lag: int = 0, align: bool = True,
                      least: int = 1, most: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(ticker, date, target, features): forward target next to the panel, complete rows only."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sums as S
 from ..functions.columns import div, finite, messages, rolling, running, series, whole
+from ..functions.stage import stage
 from .regress import choose_lag, winsorise_columns
 from .relate import long_features
 
@@ -19,6 +20,7 @@ R2_BANDS = ((0.10, 0.10), (0.00, 0.20), (-0.10, 0.30), (-0.25, 0.45), (-0.50, 0.
 RISK_WEIGHTS = {"leakage": 0.35, "stationarity": 0.25, "stability": 0.20, "performance": 0.20}
 ADF_CRITICAL = -2.86
 KPSS_CRITICAL = 0.463
+MIN_TRAIN = 24
 POLICY = {
     "min_r2": -0.25, "max_normalized_shift": 2.5, "max_leakage_flags": 1.0, "min_stationary_ratio": 0.10, "min_walk_forward_r2": -0.25,
     "max_model_risk_score": 0.6, "model_risk_warn_threshold": 0.4, "model_risk_fail_threshold": 0.6, "factor_concentration_warn_threshold": 0.65,
@@ -32,7 +34,7 @@ ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 ERF_P = 0.3275911
 
 
-def with_split(frame: DataFrame, min_train: int = 60, test_share: float = 0.2) -> DataFrame:
+def with_split(frame: DataFrame, min_train: int = MIN_TRAIN, test_share: float = 0.2) -> DataFrame:
     """is_train by position: train rows = max(min_train, min(floor(n * (1 - share)), n - 5))."""
     w = Window.partitionBy("ticker")
     n = F.count("*").over(w)
@@ -97,18 +99,22 @@ def ridge_baseline(split: DataFrame, y: str, xs: Sequence[str], alpha: float = 0
     return e.select("ticker", F.lit("ridge_baseline").alias("model"), F.col("_s.n_test").alias("n"), F.col("_s.r2").alias("r2"), F.col("_s.rmse").alias("rmse"))
 
 
-def with_windows(frame: DataFrame, windows: int = 4, min_train: int = 60, min_test: int = 20) -> DataFrame:
-    """window 0 is the first training block; windows 1..k follow in steps of max(min_test, (n - min_train) / k), the last to the end."""
+def with_windows(frame: DataFrame, windows: int = 4, min_train: int = MIN_TRAIN, min_test: int | None = None) -> DataFrame:
+    """window 0 is the first training block; windows 1..k follow in steps of max(min_test, (n - min_train) / k), the last to the end.
+
+    min_test, unless given, grows with the series: clamp(n // max(10, 3 * windows), 12, 60).
+    """
     w = Window.partitionBy("ticker")
     d = frame.withColumn("_i", F.row_number().over(w.orderBy("date")) - 1).withColumn("_n", F.count("*").over(w))
-    d = d.withColumn("_step", F.greatest(F.lit(min_test), F.floor((F.col("_n") - min_train) / windows)))
+    least = F.greatest(F.lit(12), F.least(F.lit(60), F.floor(F.col("_n") / max(10, 3 * windows)))) if min_test is None else F.lit(min_test)
+    d = d.withColumn("_least", least).withColumn("_step", F.greatest(F.col("_least"), F.floor((F.col("_n") - min_train) / windows)))
     win = F.when(F.col("_i") < min_train, 0).otherwise(F.least(F.lit(windows), 1 + F.floor((F.col("_i") - min_train) / F.col("_step")))).cast("long")
     d = d.withColumn("window", win)
     d = d.withColumn("_rows", F.count("*").over(Window.partitionBy("ticker", "window")))
-    return d.where((F.col("window") == 0) | (F.col("_rows") >= min_test)).drop("_i", "_n", "_step", "_rows")
+    return d.where((F.col("window") == 0) | (F.col("_rows") >= F.col("_least"))).drop("_i", "_n", "_step", "_rows", "_least")
 
 
-def walk_forward(frame: DataFrame, y: str, xs: Sequence[str], windows: int = 4, min_train: int = 60, min_test: int = 20) -> DataFrame:
+def walk_forward(frame: DataFrame, y: str, xs: Sequence[str], windows: int = 4, min_train: int = MIN_TRAIN, min_test: int | None = None) -> DataFrame:
     """(ticker, window, r2, rmse, n_train, n_test): least squares on everything before each window."""
     e = S.expanding_sums(with_windows(frame, windows, min_train, min_test), ["ticker"], "window", xs, y)
     return e.withColumn("_s", S.ridge_score_udf("train", "test", F.lit(0.0))).select("ticker", "window", "_s.*")
@@ -344,6 +350,40 @@ def gate(report: DataFrame, policy: DataFrame, hard_fail: bool = False) -> DataF
     return d.select("ticker", "advisory", "blocking", sev.alias("severity"), ((F.size("blocking") == 0) | F.lit(not hard_fail)).alias("passed"), "risk_score", "wf_avg_r2")
 
 
+def split_model(frame: DataFrame, y: str, xs: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(predictions of the test rows, coefficients in deviations of their factors): least squares on the train part, factors clipped by its quantiles."""
+    split = clip_by_train(with_split(frame.select("ticker", "date", y, *xs)), xs)
+    train = split.where("is_train")
+    model = S.block_sums(train, ["ticker"], xs, y).withColumn("_m", S.ridge_udf("sums", F.lit(0.0))).select("ticker", "_m.*")
+    predictions = S.predict(split.where("NOT is_train"), model, ["ticker"], xs).select("ticker", "date", F.col(y).alias("actual"), "predicted")
+    names = F.array(*[F.lit(x) for x in xs])
+    spread = train.groupBy("ticker").agg(F.array(*[F.stddev_pop(x) for x in xs]).alias("sd"))
+    lines = F.arrays_zip(names.alias("factor"), F.zip_with("coef", "sd", lambda b, v: b * v).alias("coef"))
+    return predictions, model.join(spread, "ticker").select("ticker", F.inline(lines))
+
+
+def governance_report(frame: DataFrame, y: str, xs: Sequence[str], publication_lags: DataFrame, windows: int = 4, draws: int = 100) -> DataFrame:
+    """What the gate reads, per ticker, from the model itself: test score with its band, walk-forward windows, leakage, shift of the target,
+    unit-root tests of target and factors, concentration and risk. publication_lags: (ticker, max_lag).
+    """
+    frame = stage(frame.select("ticker", "date", y, *xs))
+    predictions, coefs = split_model(frame, y, xs)
+    predictions = stage(predictions)
+    wf = walk_forward_summary(walk_forward(frame, y, xs, windows)).select("ticker", F.col("avg_r2").alias("wf_avg_r2"), F.col("clipped_avg_r2").alias("perf_r2"), F.col("band_high").alias("wf_band_high"), F.col("windows").alias("windows_completed"))
+    links = stage(leakage(frame, y, xs))
+    found = false_discovery(links).groupBy("ticker").agg(F.count_if("flagged").alias("_found"))
+    leaks = links.groupBy("ticker").agg(F.sum(F.size("flags")).alias("_flags"), F.count("*").alias("factors")).join(found, "ticker", "left")
+    leaks = leaks.select("ticker", "factors", (F.col("_flags") + F.coalesce("_found", F.lit(0))).alias("leakage_flags"))
+    tests = stationary_ratio(stationarity(frame, [y, *xs])).select("ticker", "considered", F.col("ratio").alias("stationary_ratio"))
+    parts = [regression_metrics(predictions).select("ticker", F.col("r2").alias("oos_r2")), bootstrap_band(predictions, draws).select("ticker", F.col("high").alias("r2_band_high")),
+             trend_volatility(predictions), target_shift(with_split(frame), y).select("ticker", "normalized_shift"), tests, wf, concentration(coefs), publication_lags]
+    out = leaks
+    for part in parts:
+        out = out.join(part, "ticker", "left")
+    out = out.withColumns({"perf_r2": F.coalesce("perf_r2", "oos_r2"), "windows_requested": F.lit(windows), "windows_completed": F.coalesce("windows_completed", F.lit(0))})
+    return model_risk(out)
+
+
 SEVERITY_RANK = {"pass": 0, "warn": 1, "fail": 2}
 
 

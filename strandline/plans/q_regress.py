@@ -176,7 +176,10 @@ def _(spark, d):
     return rounded(t.select("ticker", "model", "params", "fold", "n_test", "r2", "mean_r2", "variant", "winner", "best"))
 
 
-def lag_frames(spark, d, lags=(45, 60, 75, 90)):
+LAGS = (45, 60, 75, 90)
+
+
+def lag_frames(spark, d, lags=LAGS):
     m = stage(master(spark, d))
     return {k: T.supervised_frame(m, "log_return", MAC, macro_lag=k) for k in lags}
 

@@ -13,13 +13,13 @@ from ..sources import bindings as B
 from .ctes import cte, fitted_sql, least_squares, sql
 from .q_backtest import naive_predictions
 from .q_gold import MAC, master, supervised
-from .q_regress import CHOSEN, lag_frames
+from .q_regress import CHOSEN, LAGS, lag_frames
 from .q_sources import _sink_path
 from .registry import query
 
 WT = "OVER (PARTITION BY ticker ORDER BY date"
 WTF = "OVER (PARTITION BY ticker, feature ORDER BY date"
-cte("split", "SELECT *, i <= greatest(60, least(floor(n * 0.8), n - 5)) AS is_train FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM sup)", "sup")
+cte("split", "SELECT *, i <= greatest(24, least(floor(n * 0.8), n - 5)) AS is_train FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM sup)", "sup")
 
 
 cte("lag_split", "SELECT *, row_number() OVER (PARTITION BY ticker, lag ORDER BY date) <= floor(count(*) OVER (PARTITION BY ticker, lag) * 0.8) AS is_train FROM sup_lags", "sup_lags")
@@ -96,7 +96,8 @@ def _(spark, d):
     return rounded(m.select("ticker", "year", "r2", V.bounded_r2("r2").alias("bounded_r2"), V.r2_risk("r2").alias("risk")), 4)
 
 
-def windows_sql(source, least=20, first=60):
+def windows_sql(source, first=V.MIN_TRAIN):
+    least = "greatest(12, least(60, n // 12))"
     return f"""SELECT *, count(*) OVER (PARTITION BY ticker, win) AS in_win FROM (SELECT *, CASE WHEN i < {first} THEN 0 ELSE least(4, 1 + (i - {first}) // greatest({least}, (n - {first}) // 4)) END AS win FROM (
     SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM {source})) QUALIFY win = 0 OR in_win >= {least}"""
 
@@ -118,14 +119,14 @@ def _(spark, d):
     return rounded(V.walk_forward_summary(V.walk_forward(supervised(spark, d), "log_return", MAC)), 5)
 
 
-cte("wf1", """SELECT ticker, date, log_return AS y, energy_index AS x, CASE WHEN i < 60 THEN 0 ELSE least(4, 1 + (i - 60) // greatest(20, (n - 60) // 4)) END AS win FROM (
-    SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, date, y AS log_return, energy_index FROM panel WHERE y IS NOT NULL AND energy_index IS NOT NULL))""", "panel")
-cte("wf2", """SELECT t.ticker, t.win, regr_slope(a.y, a.x) AS b, regr_intercept(a.y, a.x) AS c, count(*) AS n_train FROM (SELECT DISTINCT ticker, win FROM wf1 WHERE win BETWEEN 1 AND 4) t
+cte("sup_one", "SELECT ticker, date, y, energy_index AS x FROM panel WHERE y IS NOT NULL AND energy_index IS NOT NULL", "panel")
+cte("wf1", windows_sql("sup_one"), "sup_one")
+cte("wf2", """SELECT t.ticker, t.win, regr_slope(a.y, a.x) AS b, regr_intercept(a.y, a.x) AS c, count(*) AS n_train FROM (SELECT DISTINCT ticker, win FROM wf1 WHERE win > 0) t
     JOIN wf1 a ON a.ticker = t.ticker AND a.win < t.win GROUP BY 1, 2""", "wf1")
 
 
 @query("val7_walk_forward_one_factor", sql("""SELECT ticker, win AS "window", any_value(n_train) AS n_train, count(*) AS n_test, round(1 - sum((y - c - b * x) ** 2) / (var_pop(y) * count(*)), 5) AS r2, round(sqrt(avg((y - c - b * x) ** 2)), 6) AS rmse
-    FROM wf1 JOIN wf2 USING (ticker, win) GROUP BY 1, 2 HAVING count(*) >= 20""", "wf1", "wf2"))
+    FROM wf1 JOIN wf2 USING (ticker, win) GROUP BY 1, 2""", "wf1", "wf2"))
 def _(spark, d):
     w = V.walk_forward(supervised(spark, d, ["energy_index"]), "log_return", ["energy_index"])
     return rounded(w, 6, r2=5)
@@ -265,28 +266,59 @@ def _(spark, d):
 
 cte("tv", f"""SELECT ticker, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) FILTER (ok IS NOT NULL) AS direction, 1 - sum((va - vp) ** 2) / (var_pop(va) * count(va)) AS volatility_r2, stddev_samp(predicted) / stddev_samp(actual) AS volatility_ratio FROM (
     SELECT *, sign(actual - lag(actual) {WT})) = sign(predicted - lag(predicted) {WT})) AS ok, {roll('stddev_samp', 'actual', 5)} AS va, {roll('stddev_samp', 'predicted', 5)} AS vp FROM pred_ok) GROUP BY 1""", "pred_ok")
-cte("stat", "SELECT ticker, count(*) AS considered, count(*) FILTER (abs(corr) < 0.1) AS stationary FROM bh GROUP BY 1", "bh")
-cte("leak_n", f"SELECT ticker, count(*) FILTER ({FLAGS} <> '') AS leakage_flags, count(*) AS factors FROM leak GROUP BY 1", "leak")
-cte("risk", f"""SELECT ticker, leakage_flags, factors, considered, stationary / considered AS stationary_ratio, normalized_shift, r2 AS perf_r2,
-    least(1.0, greatest(0.0, 0.35 * least(1.0, leakage_flags / greatest(1, factors)) + 0.25 * greatest(0.0, 1 - stationary / considered) + 0.20 * least(1.0, greatest(0.0, normalized_shift / 5.0)) + 0.20 * {BAND.format(c='r2')})) AS risk_score
-    FROM leak_n JOIN stat USING (ticker) JOIN shift USING (ticker) JOIN pm USING (ticker)""", "leak_n", "stat", "shift", "pm")
-
-
-def risk_table(spark, d):
-    """Per-ticker inputs of the risk score; a factor weakly tied to the target stands in for a stationary one."""
-    s = stage(supervised(spark, d))
-    lf = s.withColumn("echo", F.col("log_return") * 2).withColumn("prophet", F.lag("log_return").over(series("ticker")))
-    lk = V.leakage(lf, "log_return", LEAK2).groupBy("ticker").agg(F.count_if(F.size("flags") > 0).alias("leakage_flags"), F.count("*").alias("factors"))
-    link = V.leakage(s, "log_return", MAC)
-    st = V.stationary_ratio(link.withColumn("is_stationary", F.abs("corr") < 0.1)).select("ticker", "considered", F.col("ratio").alias("stationary_ratio"))
-    sh = V.target_shift(V.with_split(s), "log_return").select("ticker", "normalized_shift")
-    pm = V.regression_metrics(naive_predictions(spark, d)).select("ticker", F.col("r2").alias("perf_r2"))
-    return V.model_risk(lk.join(st, "ticker").join(sh, "ticker").join(pm, "ticker")), s
-
-
-@query("val15_model_risk", sql("SELECT ticker, leakage_flags, factors, round(stationary_ratio, 5) AS stationary_ratio, round(normalized_shift, 5) AS normalized_shift, round(perf_r2, 5) AS perf_r2, round(risk_score, 5) AS risk_score FROM risk", "risk"))
+# a governed run is one publication lag: all runs of all tickers go through the same operators under the key ticker|lag
+cte("gsup", f"SELECT ticker || '|' || lag AS ticker, date, log_return, {', '.join(MAC)} FROM sup_lags", "sup_lags")
+cte("gsplit", "SELECT *, i <= greatest(24, least(floor(n * 0.8), n - 5)) AS is_train FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM gsup)", "gsup")
+cte("gclip", f"SELECT ticker, date, is_train, log_return, {', '.join(f'greatest(q_{f}[1], least(q_{f}[2], {f})) AS {f}' for f in MAC)} FROM (SELECT *, " + ", ".join(f"quantile_cont(CASE WHEN is_train THEN {f} END, [0.01, 0.99]) OVER (PARTITION BY ticker) AS q_{f}" for f in MAC) + " FROM gsplit)", "gsplit")
+cte("gtrain", "SELECT * FROM gclip WHERE is_train", "gclip")
+least_squares("gfit", "gtrain", "ticker", MAC, "log_return", "gtrain")
+cte("gpred", f"SELECT r.ticker, r.date, r.log_return AS actual, {fitted_sql(MAC)} AS predicted FROM gfit f JOIN gclip r ON r.ticker = f.ticker AND NOT r.is_train", "gfit", "gclip")
+cte("gmet", metric_sql("gpred", "ticker", "actual", "predicted"), "gpred")
+band_ctes("gband", "gpred", 100)
+cte("gtv", f"""SELECT ticker, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) FILTER (ok IS NOT NULL) AS direction, 1 - sum((va - vp) ** 2) / (var_pop(va) * count(va)) AS volatility_r2, stddev_samp(predicted) / stddev_samp(actual) AS volatility_ratio FROM (
+    SELECT *, sign(actual - lag(actual) {WT})) = sign(predicted - lag(predicted) {WT})) AS ok, {roll('stddev_samp', 'actual', 5)} AS va, {roll('stddev_samp', 'predicted', 5)} AS vp FROM gpred) GROUP BY 1""", "gpred")
+cte("gshift", """SELECT ticker, abs(avg(log_return) FILTER (NOT is_train) - avg(log_return) FILTER (is_train)) / greatest(abs(stddev_samp(log_return) FILTER (is_train)), 1e-9) AS normalized_shift FROM gsplit GROUP BY 1""", "gsplit")
+cte("gconc", "SELECT ticker, max(w) AS top_share FROM (SELECT ticker, abs(c) / sum(abs(c)) OVER (PARTITION BY ticker) AS w FROM (" + " UNION ALL ".join(f"SELECT ticker, b[{i}] * sd[{i}] AS c FROM gfit" for i in range(1, len(MAC) + 1)) + ")) GROUP BY 1", "gfit")
+unit_root_ctes("gunit", "gsup", ["log_return", *MAC])
+cte("gstat", "SELECT ticker, count(is_stationary) AS considered, count(*) FILTER (is_stationary) AS stationary FROM gunit GROUP BY 1", "gunit")
+cte("gwf", windows_sql("gsup"), "gsup")
+cte("gwf_train", f"SELECT t.ticker, t.win, r.log_return, {', '.join(f'r.{x}' for x in MAC)} FROM (SELECT DISTINCT ticker, win FROM gwf WHERE win > 0) t JOIN gwf r ON r.ticker = t.ticker AND r.win < t.win", "gwf")
+least_squares("gwf_fit", "gwf_train", "ticker, win", MAC, "log_return", "gwf_train")
+cte("gwfs", f"""SELECT ticker, count(*) AS windows, avg(r2) AS wf_avg_r2, avg(greatest(-2.0, least(1.0, r2))) AS perf_r2, CASE WHEN count(*) >= 4 THEN quantile_cont(r2, 0.9) ELSE max(r2) END AS wf_band_high
+    FROM ({test_score('gwf_fit', 'gwf', ('ticker', 'win'), 'TRUE')}) GROUP BY 1""", "gwf_fit", "gwf")
+cte("glink", f"SELECT ticker, factor, count(*) AS n, corr(log_return, v) AS corr, corr(log_return, ld) AS lead_corr, corr(log_return, lg) AS lag_corr FROM (SELECT *, lead(v) {WTF.replace('feature', 'factor')}) AS ld, lag(v) {WTF.replace('feature', 'factor')}) AS lg FROM gsup UNPIVOT (v FOR factor IN ({', '.join(MAC)}))) GROUP BY 1, 2", "gsup")
+cte("gbh", f"SELECT *, max(CASE WHEN p <= r / m * 0.05 THEN r END) OVER (PARTITION BY ticker) AS top FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY p, factor) AS r, count(*) OVER (PARTITION BY ticker) AS m FROM (SELECT *, least(1.0, {POLY} * exp(-x * x)) AS p FROM (SELECT *, {X_} AS x, {T_} AS t FROM glink)))", "glink")
+cte("gleak", """SELECT ticker, count(*) AS factors, sum(CAST(abs(corr) > 0.995 AS INT) + CAST(abs(lead_corr) > abs(lag_corr) + CASE WHEN n >= 60 THEN 0.15 ELSE 0.25 END AS INT) + CAST(coalesce(r <= top, false) AND abs(corr) > CASE WHEN n >= 60 THEN 0.95 ELSE 0.98 END AS INT))::BIGINT AS leakage_flags FROM gbh GROUP BY 1""", "gbh")
+cte("risk", f"""SELECT *, least(1.0, greatest(0.0, 0.35 * least(1.0, leakage_flags / greatest(1, factors)) + 0.25 * greatest(0.0, 1 - stationary / considered) + 0.20 * least(1.0, greatest(0.0, normalized_shift / 5.0)) + 0.20 * {BAND.format(c='perf_r2')})) AS risk_score
+    FROM gleak JOIN gstat USING (ticker) JOIN gshift USING (ticker) JOIN gwfs USING (ticker)""", "gleak", "gstat", "gshift", "gwfs")
+RUN = "split_part(ticker, '|', 1) AS ticker, split_part(ticker, '|', 2)::BIGINT AS run_id"
+
+
+def runs_of(t):
+    """Results under ticker|lag with the two parts as columns."""
+    parts = F.split("ticker", r"\|")
+    return t.select(parts[0].alias("ticker"), parts[1].cast("long").alias("run_id"), *[c for c in t.columns if c != "ticker"])
+
+
+def governed(spark, d):
+    frames = [f.select(F.concat_ws("|", "ticker", F.lit(k)).alias("ticker"), "date", "log_return", *MAC) for k, f in lag_frames(spark, d).items()]
+    every = frames[0]
+    for f in frames[1:]:
+        every = every.unionByName(f)
+    return stage(every)
+
+
+def report(spark, d):
+    """The gate's input of every ticker and run; the publication lag of a run is read from the panel's own description."""
+    frame = governed(spark, d)
+    lags = values_table(spark, ("run", "max_lag"), [(k, T.publication_lag(MAC, k)) for k in LAGS])
+    keys = frame.select("ticker").distinct().join(F.broadcast(lags), F.split("ticker", r"\|")[1].cast("long") == F.col("run")).select("ticker", "max_lag")
+    return stage(V.governance_report(frame, "log_return", MAC, keys))
+
+
+@query("val15_model_risk", sql(f"SELECT {RUN}, leakage_flags, factors, round(stationary / considered, 5) AS stationary_ratio, round(normalized_shift, 5) AS normalized_shift, round(perf_r2, 5) AS perf_r2, round(risk_score, 5) AS risk_score FROM risk", "risk"))
 def _(spark, d):
-    return rounded(risk_table(spark, d)[0].select("ticker", "leakage_flags", "factors", "stationary_ratio", "normalized_shift", "perf_r2", "risk_score"), 5)
+    return rounded(runs_of(report(spark, d)).select("ticker", "run_id", "leakage_flags", "factors", "stationary_ratio", "normalized_shift", "perf_r2", "risk_score"), 5)
 
 
 @query("val16_trend_volatility", sql("SELECT ticker, round(direction, 5) AS direction, round(volatility_r2, 5) AS volatility_r2, round(volatility_ratio, 5) AS volatility_ratio FROM tv", "tv"))
@@ -294,46 +326,42 @@ def _(spark, d):
     return rounded(V.trend_volatility(naive_predictions(spark, d)), 5)
 
 
-@query("val17_freshness", sql("SELECT 45::BIGINT AS max_lag, true AS aligned, count(*) AS n_rows FROM master", "master"))
+@query("val17_freshness", sql("SELECT lag AS run_id, lag AS max_lag, lag <= 60 AS aligned, count(*) AS n_rows FROM sup_lags GROUP BY 1", "sup_lags"))
 def _(spark, d):
-    m = master(spark, d)
-    return V.freshness(T.panel_meta(m, ["log_return", *MAC])).withColumn("n_rows", m.select(F.count("*")).scalar())
+    """Largest publication lag of the panel behind each run, and the rows it leaves."""
+    out = None
+    for k, f in lag_frames(spark, d).items():
+        one = V.freshness(T.panel_meta(f, ["log_return", *MAC], macro_lag=k)).select(F.lit(k).cast("long").alias("run_id"), F.col("max_lag").cast("long").alias("max_lag"), "aligned").withColumn("n_rows", f.select(F.count("*")).scalar())
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("val18_stationary_ratio", sql("SELECT ticker, considered, stationary, round(stationary / considered, 6) AS ratio, CASE WHEN considered < 4 THEN 0.25 ELSE 0.1 END::DOUBLE AS floor, stationary / considered >= CASE WHEN considered < 4 THEN 0.25 ELSE 0.1 END AS ok FROM stat", "stat"))
+@query("val18_stationary_ratio", sql(f"SELECT {RUN}, considered, stationary, round(stationary / considered, 6) AS ratio, CASE WHEN considered < 4 THEN 0.25 ELSE 0.1 END::DOUBLE AS floor, stationary / considered >= CASE WHEN considered < 4 THEN 0.25 ELSE 0.1 END AS ok FROM gstat", "gstat"))
 def _(spark, d):
-    link = V.leakage(supervised(spark, d), "log_return", MAC)
-    return rounded(V.stationary_ratio(link.withColumn("is_stationary", F.abs("corr") < 0.1)))
+    return rounded(runs_of(V.stationary_ratio(V.stationarity(governed(spark, d), ["log_return", *MAC]))))
 
 
-# what the gate reads: walk-forward windows of the one-factor model, and the spread of yearly fits
-cte("wf_r2", """SELECT ticker, win, 1 - sum((y - c - b * x) ** 2) / (var_pop(y) * count(*)) AS r2 FROM wf1 JOIN wf2 USING (ticker, win) GROUP BY 1, 2 HAVING count(*) >= 20""", "wf1", "wf2")
-cte("wfs", "SELECT ticker, avg(r2) AS wf_avg_r2, CASE WHEN count(*) >= 4 THEN quantile_cont(r2, 0.9) ELSE max(r2) END AS wf_band_high FROM wf_r2 GROUP BY 1", "wf_r2")
-cte("yearly", """SELECT ticker, quantile_cont(r2, 0.9) AS r2_band_high FROM (SELECT ticker, year(date) AS y, 1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) AS r2 FROM pred_ok GROUP BY 1, 2) GROUP BY 1""", "pred_ok")
-cte("rep", """SELECT r.ticker, r2 AS oos_r2, r2_band_high, direction, volatility_r2, volatility_ratio, normalized_shift, leakage_flags, stationary_ratio, considered, wf_avg_r2, wf_band_high,
-    top_share, 45 AS max_lag, risk_score FROM risk r JOIN pm USING (ticker) JOIN tv USING (ticker) JOIN conc USING (ticker) JOIN wfs USING (ticker) JOIN yearly USING (ticker)""", "risk", "pm", "tv", "conc", "wfs", "yearly")
-cte("gate", """SELECT ticker, concat_ws(',', CASE WHEN oos_r2 < -0.25 THEN CASE WHEN r2_band_high >= -0.25 THEN 'oos_r2_low_but_band_clears' WHEN direction >= 0.55 AND (volatility_r2 >= 0 OR volatility_ratio BETWEEN 0.5 AND 1.8) THEN 'oos_r2_low_but_trend_volatility_ok'
+cte("rep", """SELECT r.ticker, r2 AS oos_r2, high AS r2_band_high, direction, volatility_r2, volatility_ratio, normalized_shift, leakage_flags, stationary / considered AS stationary_ratio, considered, wf_avg_r2, wf_band_high, windows,
+    top_share, split_part(r.ticker, '|', 2)::BIGINT AS max_lag, risk_score FROM risk r JOIN gmet USING (ticker) JOIN gtv USING (ticker) JOIN gconc USING (ticker) JOIN gband USING (ticker)""", "risk", "gmet", "gtv", "gconc", "gband")
+WF_MIN = "CASE WHEN windows < 4 THEN -1.0 ELSE -0.25 END"
+cte("gate", f"""SELECT {RUN}, concat_ws(',', CASE WHEN oos_r2 < -0.25 THEN CASE WHEN r2_band_high >= -0.25 THEN 'oos_r2_low_but_band_clears' WHEN direction >= 0.55 AND (volatility_r2 >= 0 OR volatility_ratio BETWEEN 0.5 AND 1.8) THEN 'oos_r2_low_but_trend_volatility_ok'
       WHEN oos_r2 >= -0.1 THEN 'oos_r2_mildly_negative' ELSE 'oos_r2_low' END END,
-      CASE WHEN wf_avg_r2 < -0.25 THEN CASE WHEN wf_band_high >= -0.25 THEN 'walk_forward_low_but_band_clears' WHEN wf_avg_r2 < -5 AND oos_r2 >= -0.25 THEN 'walk_forward_unstable_but_oos_ok' ELSE 'walk_forward_low' END END,
-      CASE WHEN top_share > 0.65 THEN 'factor_concentration' END, CASE WHEN risk_score > 0.6 THEN 'model_risk_above_limit' END) AS advisory,
-    concat_ws(',', CASE WHEN normalized_shift > 2.5 THEN 'mean_shift_above_limit' END, CASE WHEN leakage_flags > 1 THEN 'leakage_flags_above_limit' END, CASE WHEN stationary_ratio < 0.1 THEN 'stationary_ratio_below_limit' END) AS blocking, risk_score FROM rep""", "rep")
+      CASE WHEN wf_avg_r2 < {WF_MIN} THEN CASE WHEN wf_band_high >= {WF_MIN} THEN 'walk_forward_low_but_band_clears' WHEN wf_avg_r2 < -5 AND oos_r2 >= -0.25 THEN 'walk_forward_unstable_but_oos_ok' ELSE 'walk_forward_low' END END,
+      CASE WHEN top_share > 0.65 THEN 'factor_concentration' END, CASE WHEN max_lag > 60 THEN 'publication_lag_exceeds_policy' END, CASE WHEN risk_score > 0.6 THEN 'model_risk_above_limit' END) AS advisory,
+    concat_ws(',', CASE WHEN normalized_shift > 2.5 THEN 'mean_shift_above_limit' END, CASE WHEN leakage_flags > 1 THEN 'leakage_flags_above_limit' END, CASE WHEN stationary_ratio < CASE WHEN considered < 4 THEN 0.25 ELSE 0.1 END THEN 'stationary_ratio_below_limit' END) AS blocking,
+    risk_score, wf_avg_r2 FROM rep""", "rep")
+cte("dec2", "SELECT *, CASE WHEN risk_score >= 0.6 THEN 'fail' WHEN risk_score >= 0.4 THEN 'warn' WHEN advisory <> '' THEN 'warn' WHEN blocking <> '' THEN 'fail' ELSE 'pass' END AS severity, blocking = '' AS passed FROM gate", "gate")
 
 
-def report(spark, d):
-    risk, s = risk_table(spark, d)
-    p = stage(naive_predictions(spark, d))
-    m = V.regression_metrics(p).select("ticker", F.col("r2").alias("oos_r2"))
-    j = risk.join(m, "ticker").join(V.trend_volatility(p), "ticker").join(V.concentration(scaled_betas(s)), "ticker")
-    wf = V.walk_forward_summary(V.walk_forward(supervised(spark, d, ["energy_index"]), "log_return", ["energy_index"])).select(
-        "ticker", F.col("avg_r2").alias("wf_avg_r2"), F.col("band_high").alias("wf_band_high"), F.col("windows").alias("windows_completed"))
-    years = V.regression_metrics(p.withColumn("year", F.year("date")), ("ticker", "year")).groupBy("ticker").agg(F.percentile("r2", F.lit(0.9)).alias("r2_band_high"))
-    return j.join(wf, "ticker").join(years, "ticker").withColumn("windows_requested", F.lit(4)).withColumn("max_lag", F.lit(45))
+def decisions(spark, d):
+    """(ticker, run_id, advisory, blocking, severity, passed, risk_score, wf_avg_r2) of the gate, one run per publication lag."""
+    r = report(spark, d)
+    return stage(runs_of(V.gate(r, V.policy_for(r), hard_fail=True)))
 
 
-@query("val19_gate", sql("""SELECT ticker, advisory, blocking, CASE WHEN risk_score >= 0.6 THEN 'fail' WHEN risk_score >= 0.4 THEN 'warn' WHEN advisory <> '' THEN 'warn' WHEN blocking <> '' THEN 'fail' ELSE 'pass' END AS severity, blocking = '' AS passed, round(risk_score, 5) AS risk_score FROM gate""", "gate"))
+@query("val19_gate", sql("SELECT ticker, run_id, advisory, blocking, severity, passed, round(risk_score, 5) AS risk_score FROM dec2", "dec2"))
 def _(spark, d):
-    r = report(spark, d)
-    g = V.gate(r, V.policy_for(r), hard_fail=True).drop("wf_avg_r2")
+    g = decisions(spark, d).drop("wf_avg_r2")
     return rounded(g.withColumn("advisory", F.array_join("advisory", ",")).withColumn("blocking", F.array_join("blocking", ",")), 5)
 
 
@@ -348,25 +376,12 @@ def _(spark, d):
     return rounded(p.select("ticker", "min_r2", "max_model_risk_score", "max_normalized_shift"))
 
 
-@query("val21_decision_log", sql("SELECT run_id, count(*) AS n FROM gate, (VALUES ('a'), ('b')) r(run_id) GROUP BY 1", "gate"))
+@query("val21_decision_log", sql("SELECT run_id, count(*) AS n, count(*) FILTER (severity = 'fail') AS failed FROM (SELECT ticker, severity, r.run_id FROM dec2, (VALUES ('a'), ('b')) r(run_id)) GROUP BY 1", "dec2"))
 def _(spark, d):
-    r, path = report(spark, d), _sink_path(spark)
-    g = stage(V.gate(r, V.policy_for(r), hard_fail=True))
+    g, path = decisions(spark, d).withColumnRenamed("run_id", "lag"), _sink_path(spark)
     V.append_decisions(g, path, "a")
     V.append_decisions(g, path, "b")
-    return spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("n"))
-
-
-# a year of naive predictions per ticker stands for one governed run
-cte("dec", f"""SELECT year(date) AS run_id, ticker, 1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) AS wf_avg_r2 FROM pred_ok GROUP BY 1, 2""", "pred_ok")
-cte("dec2", f"SELECT *, CASE WHEN risk_score >= 0.6 THEN 'fail' WHEN risk_score >= 0.4 THEN 'warn' ELSE 'pass' END AS severity, risk_score < 0.6 AS passed FROM (SELECT *, least(1.0, greatest(0.0, 0.1 - wf_avg_r2 / 4)) AS risk_score FROM dec)", "dec")
-
-
-def decisions(spark, d):
-    p = naive_predictions(spark, d).withColumn("run_id", F.year("date").cast("long"))
-    m = V.regression_metrics(p, ("run_id", "ticker")).select("run_id", "ticker", F.col("r2").alias("wf_avg_r2"))
-    m = m.withColumn("risk_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.1 - F.col("wf_avg_r2") / 4)))
-    return m.withColumn("severity", F.when(F.col("risk_score") >= 0.6, "fail").when(F.col("risk_score") >= 0.4, "warn").otherwise("pass")).withColumn("passed", F.col("risk_score") < 0.6)
+    return spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "fail").alias("failed"))
 
 
 @query("val22_worst_decision", sql("""SELECT run_id, ticker, severity, round(risk_score, 5) AS risk_score, decisions FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS decisions, row_number() OVER (PARTITION BY run_id ORDER BY
@@ -383,10 +398,11 @@ def _(spark, d):
     return rounded(V.decision_trend(decisions(spark, d), 5), 5)
 
 
-@query("val24_blocked_results", sql("""SELECT year(date) AS run_id, ticker, CASE WHEN (year(date), ticker) IN (SELECT (run_id, ticker) FROM dec2 WHERE severity = 'fail') THEN 'blocked' ELSE 'allowed' END AS state, count(*) AS n FROM px GROUP BY 1, 2, 3""", "px", "dec2"))
+@query("val24_blocked_results", sql(f"""SELECT run_id, ticker, CASE WHEN severity = 'fail' OR NOT passed THEN 'blocked' ELSE 'allowed' END AS state, count(*) AS n FROM (SELECT {RUN}, date FROM gpred) JOIN dec2 USING (ticker, run_id) GROUP BY 1, 2, 3""", "gpred", "dec2"))
 def _(spark, d):
-    px = B.bars(spark, d).withColumn("run_id", F.year("date").cast("long"))
-    ok, no = V.split_blocked(px, decisions(spark, d), ("run_id", "ticker"))
+    """Test predictions of every run, marked by the gate's decision on the run."""
+    p = runs_of(V.split_model(governed(spark, d), "log_return", MAC)[0])
+    ok, no = V.split_blocked(p, decisions(spark, d), ("run_id", "ticker"))
     both = ok.withColumn("state", F.lit("allowed")).unionByName(no.withColumn("state", F.lit("blocked")))
     return both.groupBy("run_id", "ticker", "state").agg(F.count("*").alias("n"))
 
