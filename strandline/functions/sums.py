@@ -130,6 +130,23 @@ def fields(**kinds: T.DataType) -> T.StructType:
 DBL, LNG, STR, FLAG = T.DoubleType(), T.LongType(), T.StringType(), T.BooleanType()
 
 
+def with_gaps(xs: Sequence[str]) -> tuple[dict[str, Column], list[str]]:
+    """Columns for sums from which any filling of gaps can be derived later: each factor with 0 for a gap, and a mark for the gap."""
+    known = {f"_x_{x}": F.when(F.col(x).isNotNull() & ~F.isnan(x), F.col(x)).otherwise(0.0) for x in xs}
+    marks = {f"_g_{x}": (F.col(x).isNull() | F.isnan(x)).cast("double") for x in xs}
+    return known | marks, [*known, *marks]
+
+
+def filled(m: np.ndarray, values: Sequence[float]) -> np.ndarray:
+    """Sums over (1, x, y) with gaps filled by `values`, from sums over (1, x with 0, marks, y): x + value * mark is linear in both."""
+    p = len(values)
+    a = np.zeros((p + 2, 2 * p + 2))
+    a[0, 0] = a[-1, -1] = 1.0
+    a[np.arange(1, p + 1), np.arange(1, p + 1)] = 1.0
+    a[np.arange(1, p + 1), np.arange(p + 1, 2 * p + 1)] = values
+    return a @ m @ a.T
+
+
 # --- Arrow-batched wrappers: one input row per group -------------------------------------------------
 @F.pandas_udf(fields(intercept=DBL, coef=T.ArrayType(DBL), pred_mean=DBL, pred_sd=DBL))
 def ridge_udf(train: pd.Series, alpha: pd.Series) -> pd.DataFrame:
@@ -190,8 +207,8 @@ def vif_udf(sums: pd.Series, names: pd.Series) -> pd.Series:
 def first_t_udf(sums: pd.Series, count: pd.Series) -> pd.Series:
     """t statistic of the first factor in a regression with intercept on the first `count` factors."""
     def one(s, k):
-        m = matrix(s)
-        if m[0, 0] <= k + 1:
+        m = matrix(s)  # no rows: NULLs, which are NaN here
+        if not m[0, 0] > k + 1:
             return float("nan")
         o = ols(subset(m, range(int(k))))
         return float(o["coef"][0] / o["se"][0]) if o["se"][0] > 0 else float("nan")
@@ -217,6 +234,15 @@ def ar_forecast_udf(sums: pd.Series, last: pd.Series, steps: pd.Series) -> pd.Se
     return pd.Series(out)
 
 
+@F.pandas_udf(fields(train=T.ArrayType(DBL), test=T.ArrayType(DBL)))
+def filled_udf(train: pd.Series, test: pd.Series, values: pd.Series) -> pd.DataFrame:
+    """Both sums with gaps filled by the values, which are NULL for a factor that is not known yet (it then counts as 0)."""
+    def one(s, v):
+        m = filled(matrix(s), [0.0 if x is None or x != x else float(x) for x in v])
+        return m[np.triu_indices(len(m))].tolist()
+    return pd.DataFrame({"train": [one(s, v) for s, v in zip(train, values)], "test": [one(s, v) for s, v in zip(test, values)]})
+
+
 def predict(df: DataFrame, models: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
     """Adds `predicted`, and z against the model's own train predictions; arithmetic stays in the JVM."""
     j = df.join(models.select(*keys, "intercept", "coef", "pred_mean", "pred_sd"), list(keys))

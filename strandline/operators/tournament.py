@@ -22,6 +22,7 @@ from ..functions import sums as S
 from ..functions.columns import finite, values_table
 from ..functions.quantiles import by_feature, expanding_quantiles
 from ..functions.stage import stage
+from ..functions.sums import centred, matrix, score  # by name: workers get these functions, not the module with its session's objects
 from .regress import RIDGE_GRID, with_folds
 
 DEPTHS, LEAVES, TREES, BLOCK, SEED = (3, 5, 64), (2, 4, 8), 200, 25, 42  # no series is deep enough to reach 64 levels of halves
@@ -63,7 +64,7 @@ def descent(q: np.ndarray, c: np.ndarray, one: float, two: float, start: np.ndar
 def linear_fits(m: np.ndarray, settings: Sequence[tuple[str, dict]], spread: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
     """(intercept, coefficients) of each setting from the sums of the train rows. Penalties act on factors divided by `spread`, by default
     their standard deviation: |y - xw|^2 + a |w|^2 for ridge, |y - xw|^2 / 2n + a l |w|_1 + a (1 - l) |w|^2 / 2 for the others."""
-    n, mean, c = S.centred(m)
+    n, mean, c = centred(m)
     sd = np.sqrt(np.maximum(np.diag(c)[:-1] / n, 0.0)) if spread is None else np.asarray(spread, float)
     sd = np.where(sd > 0, sd, 1.0)
     flat = np.diag(c)[:-1] <= 1e-12 * (np.diag(c)[:-1] + n * mean[:-1] ** 2)  # a constant factor takes no part
@@ -88,10 +89,10 @@ def linear_udf(settings: Sequence[tuple[str, dict]], scaled: bool = False):
     def fitted(train, test, units):
         out = []
         for a, b, u in zip(train, test, units):
-            ma, mb = S.matrix(a), S.matrix(b)
+            ma, mb = matrix(a), matrix(b)
             rows = []
             for i, (b0, w) in enumerate(linear_fits(ma, settings, u)):
-                r2, rmse = S.score(mb, b0, w)
+                r2, rmse = score(mb, b0, w)
                 rows.append({"variant": i, "r2": r2, "rmse": rmse, "n_train": int(ma[0, 0]), "n_test": int(mb[0, 0]), "intercept": b0, "coef": w.tolist()})
             out.append(rows)
         return pd.Series(out)
@@ -310,3 +311,50 @@ def holdout_models(frame: DataFrame, y: str, xs: Sequence[str], train_share: flo
     models = per.join(shares, ["ticker", "model"]).select("ticker", "model", "cv_r2", "best", "holdout_r2", "holdout_mae", "factor", "importance")
     predictions = every.join(last, "ticker").where(held).join(per.where("best").select("ticker", "model"), ["ticker", "model"]).select("ticker", "date", F.col("y").alias("actual"), F.col("predicted").alias("prediction"))
     return models, predictions
+
+
+# --- VAL-7: gaps filled and models chosen inside each window --------------------------------------------
+def window_sums(windowed: DataFrame, y: str, xs: Sequence[str], windows: int) -> DataFrame:
+    """(ticker, window, train, test) sums with gaps of both sides filled by the medians of the window's train rows.
+
+    Rows are read once: sums of values and gap marks are cumulated over windows, and medians come from one sort for all windows.
+    """
+    columns, names = S.with_gaps(xs)
+    e = S.expanding_sums(windowed.withColumns(columns), ["ticker"], "window", names, y)
+    return e.join(window_medians(windowed, xs, windows), ["ticker", "window"], "left").select("ticker", "window", S.filled_udf("train", "test", known(xs)).alias("s")).select("ticker", "window", "s.*")
+
+
+def window_medians(windowed: DataFrame, xs: Sequence[str], windows: int) -> DataFrame:
+    q = expanding_quantiles(windowed, ["ticker"], "window", windows, xs, (0.5,))
+    return by_feature(q, ["ticker", "window"], xs, F.col("q")[0])
+
+
+def known(xs: Sequence[str]) -> Column:
+    """Medians, as NULLs where no factor has a value yet."""
+    return F.coalesce("stats", F.array(*[F.lit(None).cast("double")] * len(xs)))
+
+
+def walk_forward_chosen(windowed: DataFrame, y: str, xs: Sequence[str], windows: int, choose: bool = True, least: int = 50) -> DataFrame:
+    """(ticker, window, model, params, cv_r2, r2, rmse, n_train, n_test) of walk-forward windows (`with_windows`) with gaps in factors.
+
+    Each window picks its model by folds inside its own train rows, where it has `least` of them, and least squares otherwise or without `choose`.
+    The choice covers the linear families; rows meet each later window once, so choosing costs `windows` times the rows, summed before they are shuffled.
+    """
+    windowed = stage(windowed.select("ticker", "date", "window", y, *xs))
+    settings = linear_settings() if choose else linear_settings()[:1]
+    outer = stage(window_sums(windowed, y, xs, windows).select("ticker", "window", F.inline(linear_udf(settings)("train", "test"))))
+    named = F.broadcast(values_table(windowed.sparkSession, ("variant", "model", "params"), [(i, m, described(p)) for i, (m, p) in enumerate(settings)]).withColumn("variant", F.col("variant").cast("int")))
+    if choose:
+        later = windowed.where(F.col("window") < windows).withColumn("window", F.explode(F.sequence(F.col("window") + 1, F.lit(windows).cast("long"))))
+        columns, names = S.with_gaps(xs)
+        folded = with_folds(later, ("ticker", "window")).withColumns(columns)
+        inner = S.expanding_sums(folded, ["ticker", "window"], "fold", names, y).join(window_medians(windowed, xs, windows), ["ticker", "window"], "left")
+        inner = inner.select("ticker", "window", "fold", S.filled_udf("train", "test", known(xs)).alias("s")).select("ticker", "window", F.inline(linear_udf(settings)("s.train", "s.test")))
+        mean = inner.groupBy("ticker", "window", "variant").agg(F.avg(finite("r2")).alias("m"))
+        order = F.struct(F.coalesce(F.round(-F.col("m"), 12), F.lit(float("inf"))).alias("r"), "variant")
+        best = mean.groupBy("ticker", "window").agg(F.min_by("variant", order).alias("best"), F.max("m").alias("cv_r2"))
+        outer = outer.join(best, ["ticker", "window"], "left")
+        outer = outer.withColumn("best", F.when(F.col("n_train") >= least, F.coalesce("best", F.lit(0))).otherwise(0)).withColumn("cv_r2", F.when(F.col("n_train") >= least, F.col("cv_r2")))
+    else:
+        outer = outer.withColumns({"best": F.lit(0), "cv_r2": F.lit(None).cast("double")})
+    return outer.where(F.col("variant") == F.col("best")).join(named, "variant").select("ticker", "window", "model", "params", "cv_r2", finite("r2").alias("r2"), "rmse", "n_train", "n_test")

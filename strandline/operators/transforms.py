@@ -201,13 +201,13 @@ def publication_lag(columns: Sequence[str], macro_lag: int = 0) -> int:
 
 
 def supervised_frame(df: DataFrame, target: str, features: Sequence[str], macro_lag: int = 0, align: bool = True,
-                     least: int = 1, most: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """(ticker, date, target, features): forward target next to the panel, complete rows only."""
+                     least: int = 1, most: int | None = None, keep: Sequence[str] = (), complete: bool = True) -> DataFrame:
+    """(ticker, date, target, features): forward target next to the panel; complete rows only, or all rows with a target."""
     h = resolve_horizon(features, least, most) if align else 1
     d = with_target(df, target, h, "_y")
     d = with_panel_columns(d, features, macro_lag=macro_lag)
     return d.select("ticker", "date", *keep, F.col("_y").alias(target), *[F.col(f"t_{c}").alias(c) for c in features]).na.drop(
-        subset=[target, *features])
+        subset=[target, *features] if complete else [target])
 
 
 def importance_by_source(importance: DataFrame, feature: str = "feature", value: str = "importance", keys: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded, series, values_sql, values_table
 from ..functions.stage import stage
 from ..operators import backtest as K
+from ..operators import tournament as M
 from ..operators import transforms as T
 from ..operators import validate as V
 from ..sources import bindings as B
@@ -152,6 +153,29 @@ def band_ctes(name, source, draws=200, seed=42):
 
 band_ctes("wf_band", "wf_pred")
 
+# rows with gaps: features are unknown until their first release
+cte("gap_rows", f"SELECT ticker, date, y AS log_return, {', '.join(MAC)} FROM panel WHERE y IS NOT NULL", "panel")
+cte("gap_wf", windows_sql("gap_rows"), "gap_rows")
+cte("gap_med", f"SELECT t.ticker, t.win, {', '.join(f'coalesce(median(r.{x}), 0) AS m_{x}' for x in MAC)} FROM (SELECT DISTINCT ticker, win FROM gap_wf WHERE win > 0) t JOIN gap_wf r ON r.ticker = t.ticker AND r.win < t.win GROUP BY 1, 2", "gap_wf")
+cte("gap_train", f"SELECT t.ticker, t.win, r.log_return, {', '.join(f'coalesce(r.{x}, t.m_{x}) AS {x}' for x in MAC)} FROM gap_med t JOIN gap_wf r ON r.ticker = t.ticker AND r.win < t.win", "gap_med", "gap_wf")
+cte("gap_test", f"SELECT t.ticker, t.win, r.log_return, {', '.join(f'coalesce(r.{x}, t.m_{x}) AS {x}' for x in MAC)} FROM gap_med t JOIN gap_wf r ON r.ticker = t.ticker AND r.win = t.win", "gap_med", "gap_wf")
+least_squares("gap_fit", "gap_train", "ticker, win", MAC, "log_return", "gap_train", used=[f"c[{i}][{i}] > 0" for i in range(1, len(MAC) + 1)])
+
+
+def gap_windows(spark, d):
+    return V.with_windows(T.supervised_frame(master(spark, d), "log_return", MAC, complete=False))
+
+
+@query("val7_walk_forward_imputed", sql(f"""SELECT ticker, win AS "window", 'Linear' AS model, round(r2, 4) AS r2, round(rmse, 6) AS rmse, n_train, n_test FROM ({test_score('gap_fit', 'gap_test', ('ticker', 'win'), 'TRUE')})""", "gap_fit", "gap_test"))
+def _(spark, d):
+    w = M.walk_forward_chosen(gap_windows(spark, d), "log_return", MAC, 4, choose=False)
+    return rounded(w.drop("params", "cv_r2"), 6, r2=4)
+
+
+@query("val7_walk_forward_chosen")
+def _(spark, d):
+    return M.walk_forward_chosen(gap_windows(spark, d), "log_return", MAC, 4)
+
 
 @query("val8_bootstrap_band", sql("SELECT ticker, n, draws, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("point", "low", "high", "mean", "std")) + " FROM wf_band", "wf_band"))
 def _(spark, d):

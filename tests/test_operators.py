@@ -168,10 +168,11 @@ def test_stationarity_decision(spark):
     assert bool(got.loc["noise", "is_stationary"]) and not bool(got.loc["walk", "is_stationary"])
     x = np.cumsum(e)
     dx = np.diff(x)
-    a = np.column_stack([np.ones(len(dx) - 2), x[2:-1], dx[1:-1], dx[:-2]])
-    b, *_ = np.linalg.lstsq(a, dx[2:], rcond=None)
-    r = dx[2:] - a @ b
-    se = math.sqrt((r @ r) / (len(r) - 4) * np.linalg.inv(a.T @ a)[1, 1])
+    k = 8  # min(8, max(1, 600 // 50))
+    a = np.column_stack([np.ones(len(dx) - k), x[k:-1], *[dx[k - j:-j] for j in range(1, k + 1)]])
+    b, *_ = np.linalg.lstsq(a, dx[k:], rcond=None)
+    r = dx[k:] - a @ b
+    se = math.sqrt((r @ r) / (len(r) - k - 2) * np.linalg.inv(a.T @ a)[1, 1])
     assert got.loc["walk", "adf"] == pytest.approx(b[1] / se, rel=1e-6)
 
 
