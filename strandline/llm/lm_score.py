@@ -24,6 +24,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +41,7 @@ CLASSES, OWN, ROW_BITS = 64, 24, 15
 ROWS = 1 << ROW_BITS
 HEAD = 65_536
 ROUNDS, BATCH, RATE, FAN, BLOCKS = 2, 4096, 0.4, 64, 16
+TASK_TOKENS = 1 << 21  # of a round, for a task to train on
 SLICE = 2 << 20  # bytes of text at a time
 END = ""  # words are never empty
 
@@ -132,9 +134,14 @@ def averaged(rows: DataFrame) -> DataFrame:
     return rows.withColumn("task", F.floor(F.col("task") / FAN).cast("long")).groupBy("block", "task").applyInArrow(add, "block long, task long, n double, weights binary")
 
 
-def train(texts: DataFrame, own: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (row, class). texts: column text, and draw, a whole number that deals texts to rounds."""
+def train(texts: DataFrame, own: dict[str, int], rounds: int = ROUNDS, total: int | None = None) -> np.ndarray:
+    """Weights (row, class). texts: column text, and draw, a whole number that deals texts to rounds; total: their tokens.
+
+    A task takes about `TASK_TOKENS` tokens of a round, however the files are cut, so what tasks write is a fixed share of what they read.
+    """
     weights = np.zeros((ROWS, CLASSES), np.float32)
+    if total is not None:
+        texts = texts.coalesce(max(1, math.ceil(total / rounds / TASK_TOKENS)))
     for r in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast(weights)
 
@@ -176,6 +183,29 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, size: int) -> Head:
+    """The end and at most `size` of the most frequent words: those above a count that a histogram of counts gives.
+
+    Only the histogram (counts up to 1024 apart, larger ones in steps of a 32nd of a power of two) and the chosen words reach the driver.
+    """
+    words_ = counts.where(F.col("word") != END)
+    step = F.when(F.col("n") <= 1024, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 32) + 10_000)
+    steps = words_.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    taken, least = 0, None
+    for r in steps:
+        if taken + r["words"] > size:
+            break
+        taken, least = taken + r["words"], r["least"]
+    if least is None and steps and size > 0:  # more words than asked for share the highest step
+        top = words_.orderBy(F.desc("n"), "word").limit(size).collect()
+    else:
+        top = words_.where(F.col("n") >= least).collect() if least is not None else []
+    top = sorted(top, key=lambda r: (-r["n"], r["word"]))
+    end = counts.where(F.col("word") == END).first()
+    chosen = [*([end] if end else []), *top]
+    return Head([r["word"] for r in chosen], np.array([r["n"] for r in chosen], np.int64))
+
+
 def score(docs: DataFrame, learn, text: str = "text", doc_id: str = "doc_id", head_size: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. learn: a condition on doc_id
     that tells which rows are learned from."""
@@ -183,10 +213,10 @@ def score(docs: DataFrame, learn, text: str = "text", doc_id: str = "doc_id", he
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = rows.where(learn).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
     counts = stage(count_words(seen.select("text")))
-    top = counts.orderBy((F.col("word") == END).desc(), F.desc("n"), "word").limit(head_size).collect()
-    head = Head([r["word"] for r in top], np.array([r["n"] for r in top], np.int64))
+    head = frequent_words(counts, head_size)
     own = head.own()
-    weights = spark.sparkContext.broadcast(train(seen, own, rounds))
+    trained = counts.agg(F.sum("n")).first()[0] or 0
+    weights = spark.sparkContext.broadcast(train(seen, own, rounds, trained))
     known = spark.sparkContext.broadcast(head)
 
     def classed(batches):
