@@ -68,7 +68,7 @@ def repeated_windows(docs: DataFrame, base: DataFrame, window: int, kmer: int) -
     # one row per text and minimizer, with all its places; written counts, so that rows of a frequent minimizer can be split
     places = base.select("doc_id", F.explode("minimizers").alias("m")).select("doc_id", "m.h", "m.places")
     common = stage(places.groupBy("h").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("h"))
-    hits = stage(places.join(common, "h").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")))
+    hits = stage(places.join(common.hint("merge"), "h").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")))
 
     def edges(batches):
         for batch in slices(batches):
@@ -131,8 +131,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     base = stage(rows.select("doc_id", "text", F.sha2(joined("text"), 256).alias("sha")).mapInArrow(
         survey, "doc_id long, sha string, n_words long, minimizers array<struct<h:long,places:array<int>>>"))
     slim = base.select("doc_id", "sha", "n_words")
-    first = slim.groupBy("sha").agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "source")
-    copies = stage(slim.where(F.col("n_words") >= window).join(first, "sha").where("doc_id > source").select("doc_id", "source").distinct())
+    # written, and merged at every size, so that the rows of a large group of copies can be split
+    first = stage(slim.groupBy("sha").agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "source"))
+    copies = stage(slim.where(F.col("n_words") >= window).join(first.hint("merge"), "sha").where("doc_id > source").select("doc_id", "source").distinct())
     single = base.where(F.size("minimizers") > 0).select("doc_id", "minimizers").join(copies.select("doc_id"), "doc_id", "left_anti")
     paths = stage(repeated_windows(rows, single, window, kmer).mapInArrow(compacted(window), PATHS))
     changed = stage(cut(rows, paths))
