@@ -188,7 +188,7 @@ def frequent_words(counts: DataFrame, size: int) -> Head:
 
     Only the histogram (counts up to 1024 apart, larger ones in steps of a 32nd of a power of two) and the chosen words reach the driver.
     """
-    words_ = counts.where(F.col("word") != END)
+    words_ = counts.where(F.col("word") != END).select("word", "n")
     step = F.when(F.col("n") <= 1024, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 32) + 10_000)
     steps = words_.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
     taken, least = 0, None
@@ -196,14 +196,12 @@ def frequent_words(counts: DataFrame, size: int) -> Head:
         if taken + r["words"] > size:
             break
         taken, least = taken + r["words"], r["least"]
-    if least is None and steps and size > 0:  # more words than asked for share the highest step
-        top = words_.orderBy(F.desc("n"), "word").limit(size).collect()
-    else:
-        top = words_.where(F.col("n") >= least).collect() if least is not None else []
-    top = sorted(top, key=lambda r: (-r["n"], r["word"]))
-    end = counts.where(F.col("word") == END).first()
-    chosen = [*([end] if end else []), *top]
-    return Head([r["word"] for r in chosen], np.array([r["n"] for r in chosen], np.int64))
+    frequent = words_.where(F.col("n") >= least).collect() if least is not None else []
+    classes_ = words_.orderBy(F.desc("n"), "word").limit(OWN).collect()  # words that are classes of their own, whatever the size
+    top = sorted({*map(tuple, frequent), *map(tuple, classes_)}, key=lambda r: (-r[1], r[0]))
+    end = counts.where(F.col("word") == END).select("word", "n").first()
+    chosen = [*([tuple(end)] if end else []), *top]
+    return Head([r[0] for r in chosen], np.array([r[1] for r in chosen], np.int64))
 
 
 def score(docs: DataFrame, learn, text: str = "text", doc_id: str = "doc_id", head_size: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
