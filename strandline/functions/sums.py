@@ -234,6 +234,27 @@ def ar_forecast_udf(sums: pd.Series, last: pd.Series, steps: pd.Series) -> pd.Se
     return pd.Series(out)
 
 
+@F.pandas_udf(T.ArrayType(fields(step=LNG, forecast=DBL, lower=DBL, upper=DBL)))
+def arma_forecast_udf(sums: pd.Series, values: pd.Series, errors: pd.Series, steps: pd.Series) -> pd.Series:
+    """Forecasts from the sums of (1, lagged values, lagged errors, value); values and errors: the last ones, newest first."""
+    out = []
+    for s, v, e, h in zip(sums, values, errors, steps):
+        m, p, q = matrix(s), len(v), len(e)
+        b0, b = ridge(m, 0.0)
+        phi, theta = b[:p], b[p:]
+        sigma = score(m, b0, b)[1]
+        past, shocks, psi, var, res = list(v), list(e), [1.0], 0.0, []
+        for k in range(int(h)):
+            f = b0 + float(np.dot(phi, past[:p])) + float(np.dot(theta, shocks[:q]))
+            var += psi[k] ** 2
+            half = 1.6448536269514722 * sigma * math.sqrt(var)
+            res.append({"step": k + 1, "forecast": f, "lower": f - half, "upper": f + half})
+            past, shocks = [f, *past], [0.0, *shocks]
+            psi.append(float(sum(phi[j] * psi[k - j] for j in range(min(p, k + 1))) + (theta[k] if k < q else 0.0)))
+        out.append(res)
+    return pd.Series(out)
+
+
 @F.pandas_udf(fields(train=T.ArrayType(DBL), test=T.ArrayType(DBL)))
 def filled_udf(train: pd.Series, test: pd.Series, values: pd.Series) -> pd.DataFrame:
     """Both sums with gaps filled by the values, which are NULL for a factor that is not known yet (it then counts as 0)."""

@@ -181,10 +181,7 @@ def forecast_input(df: DataFrame, column: str) -> DataFrame:
 
 
 def ar_forecast(series_df: DataFrame, order: int = 1, steps: int = 10) -> DataFrame:
-    """(ticker, step, forecast, lower, upper): autoregression by cross-product sums, band of 90 %.
-
-    No moving-average term: an exact likelihood fit is a single-series solver.
-    """
+    """(ticker, step, forecast, lower, upper): autoregression by cross-product sums, band of 90 %."""
     w = series("ticker")
     lags = [f"l{k}" for k in range(1, order + 1)]
     d = series_df.select("ticker", "date", "v", *[F.lag("v", k).over(w).alias(f"l{k}") for k in range(1, order + 1)])
@@ -193,6 +190,28 @@ def ar_forecast(series_df: DataFrame, order: int = 1, steps: int = 10) -> DataFr
     return sums.join(tail, "ticker").select("ticker", F.inline(S.ar_forecast_udf("sums", "last", F.lit(steps))))
 
 
+def arma_forecast(series_df: DataFrame, p: int = 1, q: int = 1, steps: int = 10, long: int = 10) -> DataFrame:
+    """(ticker, step, forecast, lower, upper) of ARMA(p, q) for every series at once, band of 90 %, by Hannan and Rissanen's two regressions.
+
+    A long autoregression gives shocks; values are then regressed on p earlier values and q earlier shocks. Both are solved from
+    cross-product sums, so each stage is one aggregate over all series.
+    """
+    w = series("ticker")
+    lags = [f"l{k}" for k in range(1, max(long, p) + 1)]
+    d = series_df.select("ticker", "date", "v", *[F.lag("v", k).over(w).alias(f"l{k}") for k in range(1, max(long, p) + 1)])
+    full = d.na.drop(subset=lags[:long])
+    first = S.block_sums(full, ["ticker"], lags[:long], "v").withColumn("_m", S.ridge_udf("sums", F.lit(0.0))).select("ticker", "_m.intercept", "_m.coef")
+    fit = F.col("intercept")
+    for i, c in enumerate(lags[:long]):
+        fit = fit + F.col("coef")[i] * F.col(c)
+    shocks = full.join(first, "ticker").withColumn("e", F.col("v") - fit)
+    errors = [f"e{k}" for k in range(1, q + 1)]
+    both = shocks.select("ticker", "date", "v", *lags[:p], "e", *[F.lag("e", k).over(w).alias(f"e{k}") for k in range(1, q + 1)])
+    tail = both.groupBy("ticker").agg(F.max_by(F.array("v", *lags[:p - 1]), "date").alias("values"), F.max_by(F.array("e", *errors[:q - 1]), "date").alias("errors"))
+    sums = S.block_sums(both.na.drop(subset=[*lags[:p], *errors]), ["ticker"], [*lags[:p], *errors], "v")
+    return sums.join(tail, "ticker").select("ticker", F.inline(S.arma_forecast_udf("sums", "values", "errors", F.lit(steps))))
+
+
 def lagged_matrix(frame: DataFrame, xs: Sequence[str], lags: Sequence[int]) -> tuple[DataFrame, list[str]]:
     w = series("ticker")
     names = [f"{x}_lag{k}" for x in xs for k in lags]

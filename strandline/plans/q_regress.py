@@ -198,9 +198,17 @@ def _(spark, d):
     return rounded(K.choose_lag(lag_frames(spark, d), "log_return", MAC), 5)
 
 
-@query("reg13_choose_subset")
+SUB = 2 ** len(MAC)
+cte("sub_train", f"SELECT t.ticker, t.fold, t.mask, r.log_return AS y, {', '.join(f'r.{x}' for x in MAC)} FROM (SELECT DISTINCT ticker, fold, mask FROM folds, (SELECT unnest(range(1, {SUB})) AS mask) WHERE fold > 0) t JOIN folds r ON r.ticker = t.ticker AND r.fold < t.fold", "folds")
+least_squares("sub_fit", "sub_train", "ticker, fold, mask", MAC, "y", "sub_train", alpha="0.5", used=[f"mask & {1 << i} > 0" for i in range(len(MAC))])
+cte("sub_score", f"""SELECT ticker, mask, avg(r2) AS r2 FROM (SELECT f.ticker, f.mask, f.fold, 1 - sum((r.log_return - ({fitted_sql(MAC)})) ** 2) / (var_pop(r.log_return) * count(*)) AS r2
+    FROM sub_fit f JOIN folds r ON r.ticker = f.ticker AND r.fold = f.fold GROUP BY 1, 2, 3) GROUP BY 1, 2""", "sub_fit", "folds")
+cte("sub_named", "SELECT ticker, r2, concat_ws('+', " + ", ".join(f"CASE WHEN mask & {1 << i} > 0 THEN '{x}' END" for i, x in enumerate(MAC)) + ") AS members, bit_count(mask)::BIGINT AS size FROM sub_score", "sub_score")
+
+
+@query("reg13_choose_subset", sql("SELECT ticker, members, size, round(r2, 5) AS r2, row_number() OVER (PARTITION BY ticker ORDER BY r2 DESC, size, members) AS place FROM sub_named", "sub_named"))
 def _(spark, d):
-    return K.choose_subset(supervised(spark, d), "log_return", MAC)
+    return rounded(K.choose_subset(supervised(spark, d), "log_return", MAC), 5)
 
 
 least_squares("ols", "sup", "ticker", MAC, "log_return", "sup")
@@ -264,9 +272,33 @@ def _(spark, d):
     return rounded(q.select("ticker", "fold", "feature", "n", *[F.col("q")[i].alias(f"q{n}") for i, n in enumerate((25, 50, 75))]), 4)
 
 
-@query("reg18_ar_forecast")
+EARLIER = ", ".join(f"lag(v, {k}) {WL} AS l{k}" for k in range(1, 11))
+cte("arx", f"SELECT *, {EARLIER} FROM (SELECT ticker, date, ln(close / lag(close) {WL}) AS v FROM master) WHERE v IS NOT NULL", "master")
+cte("ar2_rows", "SELECT * FROM arx WHERE l2 IS NOT NULL", "arx")
+least_squares("ar2", "ar2_rows", "ticker", ["l1", "l2"], "v", "ar2_rows")
+cte("ar2_steps", """WITH RECURSIVE s AS (SELECT a.ticker, c0, b[1] AS b1, b[2] AS b2, sqrt(rss / n) AS sigma, v AS f, l1 AS g, 1.0::DOUBLE AS p, 0.0::DOUBLE AS o, 0.0::DOUBLE AS var, 0 AS step FROM ar2 a JOIN (SELECT ticker, max_by(v, date) AS v, max_by(l1, date) AS l1 FROM arx GROUP BY 1) USING (ticker)
+    UNION ALL SELECT ticker, c0, b1, b2, sigma, c0 + b1 * f + b2 * g, f, b1 * p + b2 * o, p, var + p * p, step + 1 FROM s WHERE step < 10) SELECT * FROM s WHERE step > 0""", "ar2", "arx")
+BAND90 = "round(f, 6) AS forecast, round(f - 1.6448536269514722 * sigma * sqrt(var), 6) AS lower, round(f + 1.6448536269514722 * sigma * sqrt(var), 6) AS upper"
+
+
+@query("reg18_ar_forecast", sql(f"SELECT ticker, step::BIGINT AS step, {BAND90} FROM ar2_steps", "ar2_steps"))
+def _(spark, d):
+    return rounded(K.ar_forecast(K.forecast_input(master(spark, d), "close"), 2, 10))
+
+
+LONG = [f"l{k}" for k in range(1, 11)]
+cte("long_rows", "SELECT * FROM arx WHERE l10 IS NOT NULL", "arx")
+least_squares("long_fit", "long_rows", "ticker", LONG, "v", "long_rows")
+cte("shocks", f"SELECT *, lag(e) {WL} AS e1 FROM (SELECT r.ticker, r.date, r.v, r.l1, r.v - ({fitted_sql(LONG)}) AS e FROM long_fit f JOIN long_rows r ON r.ticker = f.ticker)", "long_fit", "long_rows")
+cte("arma_rows", "SELECT * FROM shocks WHERE e1 IS NOT NULL", "shocks")
+least_squares("arma", "arma_rows", "ticker", ["l1", "e1"], "v", "arma_rows")
+cte("arma_steps", """WITH RECURSIVE s AS (SELECT a.ticker, c0, b[1] AS phi, b[2] AS theta, sqrt(rss / n) AS sigma, v AS f, e, 1.0::DOUBLE AS p, 0.0::DOUBLE AS var, 0 AS step FROM arma a JOIN (SELECT ticker, max_by(v, date) AS v, max_by(e, date) AS e FROM shocks GROUP BY 1) USING (ticker)
+    UNION ALL SELECT ticker, c0, phi, theta, sigma, c0 + phi * f + theta * e, 0.0, phi * p + CASE WHEN step = 0 THEN theta ELSE 0.0 END, var + p * p, step + 1 FROM s WHERE step < 10) SELECT * FROM s WHERE step > 0""", "arma", "shocks")
+
+
+@query("reg18_arma_forecast", sql(f"SELECT ticker, step::BIGINT AS step, {BAND90} FROM arma_steps", "arma_steps"))
 def _(spark, d):
-    return K.ar_forecast(K.forecast_input(master(spark, d), "close"), 2, 10)
+    return rounded(K.arma_forecast(K.forecast_input(master(spark, d), "close"), 1, 1, 10))
 
 
 cte("ar1", f"SELECT ticker, date, v, lag(v) {WL} AS l FROM (SELECT ticker, date, ln(close / lag(close) {WL}) AS v FROM master) WHERE v IS NOT NULL", "master")
