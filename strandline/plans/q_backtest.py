@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded, series
+from ..functions.scans import running_totals
 from ..operators import backtest as K
 from ..sources import bindings as B
 from .ctes import cte, sql
@@ -254,3 +255,12 @@ def _(spark, d):
 @query("bt29_prediction_test", sql("SELECT ticker, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 5) AS t FROM (SELECT ticker, count(*) AS n, corr(predicted, actual) AS r FROM pred_ok GROUP BY 1)", "pred_ok"))
 def _(spark, d):
     return rounded(K.prediction_test(naive_predictions(spark, d)), 6, t=5)
+
+
+@query("bt12_tick_drawdown", """SELECT event_type, count(*) AS n, round(max(total), 4) AS top, round(min(total - peak), 4) AS worst FROM (SELECT *, max(total) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS peak FROM (
+    SELECT *, sum(value - 50) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS total FROM events)) GROUP BY 1""".replace("round(", "ROUND("))
+def _(spark, d):
+    """Peak and worst fall of the running value of each event type, a series that is not bounded by the calendar."""
+    e = B.table(spark, d, "events").select("event_type", "ts", "event_id", (F.col("value") - 50).alias("move"))
+    t = running_totals(e, ["event_type"], ["ts", "event_id"], "move")
+    return t.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.max("total"), 4).alias("top"), F.round(F.min("fall"), 4).alias("worst"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.columns import rounded
+from ..functions.scans import asof_backward
 from ..operators import gold as G
 from ..operators import transforms as T
 from ..sources import bindings as B
@@ -77,6 +78,15 @@ def _(spark, d):
     return rounded(B.bars(spark, d, "p_brand", "day").join(F.broadcast(wide), "date", "left").select("ticker", "date", "inflation"), 4)
 
 
+# ticks: the last other event of the user within an hour before each error
+@query("gld5_asof_ticks", """SELECT e.event_id, CASE WHEN e.ts - o.ts <= INTERVAL 1 HOUR THEN o.event_type END AS seen_type, CASE WHEN e.ts - o.ts <= INTERVAL 1 HOUR THEN o.value END AS seen_value FROM (SELECT * FROM events WHERE event_type = 'error') e
+    ASOF LEFT JOIN (SELECT user_id, ts, max_by(event_type, row(value, event_type)) AS event_type, max(value) AS value FROM events WHERE event_type <> 'error' GROUP BY 1, 2) o ON e.user_id = o.user_id AND e.ts >= o.ts""")
+def _(spark, d):
+    e = B.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    seen = e.where("event_type <> 'error'").select("ts", "user_id", F.col("value").alias("seen_value"), F.col("event_type").alias("seen_type"))
+    return asof_backward(e.where("event_type = 'error'"), seen, "ts", ["seen_value", "seen_type"], ["user_id"], 3600).select("event_id", "seen_type", "seen_value")
+
+
 @query("gld6_keep_last_duplicate", """SELECT event_type AS series, CAST(ts AS DATE) AS date, round(max_by(value, event_id), 4) AS value FROM events GROUP BY 1, 2""")
 def _(spark, d):
     e = B.table(spark, d, "events").select(F.col("event_type").alias("series"), F.to_date("ts").alias("date"), "value", "event_id")
