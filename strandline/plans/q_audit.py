@@ -18,7 +18,7 @@ from ..operators import transforms as T
 from ..operators import validate as V
 from ..sources import bindings as B
 from ..sources import ingest as I
-from ..streaming import cleaning, levels
+from ..streaming import cleaning, levels, trailing
 from .ctes import cte, sql
 from .q_backtest import ONE, naive_predictions
 from .q_gold import GROUPS, IND, MAC, anyof, master, supervised
@@ -542,3 +542,11 @@ def _(spark, d):
     good = spark.read.parquet(f"{path}/good").select("operation", F.lit(1).alias("g"))
     dead = spark.read.parquet(f"{path}/dead").select("operation", F.lit(0).alias("g"))
     return good.unionByName(dead).groupBy("operation").agg(F.count_if(F.col("g") == 1).alias("good"), F.count_if(F.col("g") == 0).alias("dead"))
+
+
+@query("ops7_trailing_stream", sql(" UNION ALL ".join(f"""SELECT operation, event_id, {n}::BIGINT AS span, count(*) OVER w AS events, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) OVER w, 6) AS success_rate, round(quantile_disc(duration_seconds, 0.95) OVER w, 6) AS p95_seconds
+    FROM ops WINDOW w AS (PARTITION BY operation ORDER BY ts RANGE BETWEEN INTERVAL {n} SECONDS PRECEDING AND CURRENT ROW)""" for n in trailing.SPANS), "ops"))
+def _(spark, d):
+    path = _sink_path(spark)
+    trailing.run_trailing(trailing.trailing_stream(levels.event_stream(spark, f"{d}/events*.parquet")), f"{path}/out", f"{path}/ckpt")
+    return rounded(trailing.latest(spark, f"{path}/out").drop("ts"))
