@@ -1,16 +1,17 @@
-"""Exact duplicates by grouping on the whole text, and an extendible-hash index over the groups on shared files.
+"""Exact duplicates by an extendible-hash index over whole texts on shared files.
 
-A text's key is a 64-bit hash of its normalised form. The index has a directory, addressed by the leading
-bits of a key, and buckets. Directory doubling: as long as a bucket holds more than `capacity` entries, one
-more leading bit tells its halves apart; only overfull buckets split, so several directory slots may name
-one bucket. The different texts under one key are numbered as a chain, per (bucket, key). Buckets and directory are
-tables in the shared folder, so a later batch can be looked up in an index built before. The index decides nothing:
-copies are found by the grouping below, and look-ups join by (key, SHA-256) without the directory.
+A text's key is a 64-bit hash of its normalised form. The index has a directory, addressed by the leading bits of a key, and buckets,
+each a range of keys. Directory doubling: as long as a bucket holds more than `capacity` keys, one more leading bit tells its halves
+apart; only overfull buckets split, so several directory slots may name one bucket.
 
-Bytes are compared where rows of one text meet: the grouping that makes entries has the whole normalised text
-as its key, and its map-side half has already reduced the copies of a text to one row per task. So a text
-that holds a third of all rows reaches its group as one row per task. A document then finds its entry by
-(key, SHA-256); a document of a hot text is an ordinary row of a join that the planner splits.
+Every text goes through the directory to its bucket and is shuffled there. The task that owns a bucket walks its keys in order and keeps a chain of
+the different texts under each key; a text is compared with the chain byte by byte, and joins the entry it equals or extends the chain. What an
+entry gathers (smallest id, number of rows) decides the result. Copies are combined before the shuffle: within a batch by the text
+itself, and texts that repeat within a batch are carried on to the end of the task, so a text that holds a third of all rows reaches its
+owner as about one row per task. Buckets and directory are tables in the shared folder, so a later batch can be looked up in an index built before.
+
+A document then finds its entry by (key, SHA-256), written once for all documents; a document of a hot text is an ordinary row of a join that the
+planner splits.
 
 Defined cases: a null text counts as empty; equal empty texts are copies of each other; the smallest id
 stays, also among repeated rows of one id; an empty table gives an empty result; extra columns are ignored.
@@ -18,15 +19,18 @@ stays, also among repeated rows of one id; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stage import stage
+from ..functions.stage import broadcast_counted, stage
 
 CAPACITY = 4096  # entries of a bucket
 KEY_BITS = 64
+CARRIED, CARRIED_BYTES = 4096, 32 << 20  # repeated texts a task carries on, and their size
 STEP_BITS = 4  # bits added to the histogram when a bucket is still overfull at its finest cell
 
 
@@ -48,16 +52,74 @@ class Index:
     depth: int
 
 
-def entries(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per different normalised text: key, text_sha256, keep_id, group_size."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("text"))
-    return (rows.groupBy(F.xxhash64("text").alias("key"), "text")
-            .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-            .select("key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
+def combined(batches):
+    """Rows (key, text, keep_id, n) with the copies inside a task combined; see the limits of what is carried."""
+    held: dict[tuple[int, str], list] = {}
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.table({"key": batch.column("key"), "text": batch.column("text").cast(pa.large_string()), "keep_id": batch.column("doc_id"), "n": pa.array([1] * batch.num_rows, pa.int64())})
+        table = table.group_by(["key", "text"]).aggregate([("keep_id", "min"), ("n", "sum")])
+        rows = []
+        for key, text, keep, n in zip(*(table.column(c).to_pylist() for c in ("key", "text", "keep_id_min", "n_sum"))):
+            known = held.get((key, text))
+            if known is None and n > 1 and len(held) < CARRIED and size + len(text) <= CARRIED_BYTES:
+                held[key, text], size = [keep, n], size + len(text)
+            elif known is None:
+                rows.append((key, text, keep, n))
+            else:
+                known[0] = min((x for x in (known[0], keep) if x is not None), default=None)
+                known[1] += n
+        yield entry_rows(rows)
+    yield entry_rows([(key, text, keep, n) for (key, text), (keep, n) in held.items()])
+
+
+def entry_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "text", "keep_id", "n"])
+
+
+CHAIN = "bucket string, local_depth int, key long, chain int, text_sha256 string, keep_id long, group_size long"
+
+
+def chained(batches):
+    """Entries of the buckets of one owner. Rows come sorted by bucket and key; the chain of a key ends where the next key begins."""
+    at, chain = None, []
+
+    def entries():
+        bucket, depth, key = at
+        return [(bucket, depth, key, i, hashlib.sha256(text).hexdigest(), keep, n) for i, (text, keep, n) in enumerate(chain, 1)]
+
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+    names = ["bucket", "local_depth", "key", "chain", "text_sha256", "keep_id", "group_size"]
+
+    def out(rows):
+        cols = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    for batch in batches:
+        done = []
+        texts = batch.column("text").cast(pa.large_binary())
+        for i, (bucket, depth, key, keep, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "local_depth", "key", "keep_id", "n")))):
+            if at != (bucket, depth, key):
+                done += entries() if at else []
+                at, chain = (bucket, depth, key), []
+            text = texts[i].as_py()
+            for entry in chain:
+                if entry[0] == text:  # the bytes decide
+                    entry[1] = min((x for x in (entry[1], keep) if x is not None), default=None)
+                    entry[2] += n
+                    break
+            else:
+                chain.append([text, keep, n])
+        yield out(done)
+    if at:
+        yield out(entries())
 
 
 def directory(found: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
-    """Slots of the smallest directory in which no bucket is overfull, if keys can be told apart."""
+    """Slots of the smallest directory in which no bucket of the different keys in `found` is overfull, if keys can be told apart."""
     fine = max(1, (max(found.count(), 1) // capacity).bit_length() + STEP_BITS)
     while True:
         cells = stage(found.groupBy(slot(F.col("key"), fine).alias("cell")).agg(F.count(F.lit(1)).alias("n")))
@@ -79,26 +141,39 @@ def directory(found: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, in
     return slots, depth
 
 
-def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> Index:
-    found = stage(entries(docs, text, doc_id))
+def with_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, key, text: the normalised text and its key."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+
+def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, keys: DataFrame | None = None) -> Index:
+    """keys: column key of all documents, where it has been written already."""
+    rows = with_keys(docs, text, doc_id)
+    found = stage((rows if keys is None else keys).select("key").distinct())
     slots, depth = directory(found, capacity)
     slots = stage(slots)
-    owned = found.withColumn("slot", slot(F.col("key"), depth)).join(slots, "slot")
-    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256"))
-    buckets = owned.withColumn("chain", chain).select(
-        "bucket", "local_depth", "key", "chain", "text_sha256", "keep_id", "group_size")
+    dealt = rows.select("key", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(combined, "key long, text string, keep_id long, n long")
+    owned = dealt.withColumn("slot", slot(F.col("key"), depth)).join(broadcast_counted(slots, slots.count()), "slot")
+    buckets = owned.select("bucket", F.col("local_depth").cast("int").alias("local_depth"), "key", "text", "keep_id", "n").repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(chained, CHAIN)
     return Index(stage(buckets), slots, depth)
 
 
 def look_up(index: Index, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, key, text_sha256 and, if the index knows the text, keep_id, group_size, bucket, chain."""
-    plain = normalised(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(plain).alias("key"), F.sha2(plain, 256).alias("text_sha256"))
-    return rows.join(index.buckets.drop("local_depth"), ["key", "text_sha256"], "left")
+    return found_in(index, fingerprints(docs, text, doc_id))
+
+
+def fingerprints(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return with_keys(docs, text, doc_id).select("doc_id", "key", F.sha2("text", 256).alias("text_sha256"))
+
+
+def found_in(index: Index, prints: DataFrame) -> DataFrame:
+    return prints.join(index.buckets.drop("local_depth"), ["key", "text_sha256"], "left")
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain."""
-    return look_up(build(docs, text, doc_id, capacity), docs, text, doc_id).select(
-        "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain")
+    prints = stage(fingerprints(docs, text, doc_id))
+    return found_in(build(docs, text, doc_id, capacity, prints), prints).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain")
