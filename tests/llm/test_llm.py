@@ -181,6 +181,23 @@ def test_directory_doubles_until_buckets_fit(spark):
     assert {r.doc_id: r.keep_id for r in exact_dedup.look_up(index, later).collect()} == {900: 7, 901: None}
 
 
+def test_chains_compare_bytes_and_tasks_combine_copies(monkeypatch):
+    """Different texts under one key are entries of one chain; a task sends a repeated text once, as far as it may carry."""
+    schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("doc_id", pa.int64())])
+    rows = [(7, "a", 5), (7, "b", 4), (7, "a", 3), (8, "c", 1)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    sent = lambda: Counter((r["key"], r["text"], r["keep_id"], r["n"]) for b in exact_dedup.combined([batch, batch]) for r in b.to_pylist())
+    assert sent() == Counter({(7, "a", 3, 4): 1, (7, "b", 4, 1): 2, (8, "c", 1, 1): 2})
+    monkeypatch.setattr(exact_dedup, "CARRIED", 0)
+    assert sent()[7, "a", 3, 2] == 2
+    owned = [("0/0", 0, 7, "b", 4, 1), ("0/0", 0, 7, "a", 3, 4), ("0/0", 0, 7, "b", None, 1), ("0/0", 0, 8, "c", 1, 2)]
+    names = ["bucket", "local_depth", "key", "text", "keep_id", "n"]
+    parts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*owned[a:b])], names) for a, b in ((0, 2), (2, 4))]
+    got = [tuple(r.values()) for b in exact_dedup.chained(parts) for r in b.to_pylist()]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == [("0/0", 0, 7, 1, sha("b"), 4, 2), ("0/0", 0, 7, 2, sha("a"), 3, 4), ("0/0", 0, 8, 1, sha("c"), 1, 2)]
+
+
 # 4
 
 
