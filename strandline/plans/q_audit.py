@@ -25,7 +25,7 @@ from .q_gold import GROUPS, IND, MAC, anyof, master, supervised
 from .q_silver import _clean
 from .q_sources import EXPECTED, _sink_path
 from .q_validate import decisions
-from .registry import query
+from .registry import ORACLES, query
 
 WT = "OVER (PARTITION BY ticker ORDER BY date"
 SRC3 = {k: GROUPS[k] for k in ("yfinance", "fred", "worldbank")}
@@ -376,7 +376,6 @@ def _(spark, d):
 
 
 PEN = {k: v for k, v, _ in D.PENALTIES}
-FIND = ("DIST_SHIFT", "RESIDUAL_AUTOCORR", "RESIDUAL_HETERO", "COVERAGE_CALIBRATION")
 cte("find", f"""SELECT ticker, 'RESIDUAL_AUTOCORR' AS f FROM (SELECT ticker, abs(corr(e, p)) > 0.2 AS x FROM (SELECT *, lag(e) {WT}) AS p FROM res) GROUP BY 1) WHERE x
     UNION ALL SELECT ticker, 'RESIDUAL_HETERO' FROM res GROUP BY 1 HAVING regr_r2(e * e, predicted) * count(*) > 3.84
     UNION ALL SELECT ticker, 'COVERAGE_CALIBRATION' FROM (SELECT *, stddev_pop(e) OVER (PARTITION BY ticker) AS s FROM res) GROUP BY 1 HAVING abs(avg(CASE WHEN abs(e) <= 1.645 * s THEN 1.0 ELSE 0.0 END) - 0.9) > 0.08
@@ -436,10 +435,39 @@ def findings(spark, d, r):
     return out
 
 
-@query("dia23_diagnose")
+CODES = {"POOR_RISK_ADJ": ("dia1_residual_ratios", "sharpe < -0.5"), "EXCESS_DRAWDOWN": ("dia2_worst_shock", "exceeds"), "REGIME_INSTABILITY": ("dia4_regime_stability", "NOT stable"), "STALE_DATA": ("dia5_staleness", "stale"),
+         "DIST_SHIFT": ("dia6_residual_shift", "shifted"), "RESIDUAL_AUTOCORR": ("dia7_lag_one", "problem"), "CI_QUALITY": ("dia8_band_quality", "reason IS NOT NULL"), "SIGN_INSTABILITY": ("dia9_sign_flips", "unstable"),
+         "UNCERTAINTY_GAP": ("dia10_tail_gap", "gap"), "TEMPORAL_INTEGRITY": ("dia11_split_integrity", "reason IS NOT NULL"), "EXPLAINABILITY_RISK": ("dia12_explainability", "problem"),
+         "COVERAGE_CALIBRATION": ("dia17_band_coverage", "problem"), "SHAP_STABILITY": ("dia18_importance_drift", "problem"), "COEFF_CI_OVERLAP": ("dia19_band_overlap", "problem"), "BACKTEST_REALISM": ("dia20_backtest_realism", "reason IS NOT NULL")}
+
+
+def all_codes_sql():
+    """Findings of every check, from the SQL of the checks themselves; codes with a penalty of their own carry it."""
+    none = "NULL::DOUBLE AS own"
+    parts = [f"SELECT ticker, '{code}' AS f, {none} FROM ({ORACLES[name]}) WHERE {flag}" for code, (name, flag) in CODES.items()]
+    parts += [f"SELECT ticker, 'RESIDUAL_HETERO', {none} FROM ({ORACLES[name]}) WHERE flagged" for name in ("dia15_ljung_box", "dia16_heteroskedasticity")]
+    parts.append(f"SELECT ticker, 'MULTICOLLINEARITY', least(8.0, 4.0 * len(offenders))::DOUBLE FROM ({ORACLES['dia3_high_vif']}) WHERE len(offenders) > 0")
+    parts.append(f"SELECT ticker, 'SCALING_ISSUE', {none} FROM sup GROUP BY 1 HAVING abs(avg(log_return)) <= 1e-10")
+    parts.append(f"""SELECT ticker, 'FEATURE_SHIFT', {none} FROM (SELECT ticker, feature, count(*) FILTER (is_train) AS a, count(*) FILTER (NOT is_train) AS b FROM sides WHERE x IS NOT NULL GROUP BY 1, 2)
+      LEFT JOIN ({ORACLES['dia13_ks_statistic']}) USING (ticker, feature) LEFT JOIN ({ORACLES['dia14_stability_index']}) USING (ticker, feature) WHERE a >= 30 AND b >= 30 AND (ks > 0.2 OR psi > 0.2)""")
+    parts.append(f"""SELECT ticker, 'LOOKAHEAD_BIAS', least(20.0, 8.0 * count(*))::DOUBLE FROM (SELECT ticker, factor, count(*) AS n, corr(log_return, ld) AS lead_corr, corr(log_return, lg) AS lag_corr FROM (
+      SELECT *, lead(v) OVER w AS ld, lag(v) OVER w AS lg FROM sup UNPIVOT (v FOR factor IN ({', '.join(MAC)})) WINDOW w AS (PARTITION BY ticker, factor ORDER BY date)) GROUP BY 1, 2) WHERE abs(lead_corr) > abs(lag_corr) + CASE WHEN n >= 60 THEN 0.15 ELSE 0.25 END GROUP BY 1""")
+    run = """SELECT 'DATA_GAPS' AS f, (SELECT least(20.0, 8.0 * count(*)) FROM (VALUES ('yfinance'), ('fred'), ('worldbank')) v(s) WHERE s NOT IN (SELECT source FROM report WHERE status = 'success'))
+        + (SELECT least(15.0, count(*)) FROM report WHERE status = 'failed') AS own
+      UNION ALL SELECT 'OUTLIERS', CASE WHEN max(outliers / n_rows) > 0.05 THEN least(12.0, max(outliers / n_rows) * 100) END FROM report WHERE status = 'success'
+      UNION ALL SELECT 'PIPELINE_ROBUSTNESS', CASE WHEN count(*) > 0 THEN 5.0 END FROM (""" + ORACLES["dia21_run_robustness"] + ") WHERE reason IS NOT NULL"
+    parts.append(f"SELECT ticker, f, own::DOUBLE FROM (SELECT DISTINCT ticker FROM res), ({run}) WHERE own > 0")
+    return " UNION ALL ".join(parts)
+
+
+cte("every_code", all_codes_sql(), "sup", "sides", "res", "report")
+
+
+@query("dia23_diagnose", sql(f"""SELECT ticker, round(coalesce(greatest(0.0, least(100.0, 100.0 - sum(coalesce(own, CASE f {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PEN.items())} END)))), 100.0), 4) AS score, coalesce(string_agg(f, ',' ORDER BY f), '') AS findings
+    FROM (SELECT DISTINCT ticker FROM res) LEFT JOIN (SELECT ticker, f, max(own) AS own FROM every_code GROUP BY 1, 2) USING (ticker) GROUP BY 1""", "every_code", "res"))
 def _(spark, d):
     r = stage(res(spark, d))
-    return D.diagnose(findings(spark, d, r), r.select("ticker").distinct()).select("ticker", "score", F.array_join("findings", ",").alias("findings"))
+    return rounded(D.diagnose(findings(spark, d, r), r.select("ticker").distinct()).select("ticker", "score", F.array_join("findings", ",").alias("findings")), 4)
 
 
 # --- run health --------------------------------------------------------------------------------------------
