@@ -165,9 +165,11 @@ def null_density(df: DataFrame, columns: Sequence[str], alert_pct: float = X.NUL
 
 
 def contract(df: DataFrame, expected: dict[str, Sequence[str]]) -> DataFrame:
-    """(source, column, observed): expected columns against those of the table."""
-    rows = [(s, c, c in df.columns) for s, cs in expected.items() for c in sorted(cs)]
-    return values_table(df.sparkSession, ("source", "column_name", "observed"), rows)
+    """(source, column_name, observed, n_values, n_rows): expected columns against what the table holds; a column without any value is not observed."""
+    names = sorted({c for cs in expected.values() for c in cs if c in df.columns})
+    counts = df.agg(F.count("*").alias("n_rows"), *[F.count(c).alias(f"n_{c}") for c in names])
+    items = [F.struct(F.lit(s).alias("source"), F.lit(c).alias("column_name"), (F.col(f"n_{c}") if c in names else F.lit(0).cast("long")).alias("n_values"), F.col("n_rows").alias("n_rows")) for s, cs in expected.items() for c in sorted(cs)]
+    return counts.select(F.inline(F.array(*items))).select("source", "column_name", (F.col("n_values") > 0).alias("observed"), "n_values", "n_rows")
 
 
 def for_ticker(df: DataFrame, ticker: str | None) -> DataFrame:

@@ -31,6 +31,13 @@ def resolve_scenarios(spark, overrides: Sequence[tuple[str, str, float]] = ()) -
     return base.join(own, ["scenario", "factor"], "full_outer").select("scenario", "factor", F.coalesce("own_shock", "base_shock").alias("shock"))
 
 
+def shocks_in_moves(shocks: DataFrame, macro: DataFrame) -> DataFrame:
+    """Shocks next to the months known of their factor, and as multiples of its usual monthly move (deviation of log changes)."""
+    step = F.col("value") / F.lag("value").over(Window.partitionBy("series").orderBy("date"))
+    moves = macro.withColumn("move", F.when(step > 0, F.log(step))).groupBy(F.col("series").alias("factor")).agg(F.count("*").alias("n_months"), F.stddev_samp("move").alias("usual_move"))
+    return shocks.join(moves, "factor", "left").withColumn("shock_in_moves", F.try_divide("shock", "usual_move"))
+
+
 def scenario_impacts(betas: DataFrame, shocks: DataFrame, sectors: DataFrame | None = None, target: str = "log_return") -> DataFrame:
     """(ticker, scenario, factor_impact, direct_shock, total): shocks met by betas on factor.
 

@@ -93,14 +93,14 @@ def _(spark, d):
     return A.continuity(B.bars(spark, d, "l_returnflag", "day"))
 
 
-cte("surv", "SELECT ticker, date, CASE WHEN ticker = 'PROMO' AND month(date) BETWEEN 4 AND 9 THEN 0 ELSE volume END AS v FROM px WHERE NOT (ticker = 'SMALL' AND date > DATE '2001-06-30')", "px")
+cte("surv", "SELECT ticker, CASE WHEN ticker = 'SMALL' THEN CAST(date - 150 AS DATE) ELSE date END AS date, CASE WHEN ticker = 'PROMO' AND month(date) BETWEEN 4 AND 9 THEN 0 ELSE volume END AS v FROM px", "px")
 
 
 @query("aud7_survivorship", sql(f"""SELECT ticker, stale_days, zero_volume_run, concat_ws(',', CASE WHEN stale_days > 20 THEN 'stale_coverage' END, CASE WHEN zero_volume_run > 10 THEN 'zero_volume' END) AS flags FROM (
     SELECT ticker, {gap('max(last)', '(SELECT max(date) FROM surv)')} AS stale_days, max(len) AS zero_volume_run FROM (SELECT ticker, run, count(*) FILTER (v <= 0) AS len, max(date) AS last FROM (
       SELECT *, count(*) FILTER (v > 0) {WT} ROWS UNBOUNDED PRECEDING) AS run FROM surv) GROUP BY 1, 2) GROUP BY 1)""", "surv"))
 def _(spark, d):
-    px = B.bars(spark, d).where(~((F.col("ticker") == "SMALL") & (F.col("date") > F.lit("2001-06-30").cast("date"))))
+    px = B.bars(spark, d).withColumn("date", F.when(F.col("ticker") == "SMALL", F.date_sub("date", 150)).otherwise(F.col("date")))  # one ticker ends early
     px = px.withColumn("volume", F.when((F.col("ticker") == "PROMO") & F.month("date").between(4, 9), 0.0).otherwise(F.col("volume")))
     return A.survivorship(px).withColumn("flags", F.array_join("flags", ","))
 

@@ -196,12 +196,10 @@ def _(spark, d):
     return G.null_density(master(spark, d), DENS)
 
 
-@query("gld17_contract", sql(f"""SELECT source, column_name, observed, n_rows FROM (SELECT count(*) AS n_rows FROM master),
-    (VALUES ('yfinance', 'close', true), ('yfinance', 'log_return', true), {', '.join(f"('fred', '{c}', {'true' if c in MAC else 'false'})" for c in sorted(X.MACRO_SERIES.values()))}) v(source, column_name, observed)""", "master"))
+@query("gld17_contract", sql(" UNION ALL ".join(f"SELECT '{src}' AS source, '{c}' AS column_name, count({c if known else 'NULL'}) > 0 AS observed, count({c if known else 'NULL'}) AS n_values, count(*) AS n_rows FROM master"
+    for src, c, known in [("yfinance", "close", True), ("yfinance", "log_return", True), *[("fred", c, c in MAC) for c in sorted(X.MACRO_SERIES.values())]]), "master"))
 def _(spark, d):
-    m = master(spark, d)
-    n = m.select(F.count("*")).scalar()
-    return G.contract(m, {"yfinance": ["close", "log_return"], "fred": list(X.MACRO_SERIES.values())}).withColumn("n_rows", n)
+    return G.contract(master(spark, d), {"yfinance": ["close", "log_return"], "fred": list(X.MACRO_SERIES.values())})
 
 
 @query("gld18_filter_ticker", sql("""SELECT 'PROMO' AS asked, ticker, count(*) AS n FROM px WHERE ticker = 'PROMO' GROUP BY 2

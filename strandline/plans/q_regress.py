@@ -31,12 +31,10 @@ cte("own", values_sql(("scenario", "factor", "own_shock"), OVER))
 cte("presets", values_sql(("scenario", "factor", "base_shock"), X.SCENARIO_SHOCKS))
 
 
-@query("reg2_scenarios", sql("""SELECT scenario, factor, round(coalesce(own_shock, base_shock), 6) AS shock, n_months FROM presets FULL JOIN own USING (scenario, factor)
-    LEFT JOIN (SELECT series, count(*) AS n_months FROM macro GROUP BY 1) ON series = factor""", "own", "presets", "macro"))
+@query("reg2_scenarios", sql("""SELECT scenario, factor, round(shock, 6) AS shock, n_months, round(usual_move, 6) AS usual_move, round(shock / usual_move, 5) AS shock_in_moves FROM (SELECT scenario, factor, coalesce(own_shock, base_shock) AS shock FROM presets FULL JOIN own USING (scenario, factor))
+    LEFT JOIN (SELECT series, count(*) AS n_months, stddev_samp(ln(value / p)) AS usual_move FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY date) AS p FROM macro) GROUP BY 1) ON series = factor""", "own", "presets", "macro"))
 def _(spark, d):
-    s = K.resolve_scenarios(spark, OVER)
-    n = B.macro(spark, d).groupBy(F.col("series").alias("factor")).agg(F.count("*").alias("n_months"))
-    return rounded(s.join(n, "factor", "left"))
+    return rounded(K.shocks_in_moves(K.resolve_scenarios(spark, OVER), B.macro(spark, d)), 6, shock_in_moves=5)
 
 
 SECT = "CASE WHEN ticker IN ('PROMO', 'SMALL') THEN 'technology' ELSE sector END"

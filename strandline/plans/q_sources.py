@@ -65,21 +65,21 @@ def _(spark, d):
 
 
 def _wide(spark, d):
-    ind = B.indicators(spark, d).where(F.col("series") == "gdp_growth")
-    # one column per year that the data has; their number is that of calendar years
+    """All indicators with one column per year that the data has; their number is that of calendar years."""
+    ind = B.indicators(spark, d)
     years = [r["y"] for r in ind.select(F.year("date").alias("y")).distinct().orderBy("y").collect()]
-    return ind.groupBy("economy").pivot("date", [f"{y}-12-31" for y in years]).agg(F.first("value")).toDF("economy", *[f"YR{y}" for y in years])
+    return ind.groupBy("series", "economy").pivot("date", [f"{y}-12-31" for y in years]).agg(F.first("value")).toDF("series", "economy", *[f"YR{y}" for y in years])
 
 
-@query("src6_unpivot_years", sql("""SELECT economy, CAST(year(date) AS VARCHAR) AS "Date", round(value, 4) AS value FROM ind WHERE series = 'gdp_growth'""", "ind"))
+@query("src6_unpivot_years", sql("""SELECT series, economy, CAST(year(date) AS VARCHAR) AS "Date", round(value, 4) AS value FROM ind""", "ind"))
 def _(spark, d):
-    return rounded(I.years_to_long(_wide(spark, d), ["economy"]), 4)
+    return rounded(I.years_to_long(_wide(spark, d), ["series", "economy"]), 4)
 
 
-@query("src7_year_end_dates", sql("""SELECT CASE WHEN economy = 'ASI' THEN 'WLD' ELSE economy END AS economy, date AS "Date", round(value, 4) AS value
-    FROM ind WHERE series = 'gdp_growth' AND economy <> 'EUR'""", "ind"))
+@query("src7_year_end_dates", sql("""SELECT series, CASE WHEN economy = 'ASI' THEN 'WLD' ELSE economy END AS economy, date AS "Date", round(value, 4) AS value
+    FROM ind WHERE economy <> 'EUR'""", "ind"))
 def _(spark, d):
-    long = I.years_to_long(_wide(spark, d), ["economy"])
+    long = I.years_to_long(_wide(spark, d), ["series", "economy"])
     bad = long.withColumn("Date", F.when(F.col("economy") == "EUR", F.concat(F.lit("n/a "), "Date")).otherwise(F.col("Date"))).withColumn(
         "economy", F.when(F.col("economy") == "ASI", None).otherwise(F.lower("economy")))
     return rounded(I.year_end_dates(bad), 4)
