@@ -60,13 +60,14 @@ def asof_calendar(slow: DataFrame, tolerance_days: int | None, until: Column | N
         "series", F.col("date").alias("source_date"), "value", F.explode(F.sequence("date", "_to")).alias("date"))
 
 
-def aggregate_economies(ind: DataFrame, how: str = "mean") -> DataFrame:
-    """(series, date, value) over the economies of a date; `last` follows economy code."""
-    agg = {
+def aggregate_economies(ind: DataFrame, how: str | Sequence[str] = "mean") -> DataFrame:
+    """(series, date, value) over the economies of a date; `last` follows economy code. Several ways give a column each, from one aggregate."""
+    ways = {
         "mean": F.avg("value"), "median": F.percentile("value", F.lit(0.5)), "sum": F.sum("value"),
         "last": F.max_by("value", F.when(F.col("value").isNotNull(), F.col("economy"))),
-    }.get(how, F.avg("value"))
-    return ind.groupBy("series", "date").agg(agg.alias("value"))
+    }
+    asked = {"value": how} if isinstance(how, str) else {h: h for h in how}
+    return ind.groupBy("series", "date").agg(*[ways.get(h, ways["mean"]).alias(name) for name, h in asked.items()])
 
 
 def business_index(d: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions import sums as S
 from ..functions.columns import clip, finite, log_ratio, series, values_table, whole
+from ..functions.stage import stage
 from .relate import long_features
 
 RIDGE_GRID = (1e-2, 1e-1, 1.0, 10.0)
@@ -44,6 +45,7 @@ def scenario_impacts(betas: DataFrame, shocks: DataFrame, sectors: DataFrame | N
     A shock on the target itself is added as is; in a sector scenario only for tickers of that sector.
     """
     spark = betas.sparkSession
+    betas = stage(betas)  # read twice below; a row per ticker and factor
     scope = values_table(spark, X.SCENARIO_COLUMNS, X.SCENARIOS).select("scenario", "sector_scope")
     factor = betas.join(F.broadcast(shocks), "factor").groupBy("ticker", "scenario").agg(F.sum(F.col("beta") * F.col("shock")).alias("factor_impact"))
     names = [r for r in dict.fromkeys(s for s, *_ in X.SCENARIOS)]

@@ -112,12 +112,7 @@ def _(spark, d):
 @query("gld9_economy_aggregate", sql("""SELECT series, date, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(sum(value), 4) AS sum,
     round(max_by(value, economy), 4) AS last FROM ind GROUP BY 1, 2""", "ind"))
 def _(spark, d):
-    ind = B.indicators(spark, d)
-    out = None
-    for how in ("mean", "median", "sum", "last"):
-        a = G.aggregate_economies(ind, how).withColumnRenamed("value", how)
-        out = a if out is None else out.join(a, ["series", "date"])
-    return rounded(out, 4)
+    return rounded(G.aggregate_economies(B.indicators(spark, d), ("mean", "median", "sum", "last")), 4)
 
 
 @query("gld10_business_days", sql("""SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM px_day)
