@@ -13,6 +13,9 @@ SOME = [
     "trn10_supervised_frame", "rel3_cross_ticker", "rel7_best_lag", "reg3_scenario_impacts", "reg9_time_folds", "rsk1_ewm_volatility",
     "bt9_trade_stop", "bt27_score_alerts", "val5_regression_metrics", "val23_decision_trend", "aud7_survivorship", "aud15_expansion",
     "dia6_residual_shift", "dia14_stability_index", "ops6_service_level", "ops7_trailing_levels", "str2_incremental_validation",
+    "reg2_scenarios", "reg8_inflation_factors", "reg11_linear_two_factors", "reg12_choose_lag", "reg13_choose_subset", "reg14_ols_report", "reg17_train_quantiles", "reg18_arma_forecast",
+    "reg20_lagged_grid", "val7_walk_forward_imputed", "val8_bootstrap_band", "val9_stationarity", "val15_model_risk", "val19_gate", "bt12_tick_drawdown", "bt13_holdout_predictions",
+    "gld5_asof_ticks", "gld17_contract", "dia4_regime_stability", "ops7_trailing_stream",
 ]
 QUERIES, ORACLES = E.queries(), E.oracle_sql()
 NAMES = list(ORACLES) if os.environ.get("ALL_QUERIES") else SOME
