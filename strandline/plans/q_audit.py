@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..functions.columns import rounded, values_sql
 from ..functions.stage import stage
 from ..operators import audit as A
@@ -18,7 +19,7 @@ from ..operators import transforms as T
 from ..operators import validate as V
 from ..sources import bindings as B
 from ..sources import ingest as I
-from ..streaming import cleaning, levels, trailing
+from ..streaming import cleaning, history, levels, trailing
 from .ctes import cte, sql
 from .q_backtest import ONE, naive_predictions
 from .q_gold import GROUPS, IND, MAC, anyof, master, supervised
@@ -578,3 +579,25 @@ def _(spark, d):
     path = _sink_path(spark)
     trailing.run_trailing(trailing.trailing_stream(levels.event_stream(spark, f"{d}/events*.parquet")), f"{path}/out", f"{path}/ckpt")
     return rounded(trailing.latest(spark, f"{path}/out").drop("ts"))
+
+
+def value_rules():
+    return [(F.col("value").isNull(), "value_missing"), (F.col("value") <= 0, "value_out_of_range")]
+
+
+def shards(ops):
+    """Events of five entities; a failed operation has no value."""
+    return ops.select(F.concat(F.lit("c"), F.col("component") % 5).alias("entity"), "ts", "event_id", F.when(F.col("success"), F.col("duration_seconds")).alias("value"))
+
+
+@query("str2_validation_with_history", sql("""SELECT entity, day, n_rows, round(null_pct, 5) AS null_pct, round(null_limit, 5) AS null_limit, CASE WHEN n_rows < 10 THEN 'ok' WHEN null_pct > least(100.0, null_limit + """ + str(float(X.WARN_TO_FAIL_BUFFER)) + """) THEN 'fail' WHEN null_pct > null_limit THEN 'warn' ELSE 'ok' END AS severity,
+    round(greatest(0.0, 100 - least(nulls * 100.0 / n_rows, 40.0) - least(bad * 100.0 / n_rows, 20.0)), 5) AS score, CASE WHEN n_rows >= 10 AND null_pct > least(100.0, null_limit + """ + str(float(X.WARN_TO_FAIL_BUFFER)) + """) THEN n_rows ELSE bad END AS dead FROM (
+    SELECT *, greatest(15.0, least(70.0, coalesce(avg(null_pct) OVER w + 2 * stddev_pop(null_pct) OVER w, 0.0))) AS null_limit FROM (SELECT *, nulls * 100.0 / n_rows AS null_pct FROM (
+      SELECT 'c' || (component % 5) AS entity, CAST(ts AS DATE) AS day, count(*) AS n_rows, count(*) FILTER (NOT success OR duration_seconds IS NULL) AS nulls, count(*) FILTER (NOT success OR duration_seconds IS NULL OR duration_seconds <= 0) AS bad FROM ops GROUP BY 1, 2))
+    WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))""", "ops"))
+def _(spark, d):
+    path = _sink_path(spark)
+    history.run(shards(levels.event_stream(spark, f"{d}/events*.parquet")), path, f"{path}/ckpt", value_rules())
+    dead = history.current(spark, path, "dead").groupBy("entity", "day").agg(F.count("*").alias("dead"))
+    v = history.latest_verdicts(spark, path).join(dead, ["entity", "day"], "left")
+    return rounded(v.select("entity", "day", "n_rows", "null_pct", "null_limit", "severity", "score", F.coalesce("dead", F.lit(0)).alias("dead")), 5)

@@ -28,3 +28,31 @@ def test_shuffled_arrival_equals_the_batch(spark, sf, tmp_path, files, seed):
     for r in want:
         g = got[r.operation, r.event_id, r.span]
         assert g.events == r.events and np.isclose(g.success_rate, r.success_rate) and np.isclose(g.p95_seconds, r.p95_seconds)
+
+
+def test_any_split_into_batches_ends_as_one_run(spark, sf, tmp_path):
+    from strandline.plans import catalog  # noqa: F401  first: the plans name each other's tables
+    from strandline.plans.q_audit import shards, value_rules
+    from strandline.streaming import history
+
+    ops = shards(B.operations(spark, sf).where("ts < timestamp'2024-01-09 00:00:00'")).cache()
+    odd = spark.createDataFrame([("c0", None, 1, 5.0), ("c1", None, 2, None)], ops.schema)
+    rows = ops.unionByName(odd).unionByName(ops.where("event_id % 97 = 0"))  # undated and repeated rows
+
+    def told(root):
+        v = {(r.entity, r.day): (r.n_rows, r.nulls, r.bad, round(r.null_limit, 9), r.severity) for r in history.latest_verdicts(spark, root).collect()}
+        return v, *(sorted((r.entity, str(r.ts), r.event_id) for r in history.current(spark, root, k).collect()) for k in ("good", "dead"))
+
+    history.process_batch(rows, 0, f"{tmp_path}/one", value_rules(), 12.0)
+    want = told(f"{tmp_path}/one")
+    assert {s for *_, s in want[0].values()} == {"ok", "warn", "fail"} or len({s for *_, s in want[0].values()}) > 1
+    # days cut in the middle, one part late, and one batch replayed
+    cut = F.when(F.col("ts").isNull(), 1).otherwise(F.least(F.lit(3), F.floor((F.unix_timestamp("ts") - 1704067200) / 187_000)))
+    part = F.when(F.xxhash64("event_id") % 11 == 0, 3).otherwise(cut)
+    dealt = rows.withColumn("part", part).cache()
+    for k in (0, 1, 2, 3):
+        history.process_batch(dealt.where(F.col("part") == k).drop("part"), k, f"{tmp_path}/many", value_rules(), 12.0)
+        if k == 1:
+            history.process_batch(dealt.where(F.col("part") == k).drop("part"), k, f"{tmp_path}/many", value_rules(), 12.0)
+    assert told(f"{tmp_path}/many") == want
+    assert len(want[1]) + len(want[2]) == rows.count()
