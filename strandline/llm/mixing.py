@@ -6,7 +6,9 @@ stop are the first ones, and each is known from running sums of words and weight
 
 A source's rate is its target divided by its words. Each document is emitted floor(rate) times, plus once more with a probability
 equal to the fraction: its draw is a hash of seed, id and text, so reruns, retried tasks and other partitionings agree, and rows that share
-an id draw apart unless they are the same document. The words taken of a source differ from its target by the spread of those draws.
+an id draw apart unless they are the same document. The words taken of a source differ from its target by the spread of those draws, which is wide where
+few long documents make up a source. So every document has `tries` draws, and each source uses the one whose words come nearest to its target;
+one aggregate adds up all of them.
 
 Sources are numbered, and summed in order, over ranges of a sorted table, so their number may grow; the table of sources meets the
 documents by a broadcast only where its measured size allows. Elsewhere a source that holds many rows is split by the planner, which
@@ -28,13 +30,24 @@ from ..functions.stage import small_side, stage
 from .rowkeys import fresh
 
 WORDS = r"[^\x20\x09-\x0D]+"
-WEIGHTS, REPEAT, SEED = (5, 2, 1), 3, 13
+WEIGHTS, REPEAT, SEED, TRIES = (5, 2, 1), 3, 13, 16
 
 
 def draw(doc_id: str, text: str, seed: int) -> Column:
-    """A number in [0, 1) that depends on the seed, the id and the whole text: 48 bits of their MD5."""
+    """Two numbers in [0, 1) that depend on the seed, the id and the whole text: twice 48 bits of their MD5."""
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    part = lambda a: F.conv(F.substring(F.md5(key), a, 12), 16, 10).cast("double") / float(1 << 48)
+    return F.array(part(1), part(13))
+
+
+def tried(draws: Column, k: Column | int) -> Column:
+    """The k-th draw: steps of the second number from the first, modulo 1; exact for 48 bits and k below 16."""
+    u = draws[0] + draws[1] * k
+    return u - F.floor(u)
+
+
+def copies_of(rate: Column, draws: Column, k: Column | int) -> Column:
+    return F.floor(rate) + (tried(draws, k) < rate - F.floor(rate)).cast("long")
 
 
 def running_before(rows: DataFrame, order: Sequence[Column], **values: Column) -> DataFrame:
@@ -71,28 +84,44 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, repeat: int =
     return out.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(repeat)))).otherwise(F.lit(0.0)))
 
 
+def sizes_and_draws(docs: DataFrame, seed: int, text: str, doc_id: str, source: str) -> DataFrame:
+    return stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
+                             F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), draw(doc_id, text, seed).alias("draws")))
+
+
+def met(rows: DataFrame, table: DataFrame, source: Column, its: str) -> DataFrame:
+    """Rows next to their source's line; the table is one row per source."""
+    return rows.join(table, source.eqNullSafe(F.col(its)))
+
+
+def planned(sized: DataFrame, weights: Sequence[float], repeat: int, tries: int) -> DataFrame:
+    """its, source_size, target, rate, try: what each source takes, and which of its documents' draws."""
+    table = small_side(targets(sized, weights, repeat).withColumnRenamed("source", "its"))
+    rate = F.col("rate")
+    extra = [F.sum(F.when(tried(F.col("draws"), k) < rate - F.floor(rate), F.col("size")).otherwise(0)).alias(f"extra_{k}") for k in range(tries)]
+    sums = met(sized.select("source", "size", "draws"), table, F.col("source"), "its").groupBy("its", "source_size", "target", "rate").agg(*extra)
+    miss = F.array(*[F.struct(F.abs(F.floor(rate) * F.col("source_size") + F.col(f"extra_{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k")) for k in range(tries)])
+    return small_side(sums.select("its", "source_size", "target", "rate", F.array_min(miss)["k"].alias("try")))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeat: int = REPEAT, seed: int = SEED, text: str = "text", doc_id: str = "doc_id",
-        source: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies."""
-    sized = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-                              F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), draw(doc_id, text, seed).alias("draw")))
-    table = small_side(targets(sized, weights, repeat)).withColumnRenamed("source", "its")
-    met = sized.join(table, F.col("source").eqNullSafe(F.col("its")))
-    copies = F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
-    return met.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
+        source: str = "source", tries: int = TRIES) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies. tries: at most 16."""
+    sized = sizes_and_draws(docs, seed, text, doc_id, source)
+    rows = met(sized, planned(sized, weights, repeat, tries), F.col("source"), "its")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", copies_of(F.col("rate"), F.col("draws"), F.col("try")).alias("copies"))
 
 
 def emit(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeat: int = REPEAT, seed: int = SEED, text: str = "text", doc_id: str = "doc_id",
-         source: str = "source", copy: str = "copy") -> DataFrame:
+         source: str = "source", copy: str = "copy", tries: int = TRIES) -> DataFrame:
     """The mixed corpus: rows of `docs` as often as the mix takes them, numbered from 1 in column `copy`.
 
-    Only the rates of sources meet the documents, so no text is shuffled where they can be broadcast.
+    Only the lines of sources meet the documents, so no text is shuffled where they can be broadcast.
     """
-    sizes = docs.select(F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
     names = docs.columns
-    its, rate = (fresh(names, n) for n in ("its_source", "its_rate"))
-    table = small_side(targets(sizes, weights, repeat).select(F.col("source").alias(its), F.col("rate").alias(rate)))
-    copies = F.floor(rate) + (draw(doc_id, text, seed) < F.col(rate) - F.floor(rate)).cast("long")
-    met = docs.join(table, F.col(source).cast("string").eqNullSafe(F.col(its)))
-    return met.where(copies > 0).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copy))
-
+    its, rate, k = (fresh(names, n) for n in ("its_source", "its_rate", "its_try"))
+    table = planned(sizes_and_draws(docs, seed, text, doc_id, source), weights, repeat, tries)
+    table = table.select(F.col("its").alias(its), F.col("rate").alias(rate), F.col("try").alias(k))
+    copies = copies_of(F.col(rate), draw(doc_id, text, seed), F.col(k))
+    rows = met(docs, small_side(table), F.col(source).cast("string"), its)
+    return rows.where(copies > 0).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copy))

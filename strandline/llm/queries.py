@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import language_id, lm_score, pieces, toxicity, url_filter
 from .centroids import K, ROUNDS, cluster_vectors
 from .exact_dedup import exact_duplicates
-from .mixing import mix
+from .mixing import TRIES, mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -112,18 +112,23 @@ def op12(spark, sf_dir):
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
-MIX_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('13:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 12))::BIGINT / 281474976710656::DOUBLE AS draw FROM documents),
+DRAW = "('0x' || substr(h, {at}, 12))::BIGINT / 281474976710656::DOUBLE"
+TRIED = "(u + w * {k} - floor(u + w * {k}))"
+MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, source, size, {DRAW.format(at=1)} AS u, {DRAW.format(at=13)} AS w FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('13:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
 o AS (SELECT *, 3 * source_size AS most, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE AS words, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS among
   FROM s WINDOW before AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, most * among < weight * words AS stops FROM o),
 t AS (SELECT source, source_size, CASE WHEN stops THEN most::DOUBLE ELSE weight * (sum(source_size) OVER () - coalesce(sum(most) FILTER (stops) OVER (), 0))::DOUBLE
     / (sum(weight) OVER () - coalesce(sum(weight) FILTER (stops) OVER (), 0)) END AS target FROM f),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM t)
-SELECT doc_id, size, source_size, target, size * (floor(rate) + (draw < rate - floor(rate))::INTEGER)::BIGINT AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source"""
+r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM t),
+e AS (SELECT r.source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN {TRIED.format(k="k")} < rate - floor(rate) THEN size ELSE 0 END) - any_value(target)) AS miss
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range({TRIES})) AS k) GROUP BY r.source, k),
+c AS (SELECT source, min((miss, k))[2] AS k FROM e GROUP BY source)
+SELECT doc_id, size, source_size, target, size * (floor(rate) + ({TRIED.format(k="k")} < rate - floor(rate))::INTEGER)::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN c ON c.source IS NOT DISTINCT FROM r.source"""
 
 
 @query("op13_source_mix", MIX_SQL)
