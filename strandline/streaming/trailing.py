@@ -2,9 +2,10 @@
 
 For each event the stream tells events, success rate and P95 of its operation over the last `spans` seconds up to it, as the batch form with range windows does.
 Events may arrive in any order within the lateness: a late one corrects the rows of events up to the longest span after it, so a result row
-has a version (its batch) and the latest counts. State is one list per operation: events younger than the longest span before the watermark. A timer
-at the end of an operation's last event empties the state of operations that fall silent; a time to live is not used, because it goes by
-the clock and would make replays of old data differ.
+has a version (its batch) and the latest counts. A group is a stretch of `STRETCH` longest spans of an operation, and also holds the events of the longest
+span before it, so what a task holds at a time depends on how dense events are, not on how many there are. State is one list per group: events younger
+than the longest span before the watermark. A timer at the end of a group's last event empties the state of groups that fall silent; a time to live is
+not used, because it goes by the clock and would make replays of old data differ. Events without a time belong to no window and have no row.
 """
 
 from __future__ import annotations
@@ -19,21 +20,40 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 SPANS = (300, 3600)
+STRETCH = 4  # longest spans in a group; one in STRETCH events is held twice
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = T.StructType([T.StructField("at", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("success", T.BooleanType()), T.StructField("duration", T.DoubleType())])
 OUT = "operation string, event_id long, ts timestamp, span long, events long, success_rate double, p95_seconds double"
 
 
-def levels_at(at: np.ndarray, success: np.ndarray, duration: np.ndarray, asked: np.ndarray, micros: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """events, success rate and P95 (the value at rank ceil(0.95 n)) of rows in [t - span, t] for the asked rows; `at` is sorted."""
+def smallest(values: np.ndarray, first: np.ndarray, last: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest (from 0) of values[first:last], for all ranges at once: bit by bit of the rank, with values of a clear bit moved to the front."""
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    found = np.zeros(len(k), np.int64)
+    for bit in range(max(len(values) - 1, 0).bit_length() - 1, -1, -1):
+        up = (rank >> bit & 1).astype(bool)
+        clear = np.concatenate(([0], np.cumsum(~up)))
+        a, b = clear[first], clear[last]
+        above = k >= b - a
+        found |= above.astype(np.int64) << bit
+        k = np.where(above, k - (b - a), k)
+        first, last = np.where(above, clear[-1] + first - a, a), np.where(above, clear[-1] + last - b, b)
+        rank = np.concatenate((rank[~up], rank[up]))
+    return values[order[found]]
+
+
+def levels_at(at: np.ndarray, success: np.ndarray, duration: np.ndarray, asked: np.ndarray, micros: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """events, success rate and P95 (the value at rank ceil(0.95 n), NaN if there is none) of rows in [t - span, t] for the asked rows; `at` is sorted."""
     first = np.searchsorted(at, at[asked] - micros, side="left")
     last = np.searchsorted(at, at[asked], side="right")
     good = np.concatenate(([0], np.cumsum(success)))
-    top = []
-    for a, b in zip(first, last):
-        d = duration[a:b]
-        d = d[~np.isnan(d)]
-        top.append(float(np.partition(d, k)[k]) if len(d) and (k := int(np.ceil(0.95 * len(d))) - 1) >= 0 else None)
+    timed = ~np.isnan(duration)
+    before = np.concatenate(([0], np.cumsum(timed)))
+    a, b = before[first], before[last]
+    top, some = np.full(len(asked), np.nan), b > a
+    top[some] = smallest(duration[timed], a[some], b[some], np.ceil(0.95 * (b - a)[some]).astype(np.int64) - 1)
     return last - first, (good[last] - good[first]) / (last - first), top
 
 
@@ -52,7 +72,7 @@ class Trailing(StatefulProcessor):
         both = both.sort_values(["at", "event_id"], kind="stable").reset_index(drop=True)
         at, longest = both["at"].to_numpy(np.int64), max(self.spans) * 1_000_000
         since = int(new["at"].min())
-        asked = np.flatnonzero((at >= since) & (at <= int(new["at"].max()) + longest))
+        asked = np.flatnonzero((at >= since) & (at <= int(new["at"].max()) + longest) & (at // (STRETCH * longest) == key[1]))
         success, duration = both["success"].to_numpy(bool), both["duration"].to_numpy(float)
         for span in self.spans:
             events, rate, top = levels_at(at, success, duration, asked, span * 1_000_000)
@@ -60,7 +80,10 @@ class Trailing(StatefulProcessor):
                                 "span": span, "events": events, "success_rate": rate, "p95_seconds": top})
         # a later event may still arrive at the watermark, and looks back the longest span from there
         keep = both[at >= timerValues.getCurrentWatermarkInMs() * 1000 - longest]
-        self.held.put([tuple(r) for r in keep[["at", "event_id", "success", "duration"]].astype(object).itertuples(index=False)])
+        if len(keep):
+            self.held.put([tuple(r) for r in keep[["at", "event_id", "success", "duration"]].astype(object).itertuples(index=False)])
+        else:
+            self.held.clear()  # a list in the state is never empty
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         self.handle.registerTimer(int(at[-1] // 1000) + max(self.spans) * 1000 + 1)
@@ -73,10 +96,18 @@ class Trailing(StatefulProcessor):
         pass
 
 
+def dealt(timed: DataFrame, spans: Sequence[int] = SPANS) -> DataFrame:
+    """Rows by stretch: an event goes to each in which a window may hold it, its own and, near the end, the next."""
+    longest = max(spans) * 1_000_000
+    size = F.lit(STRETCH * longest)
+    own, reach = (((at - F.pmod(at, size)) / size).cast("long") for at in (F.col("at"), F.col("at") + F.lit(longest)))
+    return timed.withColumn("stretch", F.explode(F.sequence(own, reach)))
+
+
 def trailing_stream(ops: DataFrame, spans: Sequence[int] = SPANS, late: str = "2 hours") -> DataFrame:
     """Versions of (operation, event_id, ts, span, events, success_rate, p95_seconds); rows later than the watermark are dropped."""
     timed = ops.withWatermark("ts", late).select("operation", "ts", F.unix_micros("ts").alias("at"), "event_id", "success", "duration_seconds")
-    return timed.groupBy("operation").transformWithStateInPandas(Trailing(spans), OUT, "Update", "EventTime")
+    return dealt(timed, spans).groupBy("operation", "stretch").transformWithStateInPandas(Trailing(spans), OUT, "Update", "EventTime")
 
 
 def run_trailing(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,57 @@ def test_shuffled_arrival_equals_the_batch(spark, sf, tmp_path, files, seed):
         assert g.events == r.events and np.isclose(g.success_rate, r.success_rate) and np.isclose(g.p95_seconds, r.p95_seconds)
 
 
+def events_at(spark, seconds, path, kind="view", first=0):
+    start = np.datetime64("2024-01-01T00:00:00", "us")
+    rows = [(first + i, (start + np.timedelta64(int(t * 1_000_000), "us")).item(), 1, kind, None if i % 7 == 3 else float(i * 37 % 101), None) for i, t in enumerate(seconds)]
+    spark.createDataFrame(rows, levels.EVENT_SCHEMA).coalesce(1).write.parquet(path)
+
+
+def told(rows):
+    return {(r.operation, r.event_id, r.span): (r.events, round(r.success_rate, 9), r.p95_seconds) for r in rows.collect()}
+
+
+def test_a_group_holds_a_few_hours_however_long_the_stream(spark, tmp_path):
+    # ten days at one event a minute, with events on the edges of stretches and, to the second, a span later
+    events_at(spark, sorted([*range(7, 864_000, 60), *range(0, 864_000, 14_400), *range(3600, 864_000, 14_400)]), f"{tmp_path}/in/f0")
+    stream = trailing.trailing_stream(levels.event_stream(spark, f"{tmp_path}/in/*"))
+    grouped = stream._jdf.queryExecution().analyzed().toString()
+    assert "stretch" in grouped
+    ops = spark.read.parquet(f"{tmp_path}/in/f0").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("operation"), F.col("value").alias("duration_seconds"), (F.col("event_type") != "error").alias("success"), "event_id")
+    held = trailing.dealt(ops.withColumn("at", F.unix_micros("ts"))).groupBy("operation", "stretch").agg(F.count("*").alias("n"), (F.max("at") - F.min("at")).alias("width")).collect()
+    assert len(held) > 50 and max(r.n for r in held) < 350 and max(r.width for r in held) <= 5 * 3_600_000_000
+    trailing.run_trailing(stream, f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    assert told(trailing.latest(spark, f"{tmp_path}/out")) == told(trailing.trailing_batch(ops))
+
+
+def test_stragglers_that_no_later_event_can_need(spark, tmp_path):
+    # the second file moves the watermark by days; the third brings events of another operation that the first one's still let in
+    events_at(spark, range(0, 7200, 600), f"{tmp_path}/in0")
+    events_at(spark, range(864_000, 867_600, 600), f"{tmp_path}/in1", first=100)
+    events_at(spark, range(3600, 7200, 900), f"{tmp_path}/in2", kind="error", first=200)
+    for i in range(3):
+        spark.read.parquet(f"{tmp_path}/in{i}").coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+        time.sleep(1.1)  # files are taken by age
+    trailing.run_trailing(trailing.trailing_stream(levels.event_stream(spark, f"{tmp_path}/in/*", 1)), f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    got = trailing.latest(spark, f"{tmp_path}/out")
+    assert {(r.operation, r["count"]) for r in got.groupBy("operation").count().collect()} == {("view", 2 * 18), ("error", 2 * 4)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_smallest_of_many_ranges(seed):
+    r = np.random.default_rng(seed)
+    values = r.integers(0, 30, [1, 40, 500][seed]).astype(float)
+    first = r.integers(0, len(values), 200)
+    last = np.array([r.integers(a + 1, len(values) + 1) for a in first])
+    k = np.array([r.integers(0, b - a) for a, b in zip(first, last)])
+    want = [np.sort(values[a:b])[i] for a, b, i in zip(first, last, k)]
+    assert trailing.smallest(values, first, last, k).tolist() == want
+    assert len(trailing.smallest(values[:0], *(np.zeros(0, np.int64),) * 3)) == 0
+    at, gaps = np.arange(6) * 10, np.array([np.nan, np.nan, 5, 1, np.nan, 3])
+    n, rate, top = trailing.levels_at(at, np.array([1, 0, 1, 1, 0, 1], bool), gaps, np.arange(6), 10)
+    assert n.tolist() == [1, 2, 2, 2, 2, 2] and np.array_equal(top, [np.nan, np.nan, 5, 5, 1, 3], equal_nan=True)
+
+
 def test_any_split_into_batches_ends_as_one_run(spark, sf, tmp_path):
     from strandline.plans import catalog  # noqa: F401  first: the plans name each other's tables
     from strandline.plans.q_audit import shards, value_rules
