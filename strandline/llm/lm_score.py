@@ -43,6 +43,7 @@ HEAD = 65_536
 ROUNDS, BATCH, RATE, FAN, BLOCKS = 2, 4096, 0.4, 64, 16
 TASK_TOKENS = 1 << 21  # of a round, for a task to train on
 SLICE = 2 << 20  # bytes of text at a time
+CACHED, FEW = 512, 8  # rows of probabilities worked on at a time; rows of a feature added place by place
 END = ""  # words are never empty
 
 
@@ -97,30 +98,63 @@ def tokens(w: Words, own: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log-probabilities of classes for sparse rows of features."""
-    z = weights[rows[:, 0]]
-    for j in range(1, rows.shape[1]):
-        z = z + weights[rows[:, j]]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    out = np.empty((len(rows), weights.shape[1]), weights.dtype)
+    for a in range(0, len(rows), CACHED):
+        r, z = rows[a:a + CACHED], out[a:a + CACHED]
+        z[:] = weights.take(r[:, 0], axis=0)
+        for j in range(1, rows.shape[1]):
+            z += weights.take(r[:, j], axis=0)
+        z -= z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return out
+
+
+def summed(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of `at`, and for each the sum of its rows of g.
+
+    Most have few rows: those are added place by place, which spares a sorted copy of g. The first row is added last,
+    as `reduceat` does, so that both ways round alike.
+    """
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
+    count = np.diff(np.append(first, len(at)))
+    total = g.take(order[first], axis=0)
+    few = np.flatnonzero((count > 1) & (count <= FEW))
+    rest = g.take(order[first[few] + 1], axis=0)
+    for i in range(2, FEW):
+        more = np.flatnonzero(count[few] > i)
+        if not len(more):
+            break
+        rest[more] += g.take(order[first[few[more]] + i], axis=0)
+    total[few] += rest
+    many = count > FEW
+    if many.any():
+        size = count[many]
+        total[many] = np.add.reduceat(g.take(order[np.repeat(many, count)], axis=0), np.cumsum(size) - size, axis=0)
+    return at[first], total
 
 
 def descend(weights: np.ndarray, squares: np.ndarray, kind: np.ndarray, rows: np.ndarray, rate: float = RATE) -> None:
     """One pass of gradient steps with AdaGrad's step sizes, in place."""
     for a in range(0, len(kind), BATCH):
         k, r = kind[a:a + BATCH], rows[a:a + BATCH]
-        g = -np.exp(softmax(weights, r))
+        g = softmax(weights, r)
+        np.negative(np.exp(g, out=g), out=g)
         g[np.arange(len(k)), k] += 1
         step = g.sum(axis=0)  # the bias is one row
         squares[0] += step * step
         weights[0] += rate * step / np.sqrt(squares[0] + 1.0)
         for j in range(1, r.shape[1]):
-            order = np.argsort(r[:, j], kind="stable")
-            at = r[order, j]
-            first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-            step = np.add.reduceat(g[order], first, axis=0)
-            at = at[first]
-            squares[at] += step * step
-            weights[at] += rate * step / np.sqrt(squares[at] + 1.0)
+            at, step = summed(g, r[:, j])
+            s = squares.take(at, axis=0)
+            s += step * step
+            squares[at] = s
+            s += 1
+            step *= rate
+            step /= np.sqrt(s, out=s)
+            step += weights.take(at, axis=0)
+            weights[at] = step
 
 
 def averaged(rows: DataFrame) -> DataFrame:

@@ -297,6 +297,35 @@ def test_class_softmax_and_gradient():
     assert lm_score.softmax(w, rows)[np.arange(4000), kind].mean() > before + 2
 
 
+@pytest.mark.parametrize("spread", [1, 60, 3000, 30_000])
+def test_gradient_steps_equal_the_plain_form(spread):
+    """Sums of few and of many rows, written as one sort and one reduceat, give the same weights."""
+    r = np.random.default_rng(spread)
+    n = 9000
+    kind = r.integers(0, lm_score.CLASSES, n)
+    rows = np.column_stack([np.zeros(n, int), *(np.minimum(r.geometric(1 / spread, n), lm_score.ROWS - 1) for _ in range(4))]).astype(np.uint16)
+    g = r.standard_normal((n, lm_score.CLASSES)).astype(np.float32)
+    at, total = lm_score.summed(g, rows[:, 1])
+    assert at.tolist() == sorted(set(rows[:, 1].tolist()))
+    want = np.zeros((lm_score.ROWS, lm_score.CLASSES))
+    np.add.at(want, rows[:, 1], g)
+    assert np.allclose(total, want[at], atol=1e-2)
+    w, s = np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32), np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32)
+    w2, s2 = w.copy(), s.copy()
+    lm_score.descend(w, s, kind, rows)
+    for a in range(0, n, lm_score.BATCH):
+        k, f = kind[a:a + lm_score.BATCH], rows[a:a + lm_score.BATCH]
+        z = sum(w2[f[:, j]] for j in range(5))
+        z = z - z.max(axis=1, keepdims=True)
+        step = np.eye(lm_score.CLASSES)[k] - np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        for j in range(5):
+            total = np.zeros(w.shape)
+            np.add.at(total, f[:, j], step)
+            s2 += total * total
+            w2 += lm_score.RATE * total / np.sqrt(s2 + 1)
+    assert np.allclose(w, w2, atol=1e-4) and np.allclose(s, s2, rtol=1e-3, atol=1e-3)
+
+
 # 6
 
 
